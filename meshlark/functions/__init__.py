@@ -1,0 +1 @@
+"""Part of the meshlark engine."""
