@@ -58,7 +58,8 @@ def buckets(x: np.ndarray, tables: int, bits: int, width: float) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _hashed(batches):
+def _hashed(batches, single: bool):
+    """single: the column holds 32-bit floats, so that is how the vectors travel, without loss."""
     for batch in batches:
         at, vectors = parsed(batch.column(2).to_pylist())
         ids, labels = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
@@ -68,7 +69,7 @@ def _hashed(batches):
             rows = np.flatnonzero(size == n)
             keys[rows] = buckets(np.stack([vectors[i] for i in rows]), TABLES, BITS, WIDTH)
         flat = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * TABLES, keys.reshape(-1))
-        yield pa.RecordBatch.from_arrays([ids, labels, flat, pa.array([v.tobytes() for v in vectors], pa.binary())], ["id", "label", "keys", "vector"])
+        yield pa.RecordBatch.from_arrays([ids, labels, flat, pa.array([v.astype(np.float32 if single else np.float64).tobytes() for v in vectors], pa.binary())], ["id", "label", "keys", "vector"])
 
 
 def _compare(a: dict, b: dict | None, table: int, least: float, counts: dict, links: list) -> None:
@@ -105,11 +106,11 @@ def _compare(a: dict, b: dict | None, table: int, least: float, counts: dict, li
             links.append((u, v))
 
 
-def _block(rows: list) -> dict:
-    return {"ids": np.array([r[0] for r in rows], np.int64), "n": np.array([r[1] for r in rows], np.float64), "keys": np.array([r[2] for r in rows], np.int64).reshape(len(rows), TABLES), "x": np.stack([np.frombuffer(r[3], np.float64) for r in rows])}
+def _block(rows: list, single: bool) -> dict:
+    return {"ids": np.array([r[0] for r in rows], np.int64), "n": np.array([r[1] for r in rows], np.float64), "keys": np.array([r[2] for r in rows], np.int64).reshape(len(rows), TABLES), "x": np.stack([np.frombuffer(r[3], np.float32 if single else np.float64) for r in rows]).astype(np.float64)}
 
 
-def _linked(batches, least: float):
+def _linked(batches, least: float, single: bool):
     """Rows in order of (table, label, key, dimension, left, right, side): side 0 and 1 are the two blocks of a pair of blocks."""
     now, rows = None, {0: [], 1: []}
 
@@ -118,9 +119,9 @@ def _linked(batches, least: float):
             table, left, right = now[0], now[4], now[5]
             if left == right:
                 if len(rows[0]) > 1:
-                    _compare(_block(rows[0]), None, table, least, counts, links)
+                    _compare(_block(rows[0], single), None, table, least, counts, links)
             elif rows[0] and rows[1]:
-                _compare(_block(rows[0]), _block(rows[1]), table, least, counts, links)
+                _compare(_block(rows[0], single), _block(rows[1], single), table, least, counts, links)
 
     counts: dict[int, int] = {}
     links: list[tuple[int, int]] = []
@@ -159,10 +160,11 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     """
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     label = F.lit(0) if label_col is None else F.xxhash64(vectors[label_col])
     known = F.lit(True) if label_col is None else vectors[label_col].isNotNull()
     base = vectors.select(vectors[id_col].cast("long").alias("id"), label.cast("long").alias("label"), vectors[vector_col].alias("vector"), known.alias("known"))
-    hashed = base.where("id is not null and known and vector is not null").select("id", "label", "vector").mapInArrow(_hashed, "id long, label long, keys array<long>, vector binary")
+    hashed = base.where("id is not null and known and vector is not null").select("id", "label", "vector").mapInArrow(lambda it: _hashed(it, single), "id long, label long, keys array<long>, vector binary")
     hashed = written(hashed, "p-stable")
     folded = hashed.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     folded = written(folded.where("rep is not null"), "p-stable-folded")
@@ -176,7 +178,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     dealt = dealt.withColumn("meet", F.explode(meet)).select(*bucket, "meet.left", "meet.right", "meet.side", "id", "n", "keys", "vector")
     dealt = dealt.repartition(2 * parts, *bucket, "left", "right").sortWithinPartitions(*bucket, "left", "right", "side")
-    found = written(dealt.mapInArrow(lambda it: _linked(it, cosine), "a long, b long, n long"), "p-stable-links")
+    found = written(dealt.mapInArrow(lambda it: _linked(it, cosine, single), "a long, b long, n long"), "p-stable-links")
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rep")
     edges = found.where("b is not null").select("a", "b").distinct().unionByName(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())

@@ -56,6 +56,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.embed_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.substring import remove_repeats
 
@@ -113,5 +119,5 @@ FROM t GROUP BY conv_id
 """
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op4_substring": op4_substring, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
 ORACLES = {"op1_url_filter": OP1_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
