@@ -29,7 +29,7 @@ from meshlark.llm.common import shuffle_partitions
 
 WINDOW = 13
 #: Words gathered by a task before it sends its packed arrays; bounds its memory.
-FLUSH_WORDS = 2_500_000
+FLUSH_WORDS = 1_200_000
 TOP = np.iinfo(np.int64).max
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20240)).integers(1, 2**63, size=(3, 64), dtype=np.uint64) | np.uint64(1)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import hashlib
 
     spark = docs.sparkSession
-    groups = 2 * shuffle_partitions(spark)
+    groups = shuffle_partitions(spark) * 3 // 2
     rest = [c for c in docs.columns if c not in (id_col, text_col, "removed")] if output == "text" else []
     base = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     kind = "key long, kind int, data binary"
