@@ -68,6 +68,20 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), output="digest")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.token_counts import token_counts
 
@@ -119,5 +133,5 @@ FROM t GROUP BY conv_id
 """
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
 ORACLES = {"op1_url_filter": OP1_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
