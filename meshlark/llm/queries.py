@@ -133,5 +133,11 @@ FROM t GROUP BY conv_id
 """
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann}
 ORACLES = {"op1_url_filter": OP1_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
