@@ -22,8 +22,15 @@ WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 1024, 3_000_000
 K1, B = 1.2, 0.75
 #: Characters for which a text's encoding is that of its white-space chunks, each on its own.
-BEYOND = re.compile("[^\t-\r -~\xa1-ɏ]")
-CACHE = 400_000
+#: (U+0130 is none of them: its small letter is two characters.)
+BEYOND = re.compile("[^\t-\r -~\xa1-įı-ɏ]")
+#: The vocabulary's split pattern, for those characters.
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+#: Chunks that a worker remembers (about 200 bytes each); a full memory is emptied, which costs time only.
+CACHE = 1_200_000
+#: Texts whose new chunks are encoded in one call.
+TOGETHER = 256
 
 
 class Encoder(dict):
@@ -39,28 +46,36 @@ class Encoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks as one text. Each word of a chunk ends with an end-of-word id, so counting
+        words says which ids are whose."""
+        words = [1 if c.isalpha() else len(WORD.findall(c.lower())) for c in chunks]
+        ids = np.array(self.library.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != sum(words):
+            raise ValueError("the vocabulary does not end each word with an end-of-word id")
+        bounds = [0, *(4 * stops[np.cumsum(words) - 1]).tolist()]
+        raw = ids.tobytes()
+        self.update(zip(chunks, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [not (BEYOND.search(t) or any(s in t for s in self.special)) for t in texts]
+        chunks = [t.split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        new = set().union(*chunks).difference(self)
+        if new and len(self) + len(new) > CACHE:
             self.clear()
-        ids = self[chunk] = self.whole(chunk)
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        if BEYOND.search(text) or any(s in text for s in self.special):
-            return np.frombuffer(self.whole(text), "<u4")
-        chunks = text.split()
-        new = list({c for c in chunks if c not in self})
-        if len(new) > 4:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
+            new = set().union(*chunks)
+        if new:
+            self.learn(list(new))
+        return [np.frombuffer(b"".join(map(self.__getitem__, c)) if p else self.whole(t), "<u4") for t, p, c in zip(texts, plain, chunks, strict=True)]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -166,14 +181,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         names, ids, tokens, number = [], [], 0, 0
         tail = np.array([end_id], "<u4")
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.concatenate([encoder.ids(text), tail]) if text else tail
-                names.append(name)
-                ids.append(got)
-                tokens += len(got)
-                if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                    yield shard(names, ids, number, partition)
-                    names, ids, tokens, number = [], [], 0, number + 1
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for name, got in zip(part.column(0).to_pylist(), encoder.ids([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    names.append(name)
+                    ids.append(np.concatenate([got, tail]))
+                    tokens += len(got) + 1
+                    if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                        yield shard(names, ids, number, partition)
+                        names, ids, tokens, number = [], [], 0, number + 1
         if ids:
             yield shard(names, ids, number, partition)
 
