@@ -656,3 +656,50 @@ def _(spark, d):
 @query("j6_finest_patch_wins", with_views("SELECT x, y, arg_max(v, (level, -patch_id)) AS v FROM grid JOIN placed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2", "grid", "patches"))
 def _(spark, d):
     return M.finest_wins(V.patches(spark, d), TREE).select("x", "y", "v")
+
+
+# ---- adapting a mesh to its values ---------------------------------------------------------------
+
+from meshlark.operators import regrid as R  # noqa: E402
+
+
+@query("t12_error_metric", with_views(BAL + "," + MEANS + """,
+pts AS (SELECT level, ix, iy, k, (ix + 0.5::DOUBLE + dx) * (32 >> level) AS sx, (iy + 0.5::DOUBLE + dy) * (32 >> level) AS sy FROM leaf, (VALUES (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) s(k, dx, dy)),
+held AS (SELECT p.*, l.level AS hl, l.ix AS hx, l.iy AS hy, (sx - l.ix * (32 >> l.level)) / (32 >> l.level) * 2 - 0.5::DOUBLE AS u, (sy - l.iy * (32 >> l.level)) / (32 >> l.level) * 2 - 0.5::DOUBLE AS w
+  FROM pts p JOIN leaf l ON l.ix = floor(sx)::INT // (32 >> l.level) AND l.iy = floor(sy)::INT // (32 >> l.level) WHERE sx >= 0 AND sy >= 0),
+got AS (SELECT h.level, h.ix, h.iy, k, sum(v * CASE a.t WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END * CASE b.t WHEN 0 THEN 1 - (w - floor(w)) ELSE w - floor(w) END) AS s
+  FROM held h, (VALUES (0), (1)) a(t), (VALUES (0), (1)) b(t), means m
+  WHERE m.level = hl AND m.ix = hx AND m.iy = hy AND m.px = greatest(0, least(1, floor(u) + a.t)) AND m.py = greatest(0, least(1, floor(w) + b.t)) GROUP BY 1, 2, 3, 4),
+allk AS (SELECT p.level, p.ix, p.iy, p.k, coalesce(s, 0) AS s FROM pts p LEFT JOIN got g ON p.level = g.level AND p.ix = g.ix AND p.iy = g.iy AND p.k = g.k),
+e AS (SELECT a.level, a.ix, a.iy, max(abs(a.s - c.s)) AS e FROM allk a JOIN allk c ON a.level = c.level AND a.ix = c.ix AND a.iy = c.iy AND c.k = 0 AND a.k > 0 GROUP BY 1, 2, 3),
+r AS (SELECT level, ix, iy, max(v) - min(v) AS r FROM means GROUP BY 1, 2, 3)
+SELECT e.level, e.ix, e.iy, round(greatest(e, r), 8) AS error FROM e JOIN r ON e.level = r.level AND e.ix = r.ix AND e.iy = r.iy
+""", "smooth"))
+def _(spark, d):
+    return rounded(R.error_metric(patched(spark)[1], TREE, 2, TILE, MAX_LEVEL, N, N), ["level", "ix", "iy"], ["error"], 8)
+
+
+@query("j9_corner_neighbours", with_views(BAL + "," + BOX + """
+SELECT a.level, a.ix, a.iy, c.corner, b.level AS nlevel, b.ix AS nx, b.iy AS ny FROM box a, (VALUES ('SW', 0, 0), ('SE', 1, 0), ('NW', 0, 1), ('NE', 1, 1)) c(corner, e, n), box b
+WHERE (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) >= b.x0 AND (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) < b.x1 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) >= b.y0 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) < b.y1
+""", "smooth"))
+def _(spark, d):
+    _, inner, base = smooth_mesh(spark, True)
+    return R.corner_neighbours(M.leaves(inner, base, TREE), TREE, N, N, MAX_LEVEL).drop("tree")
+
+
+@query("j13_value_copy", with_views(TWO + """,
+src AS (SELECT level, ix, iy, level * 1000 + ix * 10.0::DOUBLE + iy AS v FROM la)
+SELECT t.level, t.ix, t.iy, v FROM lb t JOIN src s ON s.ix = floor((t.ix + 0.5) * (32 >> t.level))::INT // (32 >> s.level) AND s.iy = floor((t.iy + 0.5) * (32 >> t.level))::INT // (32 >> s.level)
+""", "smooth"))
+def _(spark, d):
+    _, a, base = smooth_mesh(spark)
+    _, b, _ = smooth_mesh(spark, True)
+    source = M.leaves(a, base, TREE).withColumn("v", F.col("level") * 1000 + F.col("ix") * 10.0 + F.col("iy"))
+    return R.copy_values(source, M.leaves(b, base, TREE), TREE, TILE, MAX_LEVEL).drop("tree")
+
+
+@query("t18_regrid")
+def _(spark, d):
+    """Regridding is a loop of dependent decisions; tests compare it with a sequential version's invariants."""
+    return rounded(R.regrid(patched(spark)[1], TREE, 2, TILE, N, N, MAX_LEVEL, 0.2, nearby=1), ["level", "ix", "iy", "px", "py"], ["v"], 8)
