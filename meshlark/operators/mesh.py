@@ -278,3 +278,60 @@ def finest_wins(patches: DataFrame, keys: list[str], tie: str = "patch_id", v: s
     out = patches.select(*keys, "level", tie, v, "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     out = out.select(*keys, "level", tie, v, "x", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
     return out.groupBy(*keys, "x", "y").agg(F.max_by(v, F.struct(F.col("level"), -F.col(tie))).alias(v))
+
+
+def refine_where(leaf: DataFrame, predicate: Column, keys: list[str]) -> DataFrame:
+    """Leaves after one pass over the leaves as they are: those the predicate holds for become their children."""
+    chosen = leaf.where(predicate)
+    return leaf.select(*keys, *CELL).join(chosen.select(*keys, *CELL), [*keys, *CELL], "left_anti").unionByName(children(chosen, keys).select(*keys, *CELL))
+
+
+def coarsen_where(leaf: DataFrame, predicate: Column, keys: list[str], max_level: int) -> DataFrame:
+    """Leaves after merging, from fine to coarse, every complete set of siblings whose parent the predicate
+    holds for; what one level merges the next may merge again."""
+    out = leaf.select(*keys, *CELL)
+    for k in range(max_level, 0, -1):
+        up = siblings(out.where(F.col("level") == k), keys).where(predicate)
+        gone = children(up, keys).select(*keys, *CELL)
+        out = out.join(gone, [*keys, *CELL], "left_anti").unionByName(up)
+    return out
+
+
+def refine_only(change: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """The mesh of a diff against bare roots that only refines: its rows and the roots none of them is under."""
+    tiles = change.select(*keys, F.lit(0).alias("level"), F.expr("shiftright(ix, level)").alias("ix"), F.expr("shiftright(iy, level)").alias("iy")).distinct()
+    return change.select(*keys, *CELL).unionByName(base.select(*keys, *CELL).join(tiles, [*keys, *CELL], "left_anti"))
+
+
+def repair_overlaps(leaf: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells that lie over others go where finer ones cover them whole and are refined around them
+    elsewhere. Closed form: what is over a cell is internal, and the leaves follow from that."""
+    base = leaf.select(*keys, F.lit(0).alias("level"), F.expr("shiftright(ix, level)").alias("ix"), F.expr("shiftright(iy, level)").alias("iy")).distinct()
+    return leaves(internals(leaf, keys), base, keys)
+
+
+def from_centres(rows: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Cells from centres (cx, cy in [0, 1]) and levels, the inverse of export()."""
+    n = F.pow(F.lit(2.0), F.col("level"))
+    back = lambda c, m: F.round(F.col(c) * n * m - 0.5).cast("int")
+    return rows.withColumns({"ix": back("cx", nx), "iy": back("cy", ny)})
+
+
+def regular_centres(spark, nx: int, ny: int) -> DataFrame:
+    """Centres of an nx by ny grid of patches in [0, 1]."""
+    cells = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("ix"), F.floor(F.col("id") / nx).cast("int").alias("iy"))
+    return cells.withColumns({"cx": (F.col("ix") + 0.5) / nx, "cy": (F.col("iy") + 0.5) / ny})
+
+
+def rasterize(field: DataFrame, keys: list[str], n: int, most: int) -> DataFrame:
+    """Nearest samples of an n by n grid on at most ``most`` pixels a side."""
+    m = min(n, most)
+    hit = lambda c: F.floor(F.col(c) * m / n)
+    own = lambda c: F.floor((hit(c) + 0.5) * n / m) == F.col(c)
+    return field.where(own("x") & own("y")).select(*keys, hit("x").cast("int").alias("x"), hit("y").cast("int").alias("y"), "v")
+
+
+def patches_to_grid(patches: DataFrame, keys: list[str], ratio: int, tie: str = "patch_id", v: str = "v") -> DataFrame:
+    """Patches on a coarser grid of blocks of ``ratio`` pixels: the finest value of each pixel, then block means."""
+    fine = finest_wins(patches, keys, tie, v)
+    return fine.groupBy(*keys, F.floor(F.col("x") / ratio).cast("int").alias("x"), F.floor(F.col("y") / ratio).cast("int").alias("y")).agg(F.avg(v).alias(v))

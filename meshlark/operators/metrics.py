@@ -97,3 +97,27 @@ def relative_difference(a: DataFrame, b: DataFrame, key: str, columns: list[str]
     """Largest abs(a - b) / max(abs(b), 1e-30) over the common keys, for each column."""
     joined = a.alias("a").join(b.alias("b"), key)
     return joined.agg(*[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / F.greatest(F.abs(F.col(f"b.{c}")), F.lit(1e-30))).alias(c) for c in columns])
+
+
+def multiscale_loss(pairs: DataFrame, keys: list[str], leaf: list[str], norm: bool = True, x: str = "prediction", y: str = "target") -> DataFrame:
+    """Mean over leaves of their norms, or (norm False) the pixel-weighted mean square."""
+    if not norm:
+        return pairs.groupBy(*keys).agg(_mse(F.col(x), F.col(y)).alias("loss"))
+    return lp_loss(pairs, [*keys, *leaf], x=x, y=y).groupBy(*keys).agg(F.avg("loss").alias("loss"))
+
+
+def full_field_loss(pairs: DataFrame, keys: list[str], channel: str, eps: float = 1e-12, x: str = "prediction", y: str = "target") -> DataFrame:
+    """Squares summed over all leaves for each channel, one root each, then the mean of the channels."""
+    d = F.col(x) - F.col(y)
+    return pairs.groupBy(*keys, channel).agg(F.sqrt(F.sum(d * d) + eps).alias("_l")).groupBy(*keys).agg(F.avg("_l").alias("loss"))
+
+
+def level_counts(leaves: DataFrame, keys: list[str], max_level: int, level: str = "level") -> DataFrame:
+    """Leaves of each level, 0 where there are none."""
+    spine = leaves.select(*keys).distinct().withColumn(level, F.explode(F.sequence(F.lit(0), F.lit(max_level))))
+    return spine.join(leaves.groupBy(*keys, level).agg(F.count("*").alias("n")), [*keys, level], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def conserved_difference(pairs: DataFrame, keys: list[str], dx: float, dy: float, x: str = "prediction", y: str = "target") -> DataFrame:
+    """Absolute difference of the integrals."""
+    return pairs.groupBy(*keys).agg(F.abs((F.sum(x) - F.sum(y)) * dx * dy).alias("difference"))

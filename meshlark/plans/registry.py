@@ -703,3 +703,135 @@ def _(spark, d):
 def _(spark, d):
     """Regridding is a loop of dependent decisions; tests compare it with a sequential version's invariants."""
     return rounded(R.regrid(patched(spark)[1], TREE, 2, TILE, N, N, MAX_LEVEL, 0.2, nearby=1), ["level", "ix", "iy", "px", "py"], ["v"], 8)
+
+
+# ---- further mesh, join and metric operators -----------------------------------------------------
+
+
+def smooth_leaves(spark):
+    _, inner, base = smooth_mesh(spark, True)
+    return M.leaves(inner, base, TREE), base
+
+
+@query("t4_refine_where", with_views(BAL + "SELECT level, ix, iy FROM leaf WHERE level >= 2 OR ix <> 0 UNION ALL SELECT level + 1, (2 * ix + q.range % 2)::INT, (2 * iy + q.range // 2)::INT FROM leaf, range(4) q WHERE level < 2 AND ix = 0", "smooth"))
+def _(spark, d):
+    leaf, _ = smooth_leaves(spark)
+    return M.refine_where(leaf, (F.col("level") < 2) & (F.col("ix") == 0), TREE).select(*M.CELL)
+
+
+@query("t4_coarsen_where", with_views(BAL + "SELECT level, ix, iy FROM leaf WHERE level <= 1 UNION SELECT 1, ix >> (level - 1), iy >> (level - 1) FROM leaf WHERE level > 1", "smooth"))
+def _(spark, d):
+    leaf, _ = smooth_leaves(spark)
+    return M.coarsen_where(leaf, F.col("level") >= 1, TREE, MAX_LEVEL).select(*M.CELL)
+
+
+@query("t9_refine_only_export", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+def _(spark, d):
+    leaf, base = smooth_leaves(spark)
+    return M.refine_only(M.diff(base, leaf, TREE), base, TREE).select(*M.CELL)
+
+
+@query("t21_cells_from_centres", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+def _(spark, d):
+    leaf, _ = smooth_leaves(spark)
+    out = M.export(leaf, TREE, N, N, MAX_LEVEL).select("level", "cx", "cy")
+    return M.from_centres(out, N, N).select(*M.CELL)
+
+
+@query("t26_regular_centres", "SELECT a.range::INT AS ix, b.range::INT AS iy, round((a.range + 0.5) / 12, 8) AS cx, round((b.range + 0.5) / 5, 8) AS cy FROM range(12) a, range(5) b")
+def _(spark, d):
+    return M.regular_centres(spark, 12, 5).select("ix", "iy", F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"))
+
+
+@query("t28_rasterize", with_views("SELECT channel, a.range::INT AS x, b.range::INT AS y, v FROM range(20) a, range(20) b, field f WHERE f.x = floor((a.range + 0.5) * 64 / 20) AND f.y = floor((b.range + 0.5) * 64 / 20)", "field"))
+def _(spark, d):
+    return M.rasterize(V.field(spark, d), ["channel"], GRID, 20)
+
+
+@query("t38_overlap_repair", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+def _(spark, d):
+    leaf, base = smooth_leaves(spark)
+    return M.repair_overlaps(leaf.unionByName(base), TREE).select(*M.CELL)
+
+
+@query("j7_patches_to_grid", with_views("fine AS (SELECT x, y, arg_max(v, (level, -patch_id)) AS v FROM grid JOIN placed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2) SELECT (x // 4)::INT AS x, (y // 4)::INT AS y, round(avg(v), 6) AS v FROM fine GROUP BY 1, 2".replace(") SELECT", ")\nSELECT"), "grid", "patches"))
+def _(spark, d):
+    return rounded(M.patches_to_grid(V.patches(spark, d), TREE, 4), ["x", "y"], ["v"])
+
+
+@query("j10_topology_match", with_views(TWO + "SELECT level, ix, iy FROM la SEMI JOIN lb USING (tree, level, ix, iy)", "smooth"))
+def _(spark, d):
+    _, a, base = smooth_mesh(spark)
+    _, b, _ = smooth_mesh(spark, True)
+    return M.leaves(a, base, TREE).join(M.leaves(b, base, TREE), [*TREE, *M.CELL], "left_semi").select(*M.CELL)
+
+
+@query("j11_ancestors", with_views(BAL + "SELECT level, ix, iy, k.range::INT AS alevel, ix >> (level - k.range)::INT AS ax, iy >> (level - k.range)::INT AS ay FROM leaf, range(4) k WHERE k.range < level", "smooth"))
+def _(spark, d):
+    leaf, _ = smooth_leaves(spark)
+    return M.ancestors(leaf, TREE).drop("tree")
+
+
+@query("a14_level_counts", with_views(FIELD_IN + "," + leaves_sql("inner0", "leaf", "channel") + "SELECT channel, k.range::INT AS level, count(leaf.ix) AS n FROM (SELECT DISTINCT channel FROM leaf) c CROSS JOIN range(4) k LEFT JOIN leaf ON leaf.channel = c.channel AND leaf.level = k.range GROUP BY 1, 2".replace("SELECT channel, k.range", "SELECT c.channel, k.range"), "field"))
+def _(spark, d):
+    _, inner, base = field_mesh(spark, d)
+    return E.level_counts(M.leaves(inner, base, ["channel"]), ["channel"], MAX_LEVEL)
+
+
+@query("a40_multiscale_loss", with_views("l AS (SELECT win, level, leaf, sqrt(sum((prediction - target) ^ 2) + 1e-12) AS l FROM pairs GROUP BY 1, 2, 3)\nSELECT win, round(avg(l), 5) AS loss FROM l GROUP BY 1", "pairs"))
+def _(spark, d):
+    return rounded(E.multiscale_loss(V.pairs(spark, d), ["win"], ["level", "leaf"]), ["win"], ["loss"], 5)
+
+
+@query("a41_full_field_loss", with_views("l AS (SELECT win, field, sqrt(sum((prediction - target) ^ 2) + 1e-12) AS l FROM pairs GROUP BY 1, 2)\nSELECT win, round(avg(l), 4) AS loss FROM l GROUP BY 1", "pairs"))
+def _(spark, d):
+    return rounded(E.full_field_loss(V.pairs(spark, d), ["win"], "field"), ["win"], ["loss"], 4)
+
+
+@query("a24_conserved_difference", with_views("SELECT win, field, round(abs(sum(prediction) - sum(target)) * 0.25 / 1000, 5) AS difference FROM pairs GROUP BY 1, 2", "pairs"))
+def _(spark, d):
+    return rounded(E.conserved_difference(V.pairs(spark, d), ["win", "field"], 0.5, 0.0005), ["win", "field"], ["difference"], 5)
+
+
+@query("a43_channel_range", with_views("SELECT channel, max(v) - min(v) AS span FROM field GROUP BY 1", "field"))
+def _(spark, d):
+    return V.field(spark, d).groupBy("channel").agg((F.max("v") - F.min("v")).alias("span"))
+
+
+@query("p3_latest_frame_detectors", with_views("SELECT traj_idx, pos, event_type, value FROM frames f WHERE pos = (SELECT max(pos) FROM frames g WHERE g.traj_idx = f.traj_idx) AND event_type IN ('click', 'view', 'purchase')", "frames"))
+def _(spark, d):
+    f = V.frames(spark, d)
+    last = f.groupBy("traj_idx").agg(F.max("pos").alias("pos"))
+    return f.join(last, ["traj_idx", "pos"], "left_semi").where(F.col("event_type").isin("click", "view", "purchase")).select("traj_idx", "pos", "event_type", "value")
+
+
+@query("j4_reference_dedupe", with_views("w AS (SELECT traj_idx, pos AS start, list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))\nSELECT DISTINCT f[3] AS reference FROM w WHERE len(f) = 4", "frames"))
+def _(spark, d):
+    return W.sliding(V.frames(spark, d), 3, 1).select(F.element_at("inputs", -1).alias("reference")).distinct()
+
+
+@query("j15_predictions_and_truth", with_views("w AS (SELECT traj_idx, pos AS start, list(value) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))\nSELECT k::INT AS step, round(sqrt(avg((f[3 + k] - f[3]) ^ 2)), 6) AS RMSE FROM w, range(1, 3) r(k) WHERE len(f) = 5 GROUP BY 1", "frames"))
+def _(spark, d):
+    w = W.extrapolate(W.sliding(V.frames(spark, d), 3, 2, frame="value"), 2, 3)
+    both = w.select(F.posexplode(F.zip_with("forecast", "targets", lambda p, t: F.struct(p.alias("prediction"), t.alias("target")))).alias("k", "p"))
+    both = both.select((F.col("k") + 1).alias("step"), "p.prediction", "p.target")
+    return rounded(E.evaluate(both, ["step"], ["RMSE"]), ["step"], ["RMSE"])
+
+
+@query("j17_common_steps", "SELECT DISTINCT l_linenumber AS step FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber < 6")
+def _(spark, d):
+    line = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("step"), "l_returnflag")
+    return line.where("l_returnflag = 'A'").select("step").intersect(line.where("l_returnflag = 'R' and step < 6").select("step"))
+
+
+@query("u5_inventory_digest", "SELECT o_custkey, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+def _(spark, d):
+    return load(spark, d, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "\n"), 256).alias("digest"))
+
+
+@query("o2_morton_order", with_views(BAL + """
+SELECT level, ix, iy, (SELECT sum(((((ix << (3 - level)) >> b) & 1) << (2 * b)) + ((((iy << (3 - level)) >> b) & 1) << (2 * b + 1))) FROM range(16) t(b))::BIGINT AS morton FROM leaf
+""", "smooth"))
+def _(spark, d):
+    leaf, _ = smooth_leaves(spark)
+    return leaf.select(*M.CELL, M.morton("level", "ix", "iy", MAX_LEVEL).alias("morton"))
