@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met, found = _compared(members, sketched, links, similarity)
             links.append(found)
             if level < LEVELS:
-                failed = met.join(found.where("similarity = 0").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("doc"), "root")
+                unlike = reduce(DataFrame.unionByName, [x.where("similarity = 0").select("a", "b") for x in links])  # in any step
+                failed = met.join(unlike, ["a", "b"], "left_semi").select("key", F.col("b").alias("doc"), "root")
                 finer = reps.select("doc", F.explode(F.slice("keys", SKETCHES + level * FINER + 1, FINER)).alias("more"))
                 members = failed.join(finer, "doc").select("doc", "root", F.xxhash64("key", "more").alias("key")).distinct()
                 if failed.isEmpty():

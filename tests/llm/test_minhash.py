@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 from conftest import DATA
 
-from meshlark.llm.minhash import SIMILARITY, aligned, drop_near_duplicates, near_duplicates, shingles
+from meshlark.llm.minhash import SIMILARITY, SKETCHES, aligned, drop_near_duplicates, near_duplicates, shingles, sketches
 
 
 def plain_similarity(x, y):
@@ -91,3 +91,30 @@ def test_large_group_and_frequent_passage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
     assert got == {d: d if d < 1000 else 1000 for d, _ in rows}
+
+
+def changed(words, places, mark):
+    return [f"{mark}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def classes(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+
+
+def test_pairs_behind_a_head_met_before(spark):
+    """a is like neither b nor c; b and c share no early sketch, and a has all sketches that they share."""
+    texts = []
+    for k in range(9000):
+        b = [f"k{k}w{i}" for i in range(200)]
+        c = changed(b, (40, 80, 120, 160), f"c{k}")
+        kb, kc = (sketches(shingles(" ".join(t)))[:SKETCHES] for t in (b, c))
+        shared = np.flatnonzero(kb == kc)
+        if len(shared) and shared[0] >= 6:
+            a = changed(b, (20, 40, 80, 120, 160), f"a{k}")
+            ka = sketches(shingles(" ".join(a)))[:SKETCHES]
+            if (ka[shared] == kb[shared]).all() and (ka == kb)[:6].any() and (ka == kc)[:6].any():
+                texts += [a, b, c]
+    assert len(texts) >= 6
+    got = classes(spark, texts)
+    assert [i for i in range(0, len(texts), 3) if (got[i], got[i + 1], got[i + 2]) != (i, i + 1, i + 1)] == []
