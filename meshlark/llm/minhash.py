@@ -7,10 +7,12 @@ edit distance and not for the same shingles in another order. Documents that sha
 candidates; a banded alignment of their shingle sequences decides: m aligned shingles of n1 and n2
 are a similarity of m / (n1 + n2 - m), the order-true form of the Jaccard similarity.
 
-Candidates are no pairs of all members of a bucket. Each member is compared with the bucket's least
-document; those that fail are dealt again by the bucket and a further sketch, and compared with the
-least there, and again. A group of n near copies so costs about n comparisons, while members that
-only share a frequent passage part in the finer buckets.
+Each member of a bucket is compared with the bucket's least document first, by a few sketches and then
+by the rest, so a group of n near copies costs about n comparisons. Then all members that are still
+in different groups meet, block by block. A document carries the counts of its shingles by hash in
+BINS bins: two documents have at most the sum of the lesser counts in common, and pairs for which
+that is too little are not aligned. The work on a bucket of several groups is so quadratic, but
+members that only share a frequent passage cost a subtraction of short vectors and no alignment.
 """
 
 from __future__ import annotations
@@ -25,17 +27,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import components, discard, written
+from meshlark.llm.common import components, discard, shuffle_partitions, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches and shingles of each: at similarity 0.8 a pair shares none of the first kind with
 #: probability (1 - 0.8**4)**24 = 3e-6. The first FIRST of them go ahead, so that what they link need
-#: not be compared by the rest. The others split the buckets again: two levels of eight.
-SKETCHES, SIZE, FIRST, FINER, FINER_SIZE, LEVELS = 24, 4, 6, 8, 3, 2
+#: not be compared by the rest.
+SKETCHES, SIZE, FIRST = 24, 4, 6
+#: Bins of a document's shingle counts, and members of a bucket that meet at once.
+BINS, BLOCK = 128, 256
 WORD = re.compile(r"\w+")
 _RANDOM = np.random.Generator(np.random.PCG64(77))
-_MULTIPLY = _RANDOM.integers(1, 2**63, size=SKETCHES + LEVELS * FINER, dtype=np.uint64) | np.uint64(1)
-_ADD = _RANDOM.integers(1, 2**63, size=SKETCHES + LEVELS * FINER, dtype=np.uint64)
+_MULTIPLY = _RANDOM.integers(1, 2**63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
+_ADD = _RANDOM.integers(1, 2**63, size=SKETCHES, dtype=np.uint64)
 _PLACE = _RANDOM.integers(1, 2**63, size=(3, 16), dtype=np.uint64) | np.uint64(1)
 SPAN = 2_000_000  # hash values held at once for one text
 
@@ -82,7 +86,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
 
 def sketches(s: np.ndarray) -> np.ndarray:
     """One hash for each sketch: the SIZE least labelled shingles, in text order."""
-    x, out, total = labelled(s), [], SKETCHES + LEVELS * FINER
+    x, out, total = labelled(s), [], SKETCHES
     step = max(1, SPAN // len(x))
     for lo in range(0, total, step):
         hi = min(total, lo + step)
@@ -90,8 +94,7 @@ def sketches(s: np.ndarray) -> np.ndarray:
         v ^= v >> np.uint64(31)
         v *= np.uint64(0x9FB21C651E98DF25)
         for i in range(lo, hi):
-            size = SIZE if i < SKETCHES else FINER_SIZE
-            at = np.argpartition(v[i - lo], size - 1)[:size] if len(x) > size else np.arange(len(x))
+            at = np.argpartition(v[i - lo], SIZE - 1)[:SIZE] if len(x) > SIZE else np.arange(len(x))
             at.sort()
             out.append((x[at] * _PLACE[1, : len(at)]).sum(dtype=np.uint64) + np.uint64(i) * np.uint64(0xD6E8FEB86659FD93))
     return mixed(np.array(out, np.uint64)).view(np.int64)
@@ -143,10 +146,12 @@ def _sketched(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingles(text)
             if len(s):
-                rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), sketches(s), z.compress(text.encode("utf-8", "surrogatepass"))))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCHES + LEVELS * FINER), np.concatenate(cols[2]) if rows else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), keys, pa.array(cols[3], pa.binary())], ["doc", "mark", "keys", "packed"])
+                bins = np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                bins = z.compress(bins.astype("<u4").tobytes())
+                rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), sketches(s), bins, z.compress(text.encode("utf-8", "surrogatepass"))))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCHES), np.concatenate(cols[2]) if rows else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), keys, pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["doc", "mark", "keys", "bins", "packed"])
 
 
 def _verified(batches, least: float):
@@ -163,13 +168,53 @@ def _verified(batches, least: float):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
 
-def _compared(members: DataFrame, sketched: DataFrame, before: list[DataFrame], least: float) -> tuple[DataFrame, DataFrame]:
-    """Each member (doc, root, key) of a bucket of several groups beside the bucket's least document:
-    (key, a, b, root), and the similarity of each pair (a, b) that was not compared before."""
-    heads = members.groupBy("key").agg(F.min(F.struct("doc", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
-    heads = heads.where("low < high").select("key", F.col("head.doc").alias("a"), F.col("head.root").alias("of"))
-    met = written(members.join(heads, "key").where("root <> of").select("key", "a", F.col("doc").alias("b"), "root"), "omh-met")
-    pairs = met.select("a", "b").distinct()
+def _meeting(batches, least: float):
+    """Rows (key, i, j, side, doc, root, bins) in order of key, i, j: pairs (a, b) of side 0 with side 1
+    (within side 0 where i = j) of different roots that have enough shingles in common."""
+    opened = zstandard.ZstdDecompressor()
+    now, rows, out = None, ([], []), ([], [])
+
+    def settle():
+        if now is None or not rows[0] or not (now[1] == now[2] or rows[1]):
+            return
+        sides = []
+        for side in rows:
+            h = np.stack([np.frombuffer(opened.decompress(r[2]), "<u4") for r in side]).astype(np.int64) if side else np.zeros((0, BINS), np.int64)
+            order = np.argsort(h.sum(1), kind="stable")
+            sides.append((np.array([r[0] for r in side], np.int64)[order], np.array([r[1] for r in side], np.int64)[order], h[order].astype(np.uint16 if h.max(initial=0) < 65536 else np.uint32), h.sum(1)[order]))
+        left, (docs, roots, h, n) = sides[0], sides[0] if now[1] == now[2] else sides[1]
+        for doc, root, own, size in zip(*left, strict=True):
+            # m in common are a similarity of at least least only if m (1 + least) >= least (n1 + n2)
+            lo, hi = np.searchsorted(n, least * size - 1e-6), np.searchsorted(n, size / least + 1e-6, "right")
+            common = np.minimum(h[lo:hi], own).sum(1, dtype=np.int64)
+            good = (common * (1 + least) >= least * (n[lo:hi] + size) - 1e-6) & (roots[lo:hi] != root)
+            if now[1] == now[2]:
+                good &= docs[lo:hi] > doc
+            other = docs[lo:hi][good]
+            out[0].append(np.minimum(other, doc))
+            out[1].append(np.maximum(other, doc))
+
+    def send():
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        pairs = np.unique(np.stack(cols), axis=1)
+        for c in out:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for key, i, j, side, doc, root, bins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, i, j) != now:
+                settle()
+                now, rows = (key, i, j), ([], [])
+                if len(out[0]) > 20_000:
+                    yield send()
+            rows[side].append((doc, root, bins))
+    settle()
+    yield send()
+
+
+def _verify(pairs: DataFrame, sketched: DataFrame, before: list[DataFrame], least: float) -> DataFrame:
+    """The similarity of each of pairs (a, b) that was not compared before."""
     for done in before:
         pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
     pairs = written(pairs, "omh-pairs")
@@ -179,7 +224,30 @@ def _compared(members: DataFrame, sketched: DataFrame, before: list[DataFrame],
     found = both.select("a", "b", "pa", "pb").mapInArrow(lambda it: _verified(it, least), "a long, b long, similarity double")
     found = written(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "omh-links")
     discard(texts)
-    return met, found
+    discard(pairs)
+    return found
+
+
+def _with_heads(members: DataFrame) -> DataFrame:
+    """Each member (doc, root, key) of a bucket of several groups beside the bucket's least document: pairs (a, b)."""
+    heads = members.groupBy("key").agg(F.min(F.struct("doc", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+    heads = heads.where("low < high").select("key", F.col("head.doc").alias("a"), F.col("head.root").alias("of"))
+    return members.join(heads, "key").where("root <> of").select("a", F.col("doc").alias("b")).distinct()
+
+
+def _across_groups(members: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of members (doc, root, key) of a bucket and of different groups that may be alike.
+
+    Members are dealt over blocks by a hash; two blocks meet in one task, none holds a bucket.
+    """
+    parts = 2 * shuffle_partitions(members.sparkSession)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")).cast("int")).join(bins, "doc")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc", "root", "bins")
+    dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(lambda it: _meeting(it, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -194,34 +262,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with packed texts, links) are written to the shared folder; no step holds a bucket in one task.
     """
     ids = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    sketched = ids.where("doc is not null and text is not null").mapInArrow(_sketched, "doc long, mark binary, keys array<long>, packed binary")
+    sketched = ids.where("doc is not null and text is not null").mapInArrow(_sketched, "doc long, mark binary, keys array<long>, bins binary, packed binary")
     sketched = written(sketched, "omh")
     first = sketched.groupBy("mark").agg(F.min("doc").alias("rep"))
     copies = sketched.select("doc", "mark").join(first, "mark").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
-    reps = sketched.select("doc", "mark", "keys").join(first.select("mark", F.col("rep").alias("doc")), ["mark", "doc"], "left_semi")
-    reps = written(reps.select("doc", "keys"), "omh-reps")
-    part = lambda lo, n: F.explode(F.slice("keys", lo + 1, n)).alias("key")
+    reps = sketched.select("doc", "mark", "keys", "bins").join(first.select("mark", F.col("rep").alias("doc")), ["mark", "doc"], "left_semi")
+    reps = written(reps.select("doc", "keys", "bins"), "omh-reps")  # rows that share an id may be several
+
+    def members(lo: int, n: int) -> DataFrame:
+        parts = reps.select("doc", F.explode(F.slice("keys", lo + 1, n)).alias("key"))
+        if classes is None:
+            return parts.withColumn("root", F.col("doc"))
+        return parts.join(classes.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("root"), "key")
+
+    def grouped(more: DataFrame | None = None) -> DataFrame:
+        edges = [x.where("similarity > 0").select("a", "b") for x in links] + ([more] if more is not None else [])
+        return components(reduce(DataFrame.unionByName, edges))
 
     links: list[DataFrame] = []
     classes = None
-    for lo, n in ((0, FIRST), (FIRST, SKETCHES - FIRST)):
-        members = reps.select("doc", part(lo, n))
-        if classes is None:
-            members = members.withColumn("root", F.col("doc"))
-        else:  # what is in one group already need not be compared
-            members = reps.join(classes.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("root"), part(lo, n))
-        for level in range(LEVELS + 1):
-            met, found = _compared(members, sketched, links, similarity)
-            links.append(found)
-            if level < LEVELS:
-                unlike = reduce(DataFrame.unionByName, [x.where("similarity = 0").select("a", "b") for x in links])  # in any step
-                failed = met.join(unlike, ["a", "b"], "left_semi").select("key", F.col("b").alias("doc"), "root")
-                finer = reps.select("doc", F.explode(F.slice("keys", SKETCHES + level * FINER + 1, FINER)).alias("more"))
-                members = failed.join(finer, "doc").select("doc", "root", F.xxhash64("key", "more").alias("key")).distinct()
-                if failed.isEmpty():
-                    break
-        edges = reduce(DataFrame.unionByName, [x.where("similarity > 0").select("a", "b") for x in links])
-        classes = components(edges if lo == 0 else edges.unionByName(copies))
+    for lo, n in ((0, FIRST), (FIRST, SKETCHES - FIRST)):  # what is in one group already need not be compared
+        links.append(_verify(_with_heads(members(lo, n)), sketched, links, similarity))
+        classes = grouped()
+    links.append(_verify(_across_groups(members(0, SKETCHES), reps.select("doc", "bins"), similarity), sketched, links, similarity))
+    classes = grouped(copies)
     kind = docs.schema[id_col].dataType
     out = ids.select("doc").join(classes.select(F.col("id").alias("doc"), "component"), "doc", "left")
     out = out.select(F.col("doc").cast(kind).alias(id_col), F.coalesce("component", "doc").cast(kind).alias("class_id"))
