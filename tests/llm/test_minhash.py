@@ -138,3 +138,13 @@ def test_pairs_in_a_large_family(spark):
     assert len(texts) - len(set(want)) >= 15
     got = classes(spark, texts)
     assert [i for i, w in enumerate(want) if got[i] != w] == []
+
+
+def test_documents_like_a_member_but_not_the_head(spark):
+    """a and b are nearly equal; c is 0.81 like b and 0.77 like a, which has the least id."""
+    texts = []
+    for k in range(100):
+        b = [f"k{k}w{i}" for i in range(200)]
+        texts += [changed(b, (20,), f"a{k}"), b, changed(b, (40, 80, 120, 160), f"c{k}")]
+    got = classes(spark, texts)
+    assert [i for i in got if got[i] != i // 3 * 3] == []
