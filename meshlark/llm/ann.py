@@ -28,7 +28,7 @@ EF, ENTRIES, EXPAND = 128, 48, 8
 def _points(batches, single: bool):
     for batch in batches:
         at, vectors = parsed(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.astype(np.float32 if single else np.float64).tobytes() for v in vectors], pa.binary())], ["id", "dim", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([len(v) for v in vectors], pa.int32()), pa.array([(v.astype(np.float32 if single else np.float64) + 0).tobytes() for v in vectors], pa.binary())], ["id", "dim", "vec"])
 
 
 def _stack(vectors: list[bytes], single: bool) -> np.ndarray:
@@ -116,7 +116,7 @@ def _search(x: np.ndarray, starts: np.ndarray, links: np.ndarray, q: np.ndarray,
     opened = np.zeros(len(beam), bool)
     while True:
         if len(beam) > ef:
-            keep = np.argpartition(-score, ef - 1)[:ef]
+            keep = np.lexsort((beam, -score))[:ef]  # rows are in order of id
             beam, score, opened = beam[keep], score[keep], opened[keep]
         fresh = np.flatnonzero(~opened)
         if not len(fresh):
@@ -151,8 +151,6 @@ def _answers(shard: pa.Table, queries: pa.Table, single: bool, k: int, ef: int)
             at = int(np.searchsorted(ids, q))
             entry = np.union1d(entries, [at]) if at < len(ids) and ids[at] == q else entries
             got, score = _search(x, starts, both[1], v, entry, ef)
-            own = ids[got] != q
-            got, score = got[own], score[own]
             got = np.lexsort((ids[got], -score))[:k], got, score
             out[0].append(np.full(len(got[0]), q, np.int64))
             out[1].append(ids[got[1][got[0]]])
@@ -169,6 +167,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     a null id take no part; vectors meet those of their own length; of rows that share an id one
     takes part (the least as bytes). An empty table gives no rows; other columns are not read.
 
+    Equal vectors are one node, under their least id, and stand for all their ids in the last merge.
     Every row is indexed. Queries go to all shards, in blocks: the work is queries times shards, and
     what a task holds is one shard and the queries' vectors in it.
     """
@@ -176,14 +175,25 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     base = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     points = base.where("id is not null and v is not null").select("id", "v").mapInArrow(lambda it: _points(it, single), "id long, dim int, vec binary")
     points = written(points.groupBy("id").agg(F.min(F.struct("vec", "dim")).alias("p")).select("id", "p.dim", "p.vec"), "ann-points")
+    nodes = points.groupBy("dim", "vec").agg(F.min("id").alias("node"))
+    alike = written(points.join(nodes, ["dim", "vec"]).select("id", "node"), "ann-alike")
+    points = written(nodes.select(F.col("node").alias("id"), "dim", "vec"), "ann-nodes")
     shards = max(1, -(-points.count() // shard_size))
     points = points.withColumn("shard", F.xxhash64("dim", F.pmod(F.xxhash64("id"), F.lit(shards))))
     graph = neighbour_graph(points.select("shard", "id", "vec"), single)
     lists = graph.groupBy("id").agg(F.collect_list("near").alias("near"))  # DEGREE long at most
     nodes = points.join(lists, "id", "left").select("shard", "id", "vec", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    asked = points.join(base.where("asked").select("id").distinct(), "id", "left_semi")
+    wanted = alike.join(base.where("asked").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
+    asked = points.join(wanted.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
     places = points.select("dim", "shard").distinct()
     queries = asked.select("id", "dim", "vec").join(places, "dim").select(F.col("shard").alias("at"), F.col("id").alias("query"), F.col("vec").alias("sought"))
-    found = nodes.groupBy("shard").cogroup(queries.groupBy("at")).applyInArrow(lambda s, q: _answers(s, q, single, k, ef), "query_id long, vec_id long, score double")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # k others of a query are among the least ids of the k + 1 best nodes: each node before one gives an id before it
+    found = nodes.groupBy("shard").cogroup(queries.groupBy("at")).applyInArrow(lambda s, q: _answers(s, q, single, k + 1, ef), "query_id long, vec_id long, score double")
+    found = found.select(F.col("query_id").alias("query"), F.col("vec_id").alias("node"), "score")
+    best = lambda df, key, last: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), last)))
+    found = best(found, "query", "node").where(F.col("rank") <= k + 1).drop("rank")
+    least = alike.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("rank") <= k + 1)
+    found = found.join(least.select("node", F.col("id").alias("vec_id")), "node")
+    found = best(found, "query", "vec_id").where(F.col("rank") <= k + 1).drop("rank")
+    found = found.join(wanted, "query").where("vec_id <> query_id")
+    return best(found, "query_id", "vec_id").where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -35,3 +35,19 @@ def test_odd_rows(spark):
     want = sorted((-sum(a * b for a, b in zip(vectors[0], v, strict=True)), i) for i, v in vectors.items() if i)
     assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_groups_of_equal_vectors(spark):
+    """A third of the rows are copies of one vector: queries on it get the least ids of all."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1800, 16))
+    x[rng.permutation(1800)[:600]] = x[7] / np.linalg.norm(x[7]) * 20  # nearest to itself
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0, shard_size=900).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    copies = np.flatnonzero((x == x[np.flatnonzero(np.linalg.norm(x, axis=1) > 19.9)[0]]).all(1))
+    asked = [q for q in copies.tolist() if q % 20 == 0]
+    assert len(copies) >= 600 and len(asked) >= 15
+    for q in asked:
+        assert [got[q][k] for k in range(1, 21)] == [i for i in copies.tolist() if i != q][:20]
