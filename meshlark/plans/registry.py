@@ -407,6 +407,16 @@ def _(spark, d):
     return T.max_concurrency(V.access(spark, d).where("event_id % 5 = 0"), [], "start_ns", "end_ns")
 
 
+@query("a34_max_concurrency_whole", with_views("""
+e AS (SELECT start_ns, end_ns, row_number() OVER (ORDER BY start_ns, event_id) AS k FROM access),
+v AS (SELECT start_ns AS t, 1 AS phase, k, 1 AS d FROM e UNION ALL SELECT end_ns, CASE WHEN end_ns > start_ns THEN 0 ELSE 1 END, k, -1 FROM e),
+s AS (SELECT sum(d) OVER (ORDER BY t, phase, k, d DESC ROWS UNBOUNDED PRECEDING) AS n FROM v)
+SELECT max(n)::BIGINT AS most FROM s
+""", "access"))
+def _(spark, d):
+    return T.max_concurrency(V.access(spark, d), [], "start_ns", "end_ns")
+
+
 @query("a35_miss_contention", with_views(OPEN.format(keys="key,", akeys="a.key,", cond="NOT cache_hit", join="a.key = b.key AND", group="GROUP BY key"), "access"))
 def _(spark, d):
     return T.max_concurrency(V.access(spark, d).where("NOT cache_hit"), ["key"], "start_ns", "end_ns")
