@@ -211,6 +211,11 @@ def _(spark, d):
     return S.duplicates(load(spark, d, "events").where("event_id % 50 = 0"), "user_id", "event_type")
 
 
+@query("j19_role_overlap_whole", "SELECT user_id, count(DISTINCT event_type) AS roles FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+def _(spark, d):
+    return S.duplicates(load(spark, d, "events"), "user_id", "event_type")
+
+
 @query("j1_window_frames", with_views("""
 w AS (SELECT traj_idx, pos AS start, list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
 e AS (SELECT traj_idx, start, unnest(f) AS frame_id, generate_subscripts(f, 1) - 1 AS slot FROM w WHERE len(f) = 4 AND start % 4 = 0)
@@ -222,6 +227,17 @@ def _(spark, d):
     return w.join(f.select("frame_id", F.round("value", 4).alias("value")), "frame_id").drop("frame_id")
 
 
+@query("j1_window_frames_whole", with_views("""
+w AS (SELECT traj_idx, pos AS start, list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+e AS (SELECT traj_idx, start, unnest(f) AS frame_id, generate_subscripts(f, 1) - 1 AS slot FROM w WHERE len(f) = 4)
+SELECT e.traj_idx, start, slot::INT AS slot, round(value, 4) AS value FROM e JOIN frames USING (frame_id)
+""", "frames"))
+def _(spark, d):
+    f = V.frames(spark, d)
+    w = W.sliding(f, 4, 0).select("traj_idx", "start", F.posexplode("inputs").alias("slot", "frame_id"))
+    return w.join(f.select("frame_id", F.round("value", 4).alias("value")), "frame_id").drop("frame_id")
+
+
 @query("a42_reference_counts", with_views("""
 w AS (SELECT list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
 SELECT frame_id, count(*) AS refs FROM (SELECT unnest(f) AS frame_id FROM w WHERE len(f) = 5) GROUP BY 1
