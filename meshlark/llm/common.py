@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; set here only in local mode, where the session has none (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if set_dir:
-            return set_dir
-        at = "/tmp/checkpoints/meshlark"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="meshlark-")  # driver and executors are one process here
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -53,18 +54,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): one row (id, component) per vertex with an edge.
 
     component is the smallest id reachable. Alternating large-star and small-star steps; each
     step is a min-aggregation (combined before its shuffle) and a join back, so a hub vertex is
     never gathered into one row, and AQE splits its skewed join. Every round is written to the
-    shared folder. Null ends are ignored; self loops only say that the vertex exists.
+    shared folder, and rounds go on until nothing changes. Null ends and self loops are ignored.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     now = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u, and u's own tree, points to u's least neighbour
         sym = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -87,3 +88,33 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         last = (mark["n"], mark["h"])
     roots = now.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+#: Emptied when another operator takes over the worker: name -> what empties its memory.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Say how the module ``name`` empties what it keeps between a worker's tasks."""
+    _MEMORIES[name] = forget
+
+
+def only(name: str) -> None:
+    """Called when a task of ``name`` begins: a worker, which Spark reuses over jobs, keeps one operator's memory."""
+    for other, forget in _MEMORIES.items():
+        if other != name:
+            forget()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: whatever they are called, they clash with nothing."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name that numbered() gives a column: the exact one, else the one that differs in case only."""
+    names = df.columns
+    found = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return f"c{found[0]}"
