@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, SIZE = 18, 3
 #: Documents that are compared with one document in one go.
 BESIDE = 512
+#: Shingles before one under which a document's pairs are looked for, so as not to send them again.
+BEFORE = 16
 WORD = re.compile(r"\w+")
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _RANDOM.integers(1, 2**63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -210,7 +212,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the distinct pairs (a, b) that have at least the similarity. The text of a document
     with many partners is sent once for BESIDE of them, to another task each time."""
     pairs = written(pairs, "omh-pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "omh-parts")
     # one part for documents with few partners, which need no count
     dealt = pairs.join(parts.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     left = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("doc", "a"), "a")
@@ -220,6 +222,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     found = rows.mapInArrow(lambda it: _verified(it, least), "a long, b long, similarity double")
     links = written(found.where("similarity > 0").select("a", "b"), "omh-links")
     discard(pairs)
+    discard(parts)
     return links
 
 
@@ -256,12 +259,15 @@ def _across_groups(texts: DataFrame, roots: DataFrame, least: float) -> DataFram
     groups = first.groupBy("shingle", "root").agg(F.count("*").alias("rows"), F.max("index").alias("index"))
     groups = groups.groupBy("shingle").agg(F.max(F.struct("rows", "root")).alias("top"), F.count("*").alias("groups"), F.max("index").alias("index"))
     first = first.join(groups.where("groups > 1 and index").select("shingle", F.col("top.root").alias("top")), "shingle")
+    # a pair that has met under one of the shingles before need not again
+    before = F.collect_list("shingle").over(Window.partitionBy("doc").orderBy("at").rowsBetween(-BEFORE, -1))
+    first = first.withColumn("before", before)
     side = F.col("root") == F.col("top")
-    x = first.where("index").select("shingle", side.alias("side"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "root")])
-    y = first.select("shingle", F.explode(F.when(side, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("side"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "root")])
+    x = first.where("index").select("shingle", side.alias("side"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "root", "before")])
+    y = first.select("shingle", F.explode(F.when(side, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("side"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "root", "before")])
     enough = (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) * (1 + least) >= least * (F.col("x_n") + F.col("y_n")) - 1e-6
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_doc") < F.col("y_doc")))
-    met = x.join(y, ["shingle", "side"]).where(smaller & enough & (F.col("x_root") != F.col("y_root")))
+    met = x.join(y, ["shingle", "side"]).where(smaller & enough & (F.col("x_root") != F.col("y_root")) & ~F.arrays_overlap("x_before", "y_before"))
     return met.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
