@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import shuffle_partitions
+from meshlark.llm.common import numbered, only, place, remembers, shuffle_partitions
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 TURNS = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>", re.DOTALL)
@@ -61,9 +62,11 @@ class Formatter:
 
 
 _LOADED: dict[tuple, Formatter] = {}
+remembers("chat", _LOADED.clear)
 
 
 def loaded(path: str, loss_role: str) -> Formatter:
+    only("chat")
     if (path, loss_role) not in _LOADED:
         _LOADED[path, loss_role] = Formatter(path, loss_role)
     return _LOADED[path, loss_role]
@@ -88,9 +91,16 @@ def _blocks(batches, formatter: Formatter):
         yield now, k, formatter.block(turns), True
 
 
+def _id_type(batches):
+    """The Arrow type of the first column, and the batches again."""
+    first = next(batches, None)
+    return (pa.null(), iter(())) if first is None else (first.schema.field(0).type, chain([first], batches))
+
+
 def _ordered(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    rows = rows.select(rows[id_col].alias("conv"), rows[role_col].alias("role"), rows[text_col].alias("text"), rows[turn_col].alias("turn"))
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "conv").sortWithinPartitions("conv", "turn", "role", "text")
+    plain = numbered(rows)
+    plain = plain.select(*[plain[place(rows, c)].alias(n) for c, n in ((id_col, "conv"), (role_col, "role"), (text_col, "text"), (turn_col, "turn"))])
+    return plain.repartition(shuffle_partitions(rows.sparkSession), "conv").sortWithinPartitions("conv", "turn", "role", "text")
 
 
 def format_conversations(rows: DataFrame, path: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -104,10 +114,11 @@ def format_conversations(rows: DataFrame, path: str, id_col: str = "conv_id", tu
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        ids, batches = _id_type(batches)
+        schema = pa.schema([("id", ids), ("block", pa.int32()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))])
         for conv, k, b, _ in _blocks(batches, loaded(path, loss_role)):
             yield pa.RecordBatch.from_pylist([{"id": conv, "block": k, "formatted": b["formatted"], "ids": b["ids"], "loss": [{"first": i, "stop": j} for i, j in b["loss_tokens"]]}], schema=schema)
 
-    schema = pa.schema([("id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("block", pa.int32()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))])
     out = _ordered(rows, id_col, turn_col, role_col, text_col).mapInArrow(run, f"id {kind}, block int, formatted string, ids array<int>, loss array<struct<first:bigint,stop:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
@@ -118,6 +129,9 @@ def conversation_digests(rows: DataFrame, path: str, id_col: str = "conv_id", tu
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        ids, batches = _id_type(batches)
+        types = (ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         out, turns, loss = [], hashlib.sha256(), hashlib.sha256()
         n = chars = length = 0
         for conv, _, b, last in _blocks(batches, loaded(path, loss_role)):
@@ -138,10 +152,7 @@ def conversation_digests(rows: DataFrame, path: str, id_col: str = "conv_id", tu
         if out:
             yield batch_of(out)
 
-    ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    types = (ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
     done = _ordered(rows, id_col, turn_col, role_col, text_col).mapInArrow(run, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return done.withColumnRenamed("id", id_col)
 

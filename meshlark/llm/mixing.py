@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import numbered, place
+
 #: 13 hexadecimal digits of a digest are a number below 2**52, exact in a double.
 HEX, SCALE = 13, float(2**52)
 
@@ -37,8 +39,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float], source_col: str = "
     the other sources (null included) in proportion to their size. budget_chars: by default the
     size of the input. At most len(weights) + 1 sums come to the driver.
     """
-    named = F.when(F.col(source_col).isin(*weights), F.col(source_col)) if weights else F.lit(None).cast("string")
-    sums = {r["s"]: float(r["n"] or 0) for r in docs.groupBy(named.alias("s")).agg(F.sum(F.length(text_col)).alias("n")).collect()}
+    if any(not 0 <= w <= 1 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
+        raise ValueError("weights are shares of the whole: each from 0 to 1, and no more than 1 in all")
+    rows, source = numbered(docs), F.col(place(docs, source_col))
+    named = F.when(source.isin(*weights), source) if weights else F.lit(None).cast("string")
+    sums = {r["s"]: float(r["n"] or 0) for r in rows.groupBy(named.alias("s")).agg(F.sum(F.length(place(docs, text_col))).alias("n")).collect()}
     total = budget_chars if budget_chars is not None else sum(sums.values())
     rest = max(0.0, 1.0 - sum(weights.values()))
     rate = lambda w, n: w * total / n if n > 0 else 0.0
@@ -52,25 +57,22 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", id_col:
     (seed, id), so it needs no state and is the same in every run. Rows with count 0 go: that is the
     sampling. A null text has no characters, a null source is one of the unlisted; rows that repeat
     an id get equal counts; an empty table gives an empty result. Input columns named copy or
-    shuffle_key are replaced.
+    shuffle_key, in any case, are replaced; others, whatever their names, pass through. Weights
+    outside 0 to 1, or of more than 1 together, raise ValueError.
 
     The rows are dealt out by shuffle_key, a digest of (seed, id, copy), and sorted by it within
     each partition: a global shuffle without a sampling pass, even whatever the sources' sizes.
     """
     rates, other = source_rates(docs, weights, source_col, text_col, budget_chars)
-    u = hash_uniform(F.lit(seed), F.col(id_col))
-    count = lambda rate: F.size(F.filter(F.array(*[F.lit(p) for p in poisson_cdf(rate)]), lambda p: p <= F.col("_u")))
+    rows, doc, source = numbered(docs), F.col(place(docs, id_col)), F.col(place(docs, source_col))
+    u = hash_uniform(F.lit(seed), doc)
+    count = lambda rate: F.size(F.filter(F.array(*[F.lit(p) for p in poisson_cdf(rate)]), lambda p: p <= F.col("u")))
     n = None
     for s, rate in rates.items():
-        n = (F.when if n is None else n.when)(F.col(source_col) == s, count(rate))
+        n = (F.when if n is None else n.when)(source == s, count(rate))
     n = count(other) if n is None else n.otherwise(count(other))
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    out = (
-        docs.select(*kept, u.alias("_u"))
-        .select(*kept, n.alias("_n"))
-        .where("_n > 0")
-        .select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    )
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
-    out = out.withColumn("shuffle_key", key)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    kept = {f"c{i}": c for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "shuffle_key")}
+    out = rows.select("*", u.alias("u")).select("*", n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(doc.cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    out = out.select(*kept, "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.toDF(*kept.values(), "copy", "shuffle_key")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import shuffle_partitions
+from meshlark.llm.common import numbered, only, place, remembers, shuffle_partitions
 
 WINDOW = 13
 #: Words gathered by a task before it sends its packed arrays; bounds its memory.
@@ -46,6 +46,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+remembers("substring", _HASHES.clear)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -191,9 +192,11 @@ def _probes(batches, groups: int, window: int):
             rows.append((int(part[i[0]]), 0, pack(d, t, p, [k.astype(np.uint32)])))
         return rows
 
+    only("substring")
     hs, docs, marks, total = [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
             if doc is None or not text:
                 continue
             words = words_of(text)
@@ -291,7 +294,8 @@ def _packed(batches, groups: int):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         docs, texts = batch.column(0), [None if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        key = home(np.array([0 if d is None else d for d in docs.to_pylist()], np.int64), groups)
+        ids = docs.to_pylist()  # rows with a null id meet nothing, so any group does: they are spread
+        key = home(np.array([k if d is None else d for k, d in enumerate(ids)], np.int64), groups)
         tags = [0 if t is None else xxhash.xxh32_intdigest(t) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), docs, pa.array(tags, pa.int64()), pa.array([None if t is None else z.compress(t) for t in texts], pa.binary()), *batch.columns[2:]], ["key", "doc", "tag", "packed", *batch.schema.names[2:]])
 
@@ -318,17 +322,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text has no words and stays null; texts under a window lose nothing; a row with a null id
     neither loses nor removes anything; rows that share an id do not remove one another's words;
-    repeated rows stay; an empty table gives no rows. A column named removed is replaced.
+    repeated rows stay; an empty table gives no rows. A column named removed, in any case, is replaced;
+    others, whatever their names, pass through.
     """
     import hashlib
 
     spark = docs.sparkSession
     groups = shuffle_partitions(spark) * 3 // 2
-    rest = [c for c in docs.columns if c not in (id_col, text_col, "removed")] if output == "text" else []
-    base = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
+    rows, doc, text = numbered(docs), place(docs, id_col), place(docs, text_col)
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rest = [c for c, name in names.items() if c not in (doc, text) and name.lower() != "removed"] if output == "text" else []
+    base = rows.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     kind = "key long, kind int, data binary"
-    carried = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    fields = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
+    carried = rows.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), *rest)
+    fields = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in rest)
     packed = carried.mapInArrow(lambda it: _packed(it, groups), f"key long, doc long, tag long, packed binary{fields}")
 
     probes = base.mapInArrow(lambda it: _probes(it, groups, window), kind)
@@ -353,12 +360,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*cols, strict=True)) or [[]] * (2 if output == "text" else 3)
         if output == "text":
             runs = pa.array(cols[1], pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))
-            return pa.Table.from_arrays([texts.column("doc"), pa.array(cols[0], pa.string()), *[texts.column(f"c{i}") for i in range(len(rest))], runs], names=["doc", "text", *[f"c{i}" for i in range(len(rest))], "removed"])
+            return pa.Table.from_arrays([texts.column("doc"), pa.array(cols[0], pa.string()), *[texts.column(c) for c in rest], runs], names=["doc", "text", *rest, "removed"])
         return pa.Table.from_arrays([texts.column("doc"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256"])
 
     result = f"doc long, text string{fields}, removed array<struct<first:bigint,stop:bigint>>" if output == "text" else "doc long, n_words long, n_removed long, kept_sha256 string"
     out = repeats.groupBy("key").cogroup(packed.groupBy("key")).applyInArrow(finish, result)
     if output == "text":
-        back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
-        return out.select(*[back[c].alias(c) for c in docs.columns if c in back], "removed")
+        back = {doc: F.col("doc").cast(rows.schema[doc].dataType), text: F.col("text")} | {c: F.col(c) for c in rest}
+        kept = [c for c in names if c in back]
+        return out.select(*[back[c].alias(c) for c in kept], "removed").toDF(*[names[c] for c in kept], "removed")
     return out.withColumnRenamed("doc", id_col)

@@ -19,11 +19,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import numbered, only, place
+
 #: Labelled rows that training reads at most, of each class; the bound is a parameter of train().
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
+#: Characters of text that training reads at most, of each class.
+TOXIC_CHARS, ORDINARY_CHARS = 8_000_000, 16_000_000
 WINDOW, DICTIONARY = 32, 8192
 #: A toxic stretch begins words in this share of toxic texts at least, is so many times as frequent as
 #: in ordinary ones, and has this log-likelihood ratio; so long and so many at most.
@@ -197,20 +201,28 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Fit on at most toxic_rows and ordinary_rows labelled texts, chosen by a hash of their id, none held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, toxic_chars: int = TOXIC_CHARS, ordinary_chars: int = ORDINARY_CHARS) -> Model:
+    """Fit on at most toxic_rows and ordinary_rows labelled texts of so many characters together, chosen
+    by a hash of their id, none held out.
 
-    The ids are chosen from the labels alone; only their texts come to the driver. Rows with a null
-    id or label teach nothing.
+    The ids are chosen from the labels alone; only their whole texts come to the driver, those that
+    fit under the bound in order of the hash. Rows with a null id or label, and ids that have both
+    labels, teach nothing; of rows that share an id one text does.
     """
-    ids = []
+    ids, named = [], numbered(labels)
+    once = named.where(f"{place(labels, 'toxic')} in (0, 1)").groupBy(F.col(place(labels, id_col)).alias("id")).agg(F.min(place(labels, "toxic")).alias("low"), F.max(place(labels, "toxic")).alias("high")).where("id is not null and low = high")
     for label, most in ((1, toxic_rows), (0, ordinary_rows)):
-        rows = labels.where((F.col("toxic") == label) & F.col(id_col).isNotNull()).select(id_col).distinct().where(~held_out(F.col(id_col)))
-        ids += [(r[0], label) for r in rows.orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
+        rows = once.where((F.col("low") == label) & ~held_out(F.col("id")))
+        ids += [(r[0], label) for r in rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, f"chosen {docs.schema[id_col].dataType.simpleString()}, toxic int")
     # at most toxic_rows + ordinary_rows short rows, whatever the input
-    got = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("id", "text", "toxic").collect()
-    got = sorted((r for r in got if r["text"]), key=lambda r: (hash_order(r["id"]), r["text"]))
+    texts = numbered(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
+    texts = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).groupBy("id", "toxic").agg(F.min("text").alias("text")).where("text <> ''")
+    # at most toxic_rows + ordinary_rows rows in these windows
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    bound = F.when(F.col("toxic") == 1, toxic_chars).otherwise(ordinary_chars)
+    got = texts.withColumn("so_far", so_far).where(F.col("so_far") <= bound).select("id", "text", "toxic").collect()
+    got = sorted(got, key=lambda r: (hash_order(r["id"]), r["text"]))
     return fit([r["text"] for r in got if r["toxic"] == 1], [r["text"] for r in got if r["toxic"] == 0])
 
 
@@ -222,16 +234,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """docs' columns and score (0 to 1, higher: toxic likelier), of the whole text alone.
 
     Null and empty texts get the score of a text without windows; repeated rows stay; an empty table
-    gives no rows; a column named score is replaced. No shuffle.
+    gives no rows; a column named score, in any case, is replaced, and others, whatever their names,
+    pass through. No shuffle.
     """
-    kept = [c for c in docs.columns if c != "score"]
-    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)])
-    at = kept.index(text_col)
+    kept = {f"c{i}": c for i, c in enumerate(docs.columns) if c.lower() != "score"}
+    plain = numbered(docs).select(*kept)
+    at = list(kept).index(place(docs, text_col))
 
     def run(batches):
+        only("toxicity")
         for batch in batches:
-            scores = [model.score(t or "") for t in batch.column(at).to_pylist()]
+            scores = [model.score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    return plain.mapInArrow(run, f"{fields}, score double").withColumnsRenamed({f"c{i}": c for i, c in enumerate(kept)})
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(run, f"{fields}, score double").toDF(*kept.values(), "score")
