@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from its checkpoint; the folder is spark.checkpoint.dir, set here only where it is unset."""
+    """df read back from its checkpoint. The folder is spark.checkpoint.dir; where that is unset, local
+    mode takes a folder of its own (one process has it), and a cluster raises."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/meshlark")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="meshlark-"))
     return df.checkpoint()

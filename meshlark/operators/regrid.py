@@ -5,6 +5,7 @@ Values are (keys, level, ix, iy, px, py, v): patches of n x n pixels on leaves.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,14 +67,15 @@ def coarsen_cells(values: DataFrame, parents: DataFrame, keys: list[str], n: int
     return marked.join(on, [*keys, *drop], "left_anti").drop(*drop).unionByName(M.coarsen_mean(gone, keys, n))
 
 
-def regrid(values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0, max_passes: int = 4) -> DataFrame:
+def regrid(values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0, max_passes: int = 99) -> DataFrame:
     """Refine where the error exceeds tol times the value range, protect, then coarsen where it is flat.
 
     Phases are set operations: a pass refines all leaves over the tolerance at once and balances;
     with nearby > 0 leaves of a quarter of the tolerance and their neighbours are protected and step
     up; complete unprotected siblings of a joint range under a quarter of the tolerance are merged,
-    pass by pass. One tolerance a tree. Loops end early and are bounded by max_passes; each pass is
-    cut by a checkpoint.
+    pass by pass. One tolerance a tree. Passes go on until one changes nothing; each refines or merges
+    some leaf, so they end, and a warning says so where max_passes ends them before. Each pass is cut
+    by a checkpoint.
     """
     limit = values.groupBy(*keys).agg((F.abs(F.max("v") - F.min("v")) * tol).alias("_limit"))
     limit = cut(limit)
@@ -86,6 +88,8 @@ def regrid(values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: i
         leaf = values.select(*keys, *CELL).distinct()
         wanted = M.balance(M.merge(M.internals(leaf, keys), marks, keys), keys, nx, ny, max_level)
         values = cut(refine_to(values, wanted, keys, n, max_level))
+    else:
+        warnings.warn(f"refinement did not end in {max_passes} passes", stacklevel=2)
     quarter = lambda df: df.join(limit, keys).where(F.col("_r") >= 0.25 * F.col("_limit"))
     marked = values.select(*keys, *CELL).limit(0)
     if nearby > 0:
@@ -109,6 +113,8 @@ def regrid(values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: i
         if parents.isEmpty():
             break
         values = cut(coarsen_cells(values, parents, keys, n))
+    else:
+        warnings.warn(f"coarsening did not end in {max_passes} passes", stacklevel=2)
     return values
 
 
@@ -167,3 +173,49 @@ def tree_equal(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 1e-8) -
         return False
     far: Column = F.abs(F.col("v") - F.col("_v")) > tol
     return a.join(b.withColumnRenamed("v", "_v"), on).where(far).isEmpty()
+
+
+def remap(values: DataFrame, target: DataFrame, keys: list[str], n: int, tile: int, max_level: int, how: str = "uniform") -> DataFrame:
+    """Patches of a mesh on the leaves of another: through the finest grid and block means (uniform), or
+    the values of the leaf that holds each target leaf's centre (center_copy)."""
+    if how == "uniform":
+        return M.leaf_means(M.paint(values, keys, tile, n), target, keys, tile, max_level, n)
+    if how != "center_copy":
+        raise ValueError(f"unknown way {how}")
+    side = F.expr(f"shiftright({tile}, level)")
+    centre = lambda i: F.floor((F.col(i) + 0.5) * side).cast("int")
+    points = target.select(*keys, F.struct(*CELL).alias("cell"), centre("ix").alias("x"), centre("iy").alias("y"))
+    held = M.covering(points, values.select(*keys, *CELL).distinct(), keys, tile, max_level).join(values, [*keys, *CELL])
+    return held.select(*keys, *[F.col(f"cell.{c}").alias(f"to_{c}") for c in CELL], "px", "py", "v").withColumnsRenamed({f"to_{c}": c for c in CELL})
+
+
+def build_topology(field: DataFrame, keys: list[str], tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0) -> DataFrame:
+    """The refine-only diff of each reference frame's mesh against bare roots: adapt, then expand around
+    refined leaves where nearby > 0; keys name the frame."""
+    base = M.roots(field.select(*keys).distinct(), keys, nx, ny)
+    inner = M.adapt(field, keys, tile, max_level, tol)
+    if nearby > 0:
+        inner = M.expand_fine(inner, base, keys, nx, ny, max_level, nearby)
+    return M.diff(base, M.leaves(inner, base, keys), keys)
+
+
+def fill(topology: DataFrame, frames: DataFrame, base: DataFrame, keys: list[str], n: int, tile: int, max_level: int) -> DataFrame:
+    """Patches of frames (keys, t, channel, x, y, v) on the leaves of the topology of their keys: one mesh
+    serves all frames of a window."""
+    leaf = M.refine_only(topology, base, keys)
+    held = M.covering(frames, leaf, keys, tile, max_level)
+    sub = F.expr(f"shiftright({tile}, level) / {n}")
+    part = lambda c, i: F.floor((F.col(c) - F.col(i) * F.expr(f"shiftright({tile}, level)")) / sub).cast("int")
+    return held.groupBy(*keys, "t", "channel", *CELL, part("x", "ix").alias("px"), part("y", "iy").alias("py")).agg(F.avg("v").alias("v"))
+
+
+def support(leaf: DataFrame, keys: list[str], width: float, height: float, nx: int, ny: int) -> DataFrame:
+    """Physical width and height of each leaf in a domain of nx by ny roots."""
+    n = F.pow(F.lit(2.0), F.col("level"))
+    return leaf.select(*keys, *CELL, (width / nx / n).alias("support_x"), (height / ny / n).alias("support_y"))
+
+
+def on_boundary(leaf: DataFrame, keys: list[str], nx: int, ny: int) -> DataFrame:
+    """Leaves that touch the domain's edge."""
+    n = F.pow(F.lit(2.0), F.col("level"))
+    return leaf.where((F.col("ix") == 0) | (F.col("iy") == 0) | (F.col("ix") + 1 == n * nx) | (F.col("iy") + 1 == n * ny)).select(*keys, *CELL)

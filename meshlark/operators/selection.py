@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.lineage import cut
+from meshlark.operators.windows import global_rank, running_sum
+
 
 def stride_fraction(frames: DataFrame, stride: int, start: float, stop: float, traj: str = "traj_idx", pos: str = "pos") -> DataFrame:
     """Every stride-th frame, then the part from int(n * start) to int(n * stop), per trajectory."""
@@ -20,15 +25,14 @@ def prefix_split(windows: DataFrame, frames: DataFrame, ratio: float, traj: str
     """role of each frame: the first floor(windows * ratio) windows in trajectory order are training,
     each trajectory is cut after its last such window; ratio 1 makes everything training.
 
-    Whole trajectories come first, so per-trajectory counts and their running sum decide; no global sort of windows.
+    Whole trajectories come first, so per-trajectory counts and their running sum over ranges decide; no global sort of windows.
     """
     if ratio >= 1:
         return frames.withColumn("role", F.lit("train"))
     counts = windows.groupBy(traj).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # one row a trajectory
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy(traj).rowsBetween(Window.unboundedPreceding, -1)))
-    take = before.select(traj, F.greatest(F.lit(0), F.least(F.col("n"), F.lit(int(total * ratio)) - F.coalesce("before", F.lit(0)))).alias("take"))
+    upto = running_sum(counts, [], [traj], "n", "upto")
+    take = upto.select(traj, F.greatest(F.lit(0), F.least(F.col("n"), F.lit(int(total * ratio)) - F.col("upto") + F.col("n"))).alias("take"))
     ranked = windows.withColumn("_k", F.row_number().over(Window.partitionBy(traj).orderBy(start)))
     cut = ranked.join(take, traj).where(F.col("_k") <= F.col("take")).groupBy(traj).agg(F.max(stop).alias("cut"))
     return frames.join(cut, traj, "left").withColumn("role", F.when(F.col(pos) <= F.col("cut"), "train").otherwise("val")).drop("cut")
@@ -36,8 +40,6 @@ def prefix_split(windows: DataFrame, frames: DataFrame, ratio: float, traj: str
 
 def suffix_cohort(windows: DataFrame, ratio: float, stride: int, order: list[str]) -> DataFrame:
     """windows[int(n * ratio):][::stride] in the given order."""
-    from meshlark.operators.windows import global_rank
-
     first = int(windows.count() * ratio)
     ranked = global_rank(windows, order)
     return ranked.where((F.col("rank") >= first) & ((F.col("rank") - first) % stride == 0)).drop("rank")
@@ -63,12 +65,24 @@ def seeded_part(rows: DataFrame, keys: list[str], ratio: float, seed: str, key:
 def greedy_knapsack(items: DataFrame, budget: float, key: str, refs: str, size: str) -> DataFrame:
     """Keys taken by references per byte (then references, then key) while they fit; what does not fit is skipped.
 
-    Skipping makes it a fold, not a prefix sum; the items are the distinct keys of a cache plan.
+    Skipping rules out one prefix sum. Each pass takes the items up to the first that does not fit, by
+    a running sum over ranges; that one is skipped, and so are all that are larger than what is left.
     """
-    order = F.array_sort(F.collect_list(F.struct((-F.col(refs) / F.col(size)).alias("r"), (-F.col(refs)).alias("c"), F.col(key).alias("k"), F.col(size).cast("double").alias("s"))))
-    state = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<{dict(items.dtypes)[key]}>").alias("kept"))
-    step = lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["kept"], F.array(x["k"])).alias("kept"))).otherwise(a)
-    return items.agg(F.aggregate(order, state, step, lambda a: a["kept"]).alias("kept")).select(F.explode("kept").alias(key))
+    order = items.select(key, (-F.col(refs) / F.col(size)).alias("gain"), (-F.col(refs)).alias("most"), F.col(size).cast("double").alias("need"))
+    ranked = cut(global_rank(order, ["gain", "most", key]))
+    left, after, taken = float(budget), -1, []
+    while True:
+        run = cut(running_sum(ranked.where((F.col("rank") > after) & (F.col("need") <= left)), [], ["rank"], "need", "total"))
+        edge = run.agg(F.min(F.when(F.col("total") > left, F.col("rank"))).alias("stop"), F.max(F.when(F.col("total") <= left, F.col("total"))).alias("used")).first()
+        taken.append(run.where(F.col("total") <= left).select(key))
+        if edge["stop"] is None:
+            return reduce(DataFrame.unionByName, taken)
+        left, after = left - (edge["used"] or 0.0), edge["stop"]
+
+
+def channels(field: DataFrame, wanted: list, channel: str = "channel") -> DataFrame:
+    """The wanted channels; those that there are not are left out silently."""
+    return field.where(F.col(channel).isin(*wanted))
 
 
 def duplicates(rows: DataFrame, key: str, role: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.selection import seeded_key
+from meshlark.operators.windows import quantiles, running_sum
+
 
 def finite(v: str) -> Column:
     c = F.col(v).cast("double")
@@ -27,11 +32,11 @@ def moments(values: DataFrame, field: str = "field", v: str = "v") -> DataFrame:
 
 def weighted_quantile(values: DataFrame, q: float, keys: list[str], v: str = "v", w: str = "w") -> DataFrame:
     """Smallest v whose cumulative weight reaches q of the total: weights of equal values are added
-    before the running sum, so the window holds the distinct values only."""
-    distinct = values.groupBy(*keys, v).agg(F.sum(w).alias("_w"))
-    by = Window.partitionBy(*keys)
-    run = F.sum("_w").over(by.orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-    return distinct.withColumn("_c", run).withColumn("_t", F.sum("_w").over(by)).where(F.col("_c") >= F.lit(q) * F.col("_t")).groupBy(*keys).agg(F.min(v).alias("quantile"))
+    before the running sum, which goes over ranges of them."""
+    distinct = values.groupBy(*keys, v).agg(F.sum(w).alias("weight"))
+    run = running_sum(distinct, keys, [v], "weight", "upto")
+    whole = distinct.groupBy(*keys).agg(F.sum("weight").alias("whole"))
+    return run.join(whole, keys).where(F.col("upto") >= F.lit(q) * F.col("whole")).groupBy(*keys).agg(F.min(v).alias("quantile"))
 
 
 def standardize(values: DataFrame, stats: DataFrame, eps: float = 0.0, field: str = "field", v: str = "v") -> DataFrame:
@@ -78,8 +83,8 @@ class Composed:
 
 
 def robust_range(values: DataFrame, keys: list[str], low: float = 0.005, high: float = 0.995, v: str = "v") -> DataFrame:
-    """Linear-interpolated quantiles."""
-    return values.groupBy(*keys).agg(F.expr(f"percentile({v}, {low}d)").alias("low"), F.expr(f"percentile({v}, {high}d)").alias("high"))
+    """Linear-interpolated quantiles, by running counts over ranges."""
+    return quantiles(values, keys, {"low": low, "high": high}, v)
 
 
 def block_mean(field: DataFrame, factor: int, keys: list[str], n: int) -> DataFrame:
@@ -113,3 +118,27 @@ def keep_ratio(step: Column, total: float, start: float, kind: str = "linear") -
     """Loss mask schedule from start to 1 at ``total`` steps."""
     t = F.least(F.lit(1.0), step / total)
     return F.lit(start) + (1 - start) * (t if kind == "linear" else (1 - F.cos(t * F.pi())) / 2)
+
+
+def fit_statistics(cells: DataFrame, scalars: list[str], energies: list[str], seed: str, pixels: int = 64, q: float = 0.99, frame: str = "frame", cell: str = "cell") -> DataFrame:
+    """(field, mean, std, scale): standardisation of scalar fields, and of the summed energies after asinh(e / scale).
+
+    cells has a row for each frame and cell with a column for each field; only training frames should
+    be in it. Pass 1: moments of the scalars, and the scale, the weighted inverted-CDF quantile q of
+    the absolute energies of ``pixels`` cells a frame, chosen by a seeded hash and weighted by the
+    cells that each stands for. Pass 2: moments of the scaled energies of all cells. Null and NaN
+    count as 0; a scale or spread that is not positive raises.
+    """
+    clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = cells.select(frame, cell, *[clean(c).alias(c) for c in scalars], reduce(lambda a, b: a + b, [clean(c) for c in energies]).alias("energy"))
+    by = Window.partitionBy(frame)
+    chosen = rows.withColumn("nth", F.row_number().over(by.orderBy(seeded_key(seed, frame, cell)))).withColumn("cells", F.count("*").over(by)).where(F.col("nth") <= pixels)
+    weight = F.col("cells") / F.least(F.col("cells"), F.lit(pixels))
+    scale = weighted_quantile(chosen.select(F.lit(0).alias("all"), F.abs("energy").alias("v"), weight.alias("w")), q, ["all"]).first()
+    if scale is None or not 0 < scale["quantile"] < float("inf"):
+        raise ValueError("the energy quantile is not positive")
+    s = float(scale["quantile"])
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in scalars], F.struct(F.lit("energy").alias("field"), F.asinh(F.col("energy") / s).alias("v")))).alias("r")).select("r.*")
+    out = moments(long).withColumn("scale", F.when(F.col("field") == "energy", s))
+    checked = F.when(F.col("std") > 0, F.col("std")).otherwise(F.raise_error(F.concat(F.lit("no spread in field "), F.col("field"))).cast("double"))
+    return out.select("field", "n", "mean", checked.alias("std"), "scale")

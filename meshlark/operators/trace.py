@@ -5,41 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches of time that a trace is summed over before running sums; a window over so many rows a key.
-PARTS = 256
+from meshlark.operators.windows import quantiles, running_sum
 
 
 def summary(access: DataFrame) -> DataFrame:
-    """Hits, misses and stage times, in all and for each rank and each epoch: one pass of grouping sets."""
+    """Hits, misses and stage times, in all and for each rank and each epoch."""
     ms = lambda a, b: (F.col(b) - F.col(a)) / 1e6
     timed = access.select("rank", "epoch", "key", "cache_hit", ms("start_ns", "end_ns").alias("total"), ms("start_ns", "source_ready_ns").alias("source"))
-    return timed.groupingSets([["rank"], ["epoch"], []], "rank", "epoch").agg(
+    views = F.array(F.struct(F.lit("rank").alias("by"), F.col("rank"), F.lit(None).cast(access.schema["epoch"].dataType).alias("epoch")), F.struct(F.lit("epoch").alias("by"), F.lit(None).cast(access.schema["rank"].dataType).alias("rank"), F.col("epoch")), F.struct(F.lit("all").alias("by"), F.lit(None).cast(access.schema["rank"].dataType).alias("rank"), F.lit(None).cast(access.schema["epoch"].dataType).alias("epoch")))
+    rows = timed.select(F.explode(views).alias("view"), "key", "cache_hit", "total", "source").select("view.*", "key", "cache_hit", "total", "source")
+    by = ["by", "rank", "epoch"]
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("reads"),
         F.sum(F.col("cache_hit").cast("long")).alias("hits"),
         F.count_distinct(F.when(~F.col("cache_hit"), F.col("key"))).alias("missed_keys"),
         F.avg("total").alias("mean_ms"),
-        F.expr("percentile(total, 0.95d)").alias("p95_ms"),
         F.max("source").alias("max_source_ms"),
     )
+    p95 = quantiles(rows, by, {"p95_ms": 0.95}, "total").withColumnsRenamed({k: f"of_{k}" for k in by})
+    return out.join(p95, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in by], "left").select("rank", "epoch", "reads", "hits", "missed_keys", "mean_ms", "p95_ms", "max_source_ms")
 
 
 def max_concurrency(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Most spans open at once. Ends close before starts at the same time open; a span without length counts itself.
 
-    Starts and ends are +1 and -1 in one order, and the running sum peaks; no self-join of spans.
+    Starts and ends are +1 and -1 in one order, and the running sum over ranges of it peaks; no self-join of spans.
     """
     opened = spans.select(*keys, F.col(start).alias("at"), F.when(F.col(start) == F.col(end), 1).otherwise(2).alias("turn"), F.lit(1).alias("step"))
     closed = spans.select(*keys, F.col(end).alias("at"), F.when(F.col(start) == F.col(end), 1).otherwise(0).alias("turn"), F.lit(-1).alias("step"))
     both = opened.unionByName(closed).groupBy(*keys, "at", "turn").agg(F.sum("step").alias("step"), F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).alias("up"))
-    # stretches of time are summed first, so that a window never holds a whole trace
-    edge = both.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-    width = max(1, ((edge["b"] or 0) - (edge["a"] or 0)) // PARTS + 1)
-    both = both.withColumn("_part", F.floor((F.col("at") - F.lit(edge["a"] or 0)) / width))
-    at_part = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = both.groupBy(*keys, "_part").agg(F.sum("step").alias("_net")).withColumn("_from", F.coalesce(F.sum("_net").over(at_part), F.lit(0))).drop("_net")
-    run = F.sum("step").over(Window.partitionBy(*keys, "_part").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
-    level = both.join(offset, [*keys, "_part"]).withColumn("_run", run)
-    level = level.withColumn("open", F.when(F.col("turn") == 1, F.col("_run") - F.col("step") + F.least(F.col("up"), F.lit(1))).otherwise(F.col("_run")))
+    level = running_sum(both, keys, ["at", "turn"], "step", "run")
+    level = level.withColumn("open", F.when(F.col("turn") == 1, F.col("run") - F.col("step") + F.least(F.col("up"), F.lit(1))).otherwise(F.col("run")))
     return level.groupBy(*keys).agg(F.max("open").cast("long").alias("most"))
 
 
@@ -57,8 +53,9 @@ def recent(values: DataFrame, order: str, v: str, slots: int = 1024) -> DataFram
 
 def benchmark_summary(runs: DataFrame, total: str, regrid: str) -> DataFrame:
     """Mean, population std, median, interquartile range and extremes of totals; regrid share of the sum."""
-    return runs.agg(
-        F.avg(total).alias("mean"), F.stddev_pop(total).alias("std"), F.expr(f"percentile({total}, 0.5d)").alias("median"),
-        (F.expr(f"percentile({total}, 0.75d)") - F.expr(f"percentile({total}, 0.25d)")).alias("iqr"), F.min(total).alias("least"), F.max(total).alias("most"),
+    whole = runs.agg(
+        F.avg(total).alias("mean"), F.stddev_pop(total).alias("std"), F.min(total).alias("least"), F.max(total).alias("most"),
         F.avg(F.when(F.col(regrid) > 0, F.col(regrid))).alias("regrid_mean"), (F.sum(regrid) / F.greatest(F.sum(total), F.lit(1e-12))).alias("regrid_share"),
     )
+    cuts = quantiles(runs, [], {"median": 0.5, "low": 0.25, "high": 0.75}, total)
+    return whole.crossJoin(cuts).select("mean", "std", "median", (F.col("high") - F.col("low")).alias("iqr"), "least", "most", "regrid_mean", "regrid_share")  # one row each

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.lineage import cut
+
 
 def sliding(frames: DataFrame, t_in: int, t_out: int, step: int = 1, traj: str = "traj_idx", pos: str = "pos", frame: str = "frame_id") -> DataFrame:
     """(traj, start, inputs, targets): every window of t_in inputs and t_out targets, ``step`` apart.
@@ -31,16 +34,33 @@ def gap_free(frames: DataFrame, t_in: int, t_out: int, step: int = 1, interval:
 def greedy_starts(windows: DataFrame, stride: int, tail: bool = True, traj: str = "traj_idx", start: str = "start") -> DataFrame:
     """Starts kept one after another where at least ``stride`` from the last one kept; with tail also the last.
 
-    The choice depends on the one before, so it folds over each trajectory's ordered starts.
+    The choice depends on the one before, so each trajectory's starts stream in order through its
+    task, which holds the last kept one only. Repeated starts count once.
     """
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.col(start).cast("long"))),
-        F.array().cast("array<bigint>"),
-        lambda acc, s: F.when((F.size(acc) == 0) | (s - F.element_at(acc, -1) >= stride), F.concat(acc, F.array(s))).otherwise(acc),
-    )
-    out = windows.groupBy(traj).agg(kept.alias("k"), F.max(F.col(start).cast("long")).alias("last"))
-    full = F.when(F.array_contains("k", F.col("last")), F.col("k")).otherwise(F.concat("k", F.array("last"))) if tail else F.col("k")
-    return out.select(traj, F.explode(full).alias(start))
+    kind = windows.schema[traj].dataType.simpleString()
+
+    def run(batches):
+        now, kept, last = None, None, None
+        for batch in batches:
+            out: tuple = [], []
+            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (t,) != now:
+                    if tail and now and kept != last:
+                        out[0].append(now[0])
+                        out[1].append(last)
+                    now, kept = (t,), None
+                if kept is None or s - kept >= stride:
+                    out[0].append(t)
+                    out[1].append(s)
+                    kept = s
+                last = s
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int64())], [traj, start])
+            ids = batch.schema.field(0).type
+        if tail and now and kept != last:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], ids), pa.array([last], pa.int64())], [traj, start])
+
+    starts = windows.select(traj, F.col(start).cast("long").alias(start)).repartition(traj).sortWithinPartitions(traj, start)
+    return starts.mapInArrow(run, f"`{traj}` {kind}, `{start}` long")
 
 
 def gradient_location(profile: DataFrame, keys: list[str], x: str, v: str, dx: float = 1.0) -> DataFrame:
@@ -75,27 +95,45 @@ def equal_shards(rows: DataFrame, order: list[str], world: int) -> DataFrame:
     return numbered.where(F.col("rank") < n).withColumn("shard", F.pmod("rank", F.lit(world)).cast("int")).withColumn("slot", F.floor(F.col("rank") / world)).drop("rank")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with ``name``, the sum of value up to and with each row of its keys in the order, which has no ties.
+
+    Rows are dealt over ranges of (keys, order), as many as there are shuffle partitions; the ranges'
+    sums (a row for each range and key in it) give each range its offset, so no task holds a whole key.
+    """
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("range_no", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "range_no").agg(F.sum(value).alias("range_sum"))
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(k).alias(f"range_{k}") for k in keys], F.col("range_no").alias("number"), F.coalesce(F.sum("range_sum").over(earlier), F.lit(0)).alias("range_before"))
+    on = [F.col("range_no") == F.col("number"), *[F.col(k).eqNullSafe(F.col(f"range_{k}")) for k in keys]]
+    within = Window.partitionBy(*keys, "range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumn(name, F.sum(value).over(within)).join(before, on)
+    return out.withColumn(name, F.col(name) + F.col("range_before")).select(*rows.columns, name)
+
+
 def global_rank(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rank (from 0) in the total order of ``order``, which must have no ties.
+    """rank (from 0) in the total order of ``order``, which must have no ties."""
+    one = rows.withColumn("rank_one", F.lit(1).cast("long"))
+    return running_sum(one, [], order, "rank_one", "rank").withColumn("rank", F.col("rank") - 1).drop("rank_one")
+
+
+def quantiles(values: DataFrame, keys: list[str], at: dict[str, float], v: str = "v") -> DataFrame:
+    """Linearly interpolated quantiles of v by keys, one column for each name of ``at``; nulls do not count.
 
-    Coarse buckets of the leading column are counted first; the offsets of the buckets (as many as
-    BUCKETS) join back as a map, and only ranks within a bucket need a window.
+    Equal values are counted first; a running sum of the counts finds the two values around each
+    place, so no task holds a key's values.
     """
-    lead = order[0]
-    edges = rows.approxQuantile(lead, [k / 64 for k in range(1, 64)], 0.005) if dict(rows.dtypes)[lead] in ("int", "bigint", "double", "float") else []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(lead) > F.lit(e)).cast("int")
-    marked = rows.withColumn("_bucket", bucket)
-    sizes = {r[0]: r[1] for r in marked.groupBy("_bucket").count().collect()}  # 64 rows at most
-    before, at = {}, 0
-    for b in sorted(sizes):
-        before[b], at = at, at + sizes[b]
-    offset = F.lit(0).cast("long")
-    for b, n in before.items():
-        offset = F.when(F.col("_bucket") == b, F.lit(n).cast("long")).otherwise(offset)
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + offset
-    return marked.withColumn("rank", rank).drop("_bucket")
+    counted = values.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("times"))
+    run = running_sum(counted, keys, [v], "times", "upto")
+    sizes = counted.groupBy(*keys).agg(F.sum("times").alias("size"))
+    if keys:
+        run = run.join(sizes.withColumnsRenamed({k: f"of_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    else:
+        run = run.crossJoin(sizes)  # one row
+    place = lambda q: (F.col("size") - 1) * F.lit(float(q))
+    value = lambda where: F.min(F.when(F.col("upto") > where, F.col(v)))
+    out = run.groupBy(*keys).agg(*[F.struct(value(F.floor(place(q))).alias("a"), value(F.ceil(place(q))).alias("b"), F.max(place(q) - F.floor(place(q))).alias("w")).alias(n) for n, q in at.items()])
+    return out.select(*keys, *[(F.col(n)["a"] + (F.col(n)["b"] - F.col(n)["a"]) * F.col(n)["w"]).alias(n) for n in at])
 
 
 def position_in(rows: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:

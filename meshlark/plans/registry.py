@@ -12,6 +12,7 @@ from meshlark.operators import selection as S
 from meshlark.operators import stats as A
 from meshlark.operators import trace as T
 from meshlark.operators import windows as W
+from meshlark.operators.lineage import cut
 from meshlark.plans import views as V
 from meshlark.plans.views import GRID, MAX_LEVEL, TILE, load, with_views
 
@@ -32,10 +33,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    from meshlark.plans import further  # noqa: F401 - adds its queries
+
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
@@ -206,29 +210,13 @@ def _(spark, d):
     return S.conflicts(load(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.md5("l_returnflag").alias("digest")), "k", "digest")
 
 
-@query("j19_role_overlap", "SELECT user_id, count(DISTINCT event_type) AS roles FROM events WHERE event_id % 50 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
-def _(spark, d):
-    return S.duplicates(load(spark, d, "events").where("event_id % 50 = 0"), "user_id", "event_type")
-
-
-@query("j19_role_overlap_whole", "SELECT user_id, count(DISTINCT event_type) AS roles FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+@query("j19_role_overlap", "SELECT user_id, count(DISTINCT event_type) AS roles FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def _(spark, d):
     return S.duplicates(load(spark, d, "events"), "user_id", "event_type")
 
 
 @query("j1_window_frames", with_views("""
 w AS (SELECT traj_idx, pos AS start, list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
-e AS (SELECT traj_idx, start, unnest(f) AS frame_id, generate_subscripts(f, 1) - 1 AS slot FROM w WHERE len(f) = 4 AND start % 4 = 0)
-SELECT e.traj_idx, start, slot::INT AS slot, round(value, 4) AS value FROM e JOIN frames USING (frame_id)
-""", "frames"))
-def _(spark, d):
-    f = V.frames(spark, d)
-    w = W.sliding(f, 4, 0).where("start % 4 = 0").select("traj_idx", "start", F.posexplode("inputs").alias("slot", "frame_id"))
-    return w.join(f.select("frame_id", F.round("value", 4).alias("value")), "frame_id").drop("frame_id")
-
-
-@query("j1_window_frames_whole", with_views("""
-w AS (SELECT traj_idx, pos AS start, list(frame_id) OVER w AS f FROM frames WINDOW w AS (PARTITION BY traj_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
 e AS (SELECT traj_idx, start, unnest(f) AS frame_id, generate_subscripts(f, 1) - 1 AS slot FROM w WHERE len(f) = 4)
 SELECT e.traj_idx, start, slot::INT AS slot, round(value, 4) AS value FROM e JOIN frames USING (frame_id)
 """, "frames"))
@@ -418,12 +406,7 @@ SELECT {keys} max(n)::BIGINT AS most FROM c {group}
 """
 
 
-@query("a34_max_concurrency", with_views(OPEN.format(keys="", akeys="", cond="event_id % 5 = 0", join="", group=""), "access"))
-def _(spark, d):
-    return T.max_concurrency(V.access(spark, d).where("event_id % 5 = 0"), [], "start_ns", "end_ns")
-
-
-@query("a34_max_concurrency_whole", with_views("""
+@query("a34_max_concurrency", with_views("""
 e AS (SELECT start_ns, end_ns, row_number() OVER (ORDER BY start_ns, event_id) AS k FROM access),
 v AS (SELECT start_ns AS t, 1 AS phase, k, 1 AS d FROM e UNION ALL SELECT end_ns, CASE WHEN end_ns > start_ns THEN 0 ELSE 1 END, k, -1 FROM e),
 s AS (SELECT sum(d) OVER (ORDER BY t, phase, k, d DESC ROWS UNBOUNDED PRECEDING) AS n FROM v)
@@ -488,24 +471,24 @@ SMOOTH_IN = IN_SQL.format(t="tree", f="smooth", tol=0.2)
 FIELD_IN = IN_SQL.format(t="channel", f="field", tol=0.6)
 
 
-def smooth_mesh(spark, balanced=False):
-    f = V.smooth(spark)
+def smooth_mesh(spark, d, balanced=False):
+    f = V.smooth(spark, d)
     inner, base = M.adapt(f, TREE, TILE, MAX_LEVEL, 0.2), M.roots(f.select(*TREE).distinct(), TREE, N, N)
     if balanced:
         inner = M.balance(inner, TREE, N, N, MAX_LEVEL)
-    return f, inner, base
+    return f, cut(inner), base  # every branch of a query reads the mesh once built
 
 
 def field_mesh(spark, d, balanced=False):
     f, k = V.field(spark, d), ["channel"]
     inner, base = M.adapt(f, k, TILE, MAX_LEVEL, 0.6), M.roots(f.select(*k).distinct(), k, N, N)
-    return f, (M.balance(inner, k, N, N, MAX_LEVEL) if balanced else inner), base
+    return f, cut(M.balance(inner, k, N, N, MAX_LEVEL) if balanced else inner), base
 
 
-@query("t11_adapt_on_field", with_views(SMOOTH_IN + "," + leaves_sql("inner0", "leaf", "tree") + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t11_adapt_on_field", with_views(SMOOTH_IN + "," + leaves_sql("inner0", "leaf", "tree") + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark)
-    return M.leaves(inner, base, TREE).select("level", "ix", "iy")
+    _, inner, base = smooth_mesh(spark, d)
+    return M.leaves(inner, base, TREE).select("tree", "level", "ix", "iy")
 
 
 @query("t11_adapt_channels", with_views(FIELD_IN + "," + leaves_sql("inner0", "leaf", "channel") + "SELECT channel, level, ix, iy FROM leaf", "field"))
@@ -514,10 +497,10 @@ def _(spark, d):
     return M.leaves(inner, base, ["channel"])
 
 
-@query("t5_balance", with_views(SMOOTH_IN + "," + balanced_sql("inner0", "bal", "tree") + "," + leaves_sql("bal", "leaf", "tree") + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t5_balance", with_views(SMOOTH_IN + "," + balanced_sql("inner0", "bal", "tree") + "," + leaves_sql("bal", "leaf", "tree") + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
-    return M.leaves(inner, base, TREE).select("level", "ix", "iy")
+    _, inner, base = smooth_mesh(spark, d, True)
+    return M.leaves(inner, base, TREE).select("tree", "level", "ix", "iy")
 
 
 @query("t10_merge_trees", with_views(FIELD_IN + ", one AS (SELECT DISTINCT 0 AS channel, level, ix, iy FROM inner0)," + balanced_sql("one", "bal", "channel") + "SELECT level, ix, iy FROM bal", "field"))
@@ -531,104 +514,104 @@ TWO = SMOOTH_IN + "," + balanced_sql("inner0", "bal", "tree") + "," + leaves_sql
 
 
 @query("t7_topology_diff", with_views(TWO + """
-SELECT level, ix, iy, CASE WHEN EXISTS (SELECT 1 FROM la WHERE la.level < n.level AND la.ix = n.ix >> (n.level - la.level) AND la.iy = n.iy >> (n.level - la.level)) THEN 1 ELSE 2 END AS op
+SELECT tree, level, ix, iy, CASE WHEN EXISTS (SELECT 1 FROM la WHERE la.tree = n.tree AND la.level < n.level AND la.ix = n.ix >> (n.level - la.level) AND la.iy = n.iy >> (n.level - la.level)) THEN 1 ELSE 2 END AS op
 FROM lb n ANTI JOIN la USING (tree, level, ix, iy)
 """, "smooth"))
 def _(spark, d):
-    _, a, base = smooth_mesh(spark)
-    _, b, _ = smooth_mesh(spark, True)
-    return M.diff(M.leaves(a, base, TREE), M.leaves(b, base, TREE), TREE).select("level", "ix", "iy", "op")
+    _, a, base = smooth_mesh(spark, d)
+    _, b, _ = smooth_mesh(spark, d, True)
+    return M.diff(M.leaves(a, base, TREE), M.leaves(b, base, TREE), TREE).select("tree", "level", "ix", "iy", "op")
 
 
-@query("t8_apply_diff", with_views(TWO + "SELECT level, ix, iy FROM lb", "smooth"))
+@query("t8_apply_diff", with_views(TWO + "SELECT tree, level, ix, iy FROM lb", "smooth"))
 def _(spark, d):
-    _, a, base = smooth_mesh(spark)
-    _, b, _ = smooth_mesh(spark, True)
+    _, a, base = smooth_mesh(spark, d)
+    _, b, _ = smooth_mesh(spark, d, True)
     la, lb = M.leaves(a, base, TREE), M.leaves(b, base, TREE)
-    return M.apply_diff(la, M.diff(la, lb, TREE), TREE).select("level", "ix", "iy")
+    return M.apply_diff(la, M.diff(la, lb, TREE), TREE).select("tree", "level", "ix", "iy")
 
 
 BAL = SMOOTH_IN + "," + balanced_sql("inner0", "bal", "tree") + "," + leaves_sql("bal", "leaf", "tree")
-BOX = "box AS (SELECT level, ix, iy, ix << (3 - level) AS x0, (ix + 1) << (3 - level) AS x1, iy << (3 - level) AS y0, (iy + 1) << (3 - level) AS y1 FROM leaf)"
+BOX = "box AS (SELECT tree, level, ix, iy, ix << (3 - level) AS x0, (ix + 1) << (3 - level) AS x1, iy << (3 - level) AS y0, (iy + 1) << (3 - level) AS y1 FROM leaf)"
 
 
 @query("j8_face_neighbours", with_views(BAL + "," + BOX + """
-SELECT a.level, a.ix, a.iy, b.level AS nlevel, b.ix AS nx, b.iy AS ny, CASE WHEN b.x1 = a.x0 THEN 'W' WHEN b.x0 = a.x1 THEN 'E' WHEN b.y1 = a.y0 THEN 'S' ELSE 'N' END AS side FROM box a JOIN box b
-ON ((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1)
+SELECT a.tree, a.level, a.ix, a.iy, b.level AS nlevel, b.ix AS nx, b.iy AS ny, CASE WHEN b.x1 = a.x0 THEN 'W' WHEN b.x0 = a.x1 THEN 'E' WHEN b.y1 = a.y0 THEN 'S' ELSE 'N' END AS side FROM box a JOIN box b
+ON a.tree = b.tree AND (((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1))
 """, "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
-    return M.neighbours(M.leaves(inner, base, TREE), TREE, MAX_LEVEL).drop("tree")
+    _, inner, base = smooth_mesh(spark, d, True)
+    return M.neighbours(M.leaves(inner, base, TREE), TREE, MAX_LEVEL)
 
 
-@query("j12_sibling_groups", with_views(BAL + "SELECT level - 1 AS level, ix >> 1 AS ix, iy >> 1 AS iy FROM leaf WHERE level > 0 GROUP BY ALL HAVING count(*) = 4", "smooth"))
+@query("j12_sibling_groups", with_views(BAL + "SELECT tree, level - 1 AS level, ix >> 1 AS ix, iy >> 1 AS iy FROM leaf WHERE level > 0 GROUP BY ALL HAVING count(*) = 4", "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
-    return M.siblings(M.leaves(inner, base, TREE), TREE).select(*M.CELL)
+    _, inner, base = smooth_mesh(spark, d, True)
+    return M.siblings(M.leaves(inner, base, TREE), TREE).select("tree", *M.CELL)
 
 
-@query("j5_point_in_leaf", with_views(BAL + "SELECT x, y, level, ix, iy FROM grid JOIN leaf ON ix = x // (32 >> level) AND iy = y // (32 >> level)", "smooth"))
+@query("j5_point_in_leaf", with_views(BAL + "SELECT tree, x, y, level, ix, iy FROM grid JOIN leaf ON ix = x // (32 >> level) AND iy = y // (32 >> level)", "smooth"))
 def _(spark, d):
-    f, inner, base = smooth_mesh(spark, True)
-    return M.covering(f, M.leaves(inner, base, TREE), TREE, TILE, MAX_LEVEL).select("x", "y", *M.CELL)
+    f, inner, base = smooth_mesh(spark, d, True)
+    return M.covering(f, M.leaves(inner, base, TREE), TREE, TILE, MAX_LEVEL).select("tree", "x", "y", *M.CELL)
 
 
-MEANS = "means AS (SELECT level, ix, iy, ((x - ix * (32 >> level)) // ((32 >> level) // 2))::INT AS px, ((y - iy * (32 >> level)) // ((32 >> level) // 2))::INT AS py, avg(v) AS v FROM smooth JOIN leaf ON ix = x // (32 >> level) AND iy = y // (32 >> level) GROUP BY 1, 2, 3, 4, 5)"
+MEANS = "means AS (SELECT tree, level, ix, iy, ((x - ix * (32 >> level)) // ((32 >> level) // 2))::INT AS px, ((y - iy * (32 >> level)) // ((32 >> level) // 2))::INT AS py, avg(v) AS v FROM smooth JOIN leaf USING (tree) WHERE ix = x // (32 >> level) AND iy = y // (32 >> level) GROUP BY 1, 2, 3, 4, 5, 6)"
 
 
-def patched(spark):
-    f, inner, base = smooth_mesh(spark, True)
-    leaf = M.leaves(inner, base, TREE)
-    return leaf, M.leaf_means(f, leaf, TREE, TILE, MAX_LEVEL, 2)
+def patched(spark, d):
+    f, inner, base = smooth_mesh(spark, d, True)
+    leaf = cut(M.leaves(inner, base, TREE))
+    return leaf, cut(M.leaf_means(f, leaf, TREE, TILE, MAX_LEVEL, 2))
 
 
-@query("t6_assign_patches", with_views(BAL + "," + MEANS + "SELECT level, ix, iy, px, py, round(v, 8) AS v FROM means", "smooth"))
+@query("t6_assign_patches", with_views(BAL + "," + MEANS + "SELECT tree, level, ix, iy, px, py, round(v, 8) AS v FROM means", "smooth"))
 def _(spark, d):
-    return rounded(patched(spark)[1], ["level", "ix", "iy", "px", "py"], ["v"], 8)
+    return rounded(patched(spark, d)[1], ["tree", "level", "ix", "iy", "px", "py"], ["v"], 8)
 
 
-@query("t14_leaves_to_grid", with_views(BAL + "," + MEANS + "SELECT x, y, round(m.v, 8) AS v FROM grid JOIN means m ON ix = x // (32 >> level) AND iy = y // (32 >> level) AND px = (x - ix * (32 >> level)) // ((32 >> level) // 2) AND py = (y - iy * (32 >> level)) // ((32 >> level) // 2)", "smooth"))
+@query("t14_leaves_to_grid", with_views(BAL + "," + MEANS + "SELECT tree, x, y, round(m.v, 8) AS v FROM grid JOIN means m ON ix = x // (32 >> level) AND iy = y // (32 >> level) AND px = (x - ix * (32 >> level)) // ((32 >> level) // 2) AND py = (y - iy * (32 >> level)) // ((32 >> level) // 2)", "smooth"))
 def _(spark, d):
-    return rounded(M.paint(patched(spark)[1], TREE, TILE, 2), ["x", "y"], ["v"], 8)
+    return rounded(M.paint(patched(spark, d)[1], TREE, TILE, 2), ["tree", "x", "y"], ["v"], 8)
 
 
-@query("t3_coarsen_siblings", with_views(BAL + "," + MEANS + "SELECT level - 1 AS level, ix >> 1 AS ix, iy >> 1 AS iy, ((ix % 2) * 2 + px) // 2 AS px, ((iy % 2) * 2 + py) // 2 AS py, round(sum(v) / 4, 8) AS v FROM means WHERE level > 0 GROUP BY 1, 2, 3, 4, 5", "smooth"))
+@query("t3_coarsen_siblings", with_views(BAL + "," + MEANS + "SELECT tree, level - 1 AS level, ix >> 1 AS ix, iy >> 1 AS iy, ((ix % 2) * 2 + px) // 2 AS px, ((iy % 2) * 2 + py) // 2 AS py, round(sum(v) / 4, 8) AS v FROM means WHERE level > 0 GROUP BY 1, 2, 3, 4, 5, 6", "smooth"))
 def _(spark, d):
-    return rounded(M.coarsen_mean(patched(spark)[1].where("level > 0"), TREE, 2), ["level", "ix", "iy", "px", "py"], ["v"], 8)
+    return rounded(M.coarsen_mean(patched(spark, d)[1].where("level > 0"), TREE, 2), ["tree", "level", "ix", "iy", "px", "py"], ["v"], 8)
 
 
 @query("t2_refine_bilinear", with_views(BAL + "," + MEANS + """,
 taps(q, k, i, w) AS (VALUES (0, 0, 0, 1.0::DOUBLE), (0, 1, 0, 2.0::DOUBLE / 3), (0, 1, 1, 1.0::DOUBLE / 3), (1, 0, 0, 1.0::DOUBLE / 3), (1, 0, 1, 2.0::DOUBLE / 3), (1, 1, 1, 1.0::DOUBLE))
-SELECT level + 1 AS level, 2 * ix + a.q AS ix, 2 * iy + b.q AS iy, a.k AS px, b.k AS py, round(sum(v * a.w * b.w), 8) AS v FROM means JOIN taps a ON px = a.i JOIN taps b ON py = b.i GROUP BY 1, 2, 3, 4, 5
+SELECT tree, level + 1 AS level, 2 * ix + a.q AS ix, 2 * iy + b.q AS iy, a.k AS px, b.k AS py, round(sum(v * a.w * b.w), 8) AS v FROM means JOIN taps a ON px = a.i JOIN taps b ON py = b.i GROUP BY 1, 2, 3, 4, 5, 6
 """, "smooth"))
 def _(spark, d):
-    return rounded(M.refine_bilinear(patched(spark)[1], TREE, 2), ["level", "ix", "iy", "px", "py"], ["v"], 8)
+    return rounded(M.refine_bilinear(patched(spark, d)[1], TREE, 2), ["tree", "level", "ix", "iy", "px", "py"], ["v"], 8)
 
 
 @query("t16_export_leaves", with_views(BAL + """
-SELECT level, ix, iy, ix >> level AS tile_ix, iy >> level AS tile_iy, round((ix + 0.5) / (2 << level), 8) AS cx, round((iy + 0.5) / (2 << level), 8) AS cy, round(0.5 / (2 << level), 8) AS hx, (ix = 0 OR iy = 0 OR ix + 1 = 2 << level OR iy + 1 = 2 << level) AS boundary,
+SELECT tree, level, ix, iy, ix >> level AS tile_ix, iy >> level AS tile_iy, round((ix + 0.5) / (2 << level), 8) AS cx, round((iy + 0.5) / (2 << level), 8) AS cy, round(0.5 / (2 << level), 8) AS hx, (ix = 0 OR iy = 0 OR ix + 1 = 2 << level OR iy + 1 = 2 << level) AS boundary,
  (ix % (1 << level) + ((iy % (1 << level)) << 3) + (level << 6) + ((ix >> level)::BIGINT << 12) + ((iy >> level)::BIGINT << 24))::BIGINT AS uid FROM leaf
 """, "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
+    _, inner, base = smooth_mesh(spark, d, True)
     out = M.export(M.leaves(inner, base, TREE), TREE, N, N, MAX_LEVEL)
-    return out.select(*M.CELL, "tile_ix", "tile_iy", *[F.round(c, 8).alias(c) for c in ("cx", "cy", "hx")], "boundary", "uid")
+    return out.select("tree", *M.CELL, "tile_ix", "tile_iy", *[F.round(c, 8).alias(c) for c in ("cx", "cy", "hx")], "boundary", "uid")
 
 
-@query("t17_uid_round_trip", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t17_uid_round_trip", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
+    _, inner, base = smooth_mesh(spark, d, True)
     out = M.export(M.leaves(inner, base, TREE), TREE, N, N, MAX_LEVEL)
-    return out.select(*[c.alias(n) for n, c in M.uid_parts(F.col("uid"), MAX_LEVEL).items()])
+    return out.select("tree", *[c.alias(n) for n, c in M.uid_parts(F.col("uid"), MAX_LEVEL).items()])
 
 
 @query("w11_bucket_layout", with_views(BAL + """,
 z AS (SELECT *, (SELECT sum(((((ix << (3 - level)) >> b) & 1) << (2 * b)) + ((((iy << (3 - level)) >> b) & 1) << (2 * b + 1))) FROM range(16) t(b)) AS m FROM leaf)
-SELECT level, ix, iy, row_number() OVER (PARTITION BY level ORDER BY m) - 1 AS position FROM z
+SELECT tree, level, ix, iy, row_number() OVER (PARTITION BY tree, level ORDER BY m) - 1 AS position FROM z
 """, "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
-    return M.bucket_layout(M.leaves(inner, base, TREE), TREE, MAX_LEVEL).drop("tree")
+    _, inner, base = smooth_mesh(spark, d, True)
+    return M.bucket_layout(M.leaves(inner, base, TREE), TREE, MAX_LEVEL)
 
 
 @query("t31_tree_info", with_views(FIELD_IN + "," + leaves_sql("inner0", "leaf", "channel") + "SELECT channel, count(*) AS leaves, max(level)::BIGINT AS deepest, count(DISTINCT (ix >> level, iy >> level)) AS tiles FROM leaf GROUP BY 1", "field"))
@@ -650,28 +633,28 @@ def _(spark, d):
 
 
 EXPANDED = BAL + "," + BOX + """,
-grow AS (SELECT DISTINCT 0 AS tree, b.level, b.ix, b.iy FROM box a JOIN box b ON b.level < a.level AND (((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1))),
+grow AS (SELECT DISTINCT b.tree, b.level, b.ix, b.iy FROM box a JOIN box b ON a.tree = b.tree AND b.level < a.level AND (((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1))),
 grown AS (SELECT tree, level, ix, iy FROM bal UNION SELECT * FROM grow),""" + balanced_sql("grown", "wide", "tree")
 
 
-@query("t13_expand_fine", with_views(EXPANDED + "SELECT level, ix, iy FROM wide", "smooth"))
+@query("t13_expand_fine", with_views(EXPANDED + "SELECT tree, level, ix, iy FROM wide", "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark)
-    return M.expand_fine(inner, base, TREE, N, N, MAX_LEVEL, 1).select(*M.CELL)
+    _, inner, base = smooth_mesh(spark, d)
+    return M.expand_fine(inner, base, TREE, N, N, MAX_LEVEL, 1).select("tree", *M.CELL)
 
 
-@query("t34_protected", with_views(BAL + "," + MEANS + "SELECT level, ix, iy FROM means GROUP BY 1, 2, 3 HAVING max(v) - min(v) >= 0.25 * 0.021::DOUBLE", "smooth"))
+@query("t34_protected", with_views(BAL + "," + MEANS + "SELECT tree, level, ix, iy FROM means GROUP BY 1, 2, 3, 4 HAVING max(v) - min(v) >= 0.25 * 0.021::DOUBLE", "smooth"))
 def _(spark, d):
-    return M.protected(patched(spark)[1], TREE, 0.021).select(*M.CELL)
+    return M.protected(patched(spark, d)[1], TREE, 0.021).select("tree", *M.CELL)
 
 
 @query("t35_dilate", with_views(BAL + "," + MEANS + "," + BOX + """,
-p AS (SELECT level, ix, iy FROM means GROUP BY 1, 2, 3 HAVING max(v) - min(v) >= 0.25 * 0.4::DOUBLE)
-SELECT level, ix, iy FROM p UNION SELECT b.level, b.ix, b.iy FROM p JOIN box a USING (level, ix, iy) JOIN box b ON ((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1)
+p AS (SELECT tree, level, ix, iy FROM means GROUP BY 1, 2, 3, 4 HAVING max(v) - min(v) >= 0.25 * 0.4::DOUBLE)
+SELECT tree, level, ix, iy FROM p UNION SELECT b.tree, b.level, b.ix, b.iy FROM p JOIN box a USING (tree, level, ix, iy) JOIN box b ON a.tree = b.tree AND (((b.x1 = a.x0 OR b.x0 = a.x1) AND b.y0 < a.y1 AND a.y0 < b.y1) OR ((b.y1 = a.y0 OR b.y0 = a.y1) AND b.x0 < a.x1 AND a.x0 < b.x1))
 """, "smooth"))
 def _(spark, d):
-    leaf, values = patched(spark)
-    return M.dilate(M.protected(values, TREE, 0.4), leaf, TREE, MAX_LEVEL, 1).select(*M.CELL)
+    leaf, values = patched(spark, d)
+    return M.dilate(M.protected(values, TREE, 0.4), leaf, TREE, MAX_LEVEL, 1).select("tree", *M.CELL)
 
 
 @query("t24_patch_refinement", with_views("SELECT DISTINCT k.range::INT AS level, a.range::INT AS ix, b.range::INT AS iy FROM placed, range(3) k, range(8) a, range(8) b WHERE placed.level > k.range AND a.range < 2 << k.range AND b.range < 2 << k.range AND x0 < (a.range + 1) * (32 >> k.range) AND x1 > a.range * (32 >> k.range) AND y0 < (b.range + 1) * (32 >> k.range) AND y1 > b.range * (32 >> k.range)", "patches"))
@@ -690,78 +673,78 @@ from meshlark.operators import regrid as R  # noqa: E402
 
 
 @query("t12_error_metric", with_views(BAL + "," + MEANS + """,
-pts AS (SELECT level, ix, iy, k, (ix + 0.5::DOUBLE + dx) * (32 >> level) AS sx, (iy + 0.5::DOUBLE + dy) * (32 >> level) AS sy FROM leaf, (VALUES (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) s(k, dx, dy)),
+pts AS (SELECT tree, level, ix, iy, k, (ix + 0.5::DOUBLE + dx) * (32 >> level) AS sx, (iy + 0.5::DOUBLE + dy) * (32 >> level) AS sy FROM leaf, (VALUES (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) s(k, dx, dy)),
 held AS (SELECT p.*, l.level AS hl, l.ix AS hx, l.iy AS hy, (sx - l.ix * (32 >> l.level)) / (32 >> l.level) * 2 - 0.5::DOUBLE AS u, (sy - l.iy * (32 >> l.level)) / (32 >> l.level) * 2 - 0.5::DOUBLE AS w
-  FROM pts p JOIN leaf l ON l.ix = floor(sx)::INT // (32 >> l.level) AND l.iy = floor(sy)::INT // (32 >> l.level) WHERE sx >= 0 AND sy >= 0),
-got AS (SELECT h.level, h.ix, h.iy, k, sum(v * CASE a.t WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END * CASE b.t WHEN 0 THEN 1 - (w - floor(w)) ELSE w - floor(w) END) AS s
+  FROM pts p JOIN leaf l ON l.tree = p.tree AND l.ix = floor(sx)::INT // (32 >> l.level) AND l.iy = floor(sy)::INT // (32 >> l.level) WHERE sx >= 0 AND sy >= 0),
+got AS (SELECT h.tree, h.level, h.ix, h.iy, k, sum(v * CASE a.t WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END * CASE b.t WHEN 0 THEN 1 - (w - floor(w)) ELSE w - floor(w) END) AS s
   FROM held h, (VALUES (0), (1)) a(t), (VALUES (0), (1)) b(t), means m
-  WHERE m.level = hl AND m.ix = hx AND m.iy = hy AND m.px = greatest(0, least(1, floor(u) + a.t)) AND m.py = greatest(0, least(1, floor(w) + b.t)) GROUP BY 1, 2, 3, 4),
-allk AS (SELECT p.level, p.ix, p.iy, p.k, coalesce(s, 0) AS s FROM pts p LEFT JOIN got g ON p.level = g.level AND p.ix = g.ix AND p.iy = g.iy AND p.k = g.k),
-e AS (SELECT a.level, a.ix, a.iy, max(abs(a.s - c.s)) AS e FROM allk a JOIN allk c ON a.level = c.level AND a.ix = c.ix AND a.iy = c.iy AND c.k = 0 AND a.k > 0 GROUP BY 1, 2, 3),
-r AS (SELECT level, ix, iy, max(v) - min(v) AS r FROM means GROUP BY 1, 2, 3)
-SELECT e.level, e.ix, e.iy, round(greatest(e, r), 8) AS error FROM e JOIN r ON e.level = r.level AND e.ix = r.ix AND e.iy = r.iy
+  WHERE m.tree = h.tree AND m.level = hl AND m.ix = hx AND m.iy = hy AND m.px = greatest(0, least(1, floor(u) + a.t)) AND m.py = greatest(0, least(1, floor(w) + b.t)) GROUP BY 1, 2, 3, 4, 5),
+allk AS (SELECT p.tree, p.level, p.ix, p.iy, p.k, coalesce(s, 0) AS s FROM pts p LEFT JOIN got g ON p.tree = g.tree AND p.level = g.level AND p.ix = g.ix AND p.iy = g.iy AND p.k = g.k),
+e AS (SELECT a.tree, a.level, a.ix, a.iy, max(abs(a.s - c.s)) AS e FROM allk a JOIN allk c ON a.tree = c.tree AND a.level = c.level AND a.ix = c.ix AND a.iy = c.iy AND c.k = 0 AND a.k > 0 GROUP BY 1, 2, 3, 4),
+r AS (SELECT tree, level, ix, iy, max(v) - min(v) AS r FROM means GROUP BY 1, 2, 3, 4)
+SELECT e.tree, e.level, e.ix, e.iy, round(greatest(e, r), 8) AS error FROM e JOIN r ON e.tree = r.tree AND e.level = r.level AND e.ix = r.ix AND e.iy = r.iy
 """, "smooth"))
 def _(spark, d):
-    return rounded(R.error_metric(patched(spark)[1], TREE, 2, TILE, MAX_LEVEL, N, N), ["level", "ix", "iy"], ["error"], 8)
+    return rounded(R.error_metric(patched(spark, d)[1], TREE, 2, TILE, MAX_LEVEL, N, N), ["tree", "level", "ix", "iy"], ["error"], 8)
 
 
 @query("j9_corner_neighbours", with_views(BAL + "," + BOX + """
-SELECT a.level, a.ix, a.iy, c.corner, b.level AS nlevel, b.ix AS nx, b.iy AS ny FROM box a, (VALUES ('SW', 0, 0), ('SE', 1, 0), ('NW', 0, 1), ('NE', 1, 1)) c(corner, e, n), box b
-WHERE (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) >= b.x0 AND (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) < b.x1 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) >= b.y0 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) < b.y1
+SELECT a.tree, a.level, a.ix, a.iy, c.corner, b.level AS nlevel, b.ix AS nx, b.iy AS ny FROM box a, (VALUES ('SW', 0, 0), ('SE', 1, 0), ('NW', 0, 1), ('NE', 1, 1)) c(corner, e, n), box b
+WHERE a.tree = b.tree AND (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) >= b.x0 AND (CASE e WHEN 0 THEN a.x0 - 1 ELSE a.x1 END) < b.x1 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) >= b.y0 AND (CASE n WHEN 0 THEN a.y0 - 1 ELSE a.y1 END) < b.y1
 """, "smooth"))
 def _(spark, d):
-    _, inner, base = smooth_mesh(spark, True)
-    return R.corner_neighbours(M.leaves(inner, base, TREE), TREE, N, N, MAX_LEVEL).drop("tree")
+    _, inner, base = smooth_mesh(spark, d, True)
+    return R.corner_neighbours(M.leaves(inner, base, TREE), TREE, N, N, MAX_LEVEL)
 
 
 @query("j13_value_copy", with_views(TWO + """,
-src AS (SELECT level, ix, iy, level * 1000 + ix * 10.0::DOUBLE + iy AS v FROM la)
-SELECT t.level, t.ix, t.iy, v FROM lb t JOIN src s ON s.ix = floor((t.ix + 0.5) * (32 >> t.level))::INT // (32 >> s.level) AND s.iy = floor((t.iy + 0.5) * (32 >> t.level))::INT // (32 >> s.level)
+src AS (SELECT tree, level, ix, iy, level * 1000 + ix * 10.0::DOUBLE + iy AS v FROM la)
+SELECT t.tree, t.level, t.ix, t.iy, v FROM lb t JOIN src s ON s.tree = t.tree AND s.ix = floor((t.ix + 0.5) * (32 >> t.level))::INT // (32 >> s.level) AND s.iy = floor((t.iy + 0.5) * (32 >> t.level))::INT // (32 >> s.level)
 """, "smooth"))
 def _(spark, d):
-    _, a, base = smooth_mesh(spark)
-    _, b, _ = smooth_mesh(spark, True)
+    _, a, base = smooth_mesh(spark, d)
+    _, b, _ = smooth_mesh(spark, d, True)
     source = M.leaves(a, base, TREE).withColumn("v", F.col("level") * 1000 + F.col("ix") * 10.0 + F.col("iy"))
-    return R.copy_values(source, M.leaves(b, base, TREE), TREE, TILE, MAX_LEVEL).drop("tree")
+    return R.copy_values(source, M.leaves(b, base, TREE), TREE, TILE, MAX_LEVEL)
 
 
 @query("t18_regrid")
 def _(spark, d):
     """Regridding is a loop of dependent decisions; tests compare it with a sequential version's invariants."""
-    return rounded(R.regrid(patched(spark)[1], TREE, 2, TILE, N, N, MAX_LEVEL, 0.2, nearby=1), ["level", "ix", "iy", "px", "py"], ["v"], 8)
+    return rounded(R.regrid(patched(spark, d)[1], TREE, 2, TILE, N, N, MAX_LEVEL, 0.2, nearby=1), ["tree", "level", "ix", "iy", "px", "py"], ["v"], 8)
 
 
 # ---- further mesh, join and metric operators -----------------------------------------------------
 
 
-def smooth_leaves(spark):
-    _, inner, base = smooth_mesh(spark, True)
+def smooth_leaves(spark, d):
+    _, inner, base = smooth_mesh(spark, d, True)
     return M.leaves(inner, base, TREE), base
 
 
-@query("t4_refine_where", with_views(BAL + "SELECT level, ix, iy FROM leaf WHERE level >= 2 OR ix <> 0 UNION ALL SELECT level + 1, (2 * ix + q.range % 2)::INT, (2 * iy + q.range // 2)::INT FROM leaf, range(4) q WHERE level < 2 AND ix = 0", "smooth"))
+@query("t4_refine_where", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf WHERE level >= 2 OR ix <> 0 UNION ALL SELECT tree, level + 1, (2 * ix + q.range % 2)::INT, (2 * iy + q.range // 2)::INT FROM leaf, range(4) q WHERE level < 2 AND ix = 0", "smooth"))
 def _(spark, d):
-    leaf, _ = smooth_leaves(spark)
-    return M.refine_where(leaf, (F.col("level") < 2) & (F.col("ix") == 0), TREE).select(*M.CELL)
+    leaf, _ = smooth_leaves(spark, d)
+    return M.refine_where(leaf, (F.col("level") < 2) & (F.col("ix") == 0), TREE).select("tree", *M.CELL)
 
 
-@query("t4_coarsen_where", with_views(BAL + "SELECT level, ix, iy FROM leaf WHERE level <= 1 UNION SELECT 1, ix >> (level - 1), iy >> (level - 1) FROM leaf WHERE level > 1", "smooth"))
+@query("t4_coarsen_where", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf WHERE level <= 1 UNION SELECT tree, 1, ix >> (level - 1), iy >> (level - 1) FROM leaf WHERE level > 1", "smooth"))
 def _(spark, d):
-    leaf, _ = smooth_leaves(spark)
-    return M.coarsen_where(leaf, F.col("level") >= 1, TREE, MAX_LEVEL).select(*M.CELL)
+    leaf, _ = smooth_leaves(spark, d)
+    return M.coarsen_where(leaf, F.col("level") >= 1, TREE, MAX_LEVEL).select("tree", *M.CELL)
 
 
-@query("t9_refine_only_export", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t9_refine_only_export", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    leaf, base = smooth_leaves(spark)
-    return M.refine_only(M.diff(base, leaf, TREE), base, TREE).select(*M.CELL)
+    leaf, base = smooth_leaves(spark, d)
+    return M.refine_only(M.diff(base, leaf, TREE), base, TREE).select("tree", *M.CELL)
 
 
-@query("t21_cells_from_centres", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t21_cells_from_centres", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    leaf, _ = smooth_leaves(spark)
-    out = M.export(leaf, TREE, N, N, MAX_LEVEL).select("level", "cx", "cy")
-    return M.from_centres(out, N, N).select(*M.CELL)
+    leaf, _ = smooth_leaves(spark, d)
+    out = M.export(leaf, TREE, N, N, MAX_LEVEL).select("tree", "level", "cx", "cy")
+    return M.from_centres(out, N, N).select("tree", *M.CELL)
 
 
 @query("t26_regular_centres", "SELECT a.range::INT AS ix, b.range::INT AS iy, round((a.range + 0.5) / 12, 8) AS cx, round((b.range + 0.5) / 5, 8) AS cy FROM range(12) a, range(5) b")
@@ -774,10 +757,10 @@ def _(spark, d):
     return M.rasterize(V.field(spark, d), ["channel"], GRID, 20)
 
 
-@query("t38_overlap_repair", with_views(BAL + "SELECT level, ix, iy FROM leaf", "smooth"))
+@query("t38_overlap_repair", with_views(BAL + "SELECT tree, level, ix, iy FROM leaf", "smooth"))
 def _(spark, d):
-    leaf, base = smooth_leaves(spark)
-    return M.repair_overlaps(leaf.unionByName(base), TREE).select(*M.CELL)
+    leaf, base = smooth_leaves(spark, d)
+    return M.repair_overlaps(leaf.unionByName(base), TREE).select("tree", *M.CELL)
 
 
 @query("j7_patches_to_grid", with_views("fine AS (SELECT x, y, arg_max(v, (level, -patch_id)) AS v FROM grid JOIN placed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2) SELECT (x // 4)::INT AS x, (y // 4)::INT AS y, round(avg(v), 6) AS v FROM fine GROUP BY 1, 2".replace(") SELECT", ")\nSELECT"), "grid", "patches"))
@@ -785,17 +768,17 @@ def _(spark, d):
     return rounded(M.patches_to_grid(V.patches(spark, d), TREE, 4), ["x", "y"], ["v"])
 
 
-@query("j10_topology_match", with_views(TWO + "SELECT level, ix, iy FROM la SEMI JOIN lb USING (tree, level, ix, iy)", "smooth"))
+@query("j10_topology_match", with_views(TWO + "SELECT tree, level, ix, iy FROM la SEMI JOIN lb USING (tree, level, ix, iy)", "smooth"))
 def _(spark, d):
-    _, a, base = smooth_mesh(spark)
-    _, b, _ = smooth_mesh(spark, True)
-    return M.leaves(a, base, TREE).join(M.leaves(b, base, TREE), [*TREE, *M.CELL], "left_semi").select(*M.CELL)
+    _, a, base = smooth_mesh(spark, d)
+    _, b, _ = smooth_mesh(spark, d, True)
+    return M.leaves(a, base, TREE).join(M.leaves(b, base, TREE), [*TREE, *M.CELL], "left_semi").select("tree", *M.CELL)
 
 
-@query("j11_ancestors", with_views(BAL + "SELECT level, ix, iy, k.range::INT AS alevel, ix >> (level - k.range)::INT AS ax, iy >> (level - k.range)::INT AS ay FROM leaf, range(4) k WHERE k.range < level", "smooth"))
+@query("j11_ancestors", with_views(BAL + "SELECT tree, level, ix, iy, k.range::INT AS alevel, ix >> (level - k.range)::INT AS ax, iy >> (level - k.range)::INT AS ay FROM leaf, range(4) k WHERE k.range < level", "smooth"))
 def _(spark, d):
-    leaf, _ = smooth_leaves(spark)
-    return M.ancestors(leaf, TREE).drop("tree")
+    leaf, _ = smooth_leaves(spark, d)
+    return M.ancestors(leaf, TREE)
 
 
 @query("a14_level_counts", with_views(FIELD_IN + "," + leaves_sql("inner0", "leaf", "channel") + "SELECT channel, k.range::INT AS level, count(leaf.ix) AS n FROM (SELECT DISTINCT channel FROM leaf) c CROSS JOIN range(4) k LEFT JOIN leaf ON leaf.channel = c.channel AND leaf.level = k.range GROUP BY 1, 2".replace("SELECT channel, k.range", "SELECT c.channel, k.range"), "field"))
@@ -856,8 +839,8 @@ def _(spark, d):
 
 
 @query("o2_morton_order", with_views(BAL + """
-SELECT level, ix, iy, (SELECT sum(((((ix << (3 - level)) >> b) & 1) << (2 * b)) + ((((iy << (3 - level)) >> b) & 1) << (2 * b + 1))) FROM range(16) t(b))::BIGINT AS morton FROM leaf
+SELECT tree, level, ix, iy, (SELECT sum(((((ix << (3 - level)) >> b) & 1) << (2 * b)) + ((((iy << (3 - level)) >> b) & 1) << (2 * b + 1))) FROM range(16) t(b))::BIGINT AS morton FROM leaf
 """, "smooth"))
 def _(spark, d):
-    leaf, _ = smooth_leaves(spark)
-    return leaf.select(*M.CELL, M.morton("level", "ix", "iy", MAX_LEVEL).alias("morton"))
+    leaf, _ = smooth_leaves(spark, d)
+    return leaf.select("tree", *M.CELL, M.morton("level", "ix", "iy", MAX_LEVEL).alias("morton"))

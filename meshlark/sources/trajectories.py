@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.windows import global_rank
+
 SLICE = ":::"
 
 
@@ -15,7 +17,7 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def single(paths: DataFrame) -> DataFrame:
     """One trajectory: its paths in lexicographic order."""
-    return paths.select(F.lit(0).alias("traj_idx"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).alias("pos"), "path")
+    return global_rank(paths.select("path"), ["path"]).select(F.lit(0).alias("traj_idx"), F.col("rank").cast("int").alias("pos"), "path")
 
 
 def grouped(paths: DataFrame, pattern: str, start: int = 0, stop: int | None = None) -> DataFrame:
@@ -28,7 +30,7 @@ def grouped(paths: DataFrame, pattern: str, start: int = 0, stop: int | None = N
     n = found.select("sim").distinct().count()
     if stop is not None and stop > n:
         raise ValueError(f"stop {stop} is beyond the {n} trajectories found")
-    order = found.select("sim").distinct().withColumn("traj_idx", F.row_number().over(Window.orderBy("sim")) - 1)  # one row a trajectory
+    order = global_rank(found.select("sim").distinct(), ["sim"]).withColumn("traj_idx", F.col("rank").cast("int")).drop("rank")
     kept = order.where(F.col("traj_idx").between(start, (stop or n) - 1)).withColumn("traj_idx", F.col("traj_idx") - start)
     out = found.join(kept, "sim")
     return out.select("traj_idx", (F.row_number().over(Window.partitionBy("traj_idx").orderBy("at", "path")) - 1).alias("pos"), "at", "path")
