@@ -32,12 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, fewer: int = 1) -> DataFrame:
     """df cut from its lineage: written as Parquet to the shared folder and read again.
 
-    Losing an executor afterwards costs a reread of files, not a recomputation.
+    Losing an executor afterwards costs a reread of files, not a recomputation. ``fewer``: a table that
+    is small beside what it is made from goes to that many times fewer files than there are shuffle
+    partitions, so that they are not many tiny ones.
     """
     spark = df.sparkSession
+    if fewer > 1:
+        df = df.coalesce(max(1, shuffle_partitions(spark) // fewer))
     path = f"{shared_dir(spark)}/meshlark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, and rounds go on until nothing changes. Null ends and self loops are ignored.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    now = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", 8)
     last = None
     while True:
         # large star: every larger neighbour of u, and u's own tree, points to u's least neighbour
@@ -79,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        then = written(small, "cc")
+        then = written(small, "cc", 8)
         mark = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         discard(now)
         now = then

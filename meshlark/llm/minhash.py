@@ -211,8 +211,8 @@ def _verified(batches, least: float):
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the distinct pairs (a, b) that have at least the similarity. The text of a document
     with many partners is sent once for BESIDE of them, to another task each time."""
-    pairs = written(pairs, "omh-pairs")
-    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "omh-parts")
+    pairs = written(pairs, "omh-pairs", 8)
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "omh-parts", 16)
     # one part for documents with few partners, which need no count
     dealt = pairs.join(parts.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     left = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("doc", "a"), "a")
@@ -220,7 +220,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     rows = left.select("a", "part", F.lit(None).cast("long").alias("b"), "packed").unionByName(right.select("a", "part", "b", "packed"))
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     found = rows.mapInArrow(lambda it: _verified(it, least), "a long, b long, similarity double")
-    links = written(found.where("similarity > 0").select("a", "b"), "omh-links")
+    links = written(found.where("similarity > 0").select("a", "b"), "omh-links", 2)
     discard(pairs)
     discard(parts)
     return links
@@ -253,7 +253,7 @@ def _across_groups(texts: DataFrame, roots: DataFrame, least: float) -> DataFram
     shared = shared.select("doc", "n", "shingle", "held", at)
     near = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6)
     front = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-6)
-    first = written(shared.where(F.col("at") <= near).withColumn("index", F.col("at") <= front).join(roots, "doc").drop("held"), "omh-first")
+    first = written(shared.where(F.col("at") <= near).withColumn("index", F.col("at") <= front).join(roots, "doc").drop("held"), "omh-first", 2)
     discard(all_)
     # documents of the largest group under a shingle need not meet each other, which leaves work in the number of pairs of different groups
     groups = first.groupBy("shingle", "root").agg(F.count("*").alias("rows"), F.max("index").alias("index"))
@@ -287,22 +287,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = plain.select(F.col(place(docs, id_col)).cast("long").alias("doc"), F.col(place(docs, text_col)).alias("text"))
     sketched = ids.where("doc is not null and text is not null").mapInArrow(_sketched, "doc long, mark binary, keys array<long>, packed binary")
     sketched = written(sketched, "omh")
-    first = written(sketched.groupBy("mark").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("mark", "rep"), "omh-copies")
+    first = written(sketched.groupBy("mark").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("mark", "rep"), "omh-copies", 8)
     copies = sketched.select("doc", "mark").join(first, "mark").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     reps = sketched.select("doc", "mark", "keys").join(first, "mark", "left").where("rep is null or doc = rep")
-    reps = written(reps.groupBy("doc").agg(F.min(F.struct("mark", "keys")).alias("r")).select("doc", "r.mark", "r.keys"), "omh-reps")
+    reps = written(reps.groupBy("doc").agg(F.min(F.struct("mark", "keys")).alias("r")).select("doc", "r.mark", "r.keys"), "omh-reps", 2)
     keyed = reps.select(F.explode("keys").alias("key"), "doc")
     heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    met = written(keyed.join(heads, "key"), "omh-met")
+    met = written(keyed.join(heads, "key"), "omh-met", 4)
     wanted = reps.select("doc", "mark").join(met.select("doc").distinct(), "doc", "left_semi")
-    packed = written(sketched.select("doc", "mark", "packed").join(wanted, ["doc", "mark"], "left_semi").dropDuplicates(["doc"]).select("doc", "packed"), "omh-texts")
+    packed = written(sketched.select("doc", "mark", "packed").join(wanted, ["doc", "mark"], "left_semi").dropDuplicates(["doc"]).select("doc", "packed"), "omh-texts", 4)
     links = [_verify(met.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), packed, similarity)]
     classes = components(links[0])
 
     root: Column = F.coalesce("component", "doc").alias("root")
     rooted = met.select("key", "doc").join(classes.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", root)
     mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = written(rooted.join(mixed_keys, "key", "left_semi").select("doc", "root").distinct(), "omh-open")
+    open_ = written(rooted.join(mixed_keys, "key", "left_semi").select("doc", "root").distinct(), "omh-open", 8)
     more = _across_groups(packed.join(open_.select("doc"), "doc", "left_semi"), open_, similarity)
     links.append(_verify(more, packed, similarity))
     classes = components(reduce(DataFrame.unionByName, [*links, copies.distinct()]))
