@@ -87,13 +87,16 @@ class Encoder(dict):
         """The ids of each text."""
         plain = [not (BEYOND.search(t) or any(s in t for s in self.special)) for t in texts]
         chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*chunks).difference(self)
-        if new and len(self) + len(new) > CHUNKS:
-            self.clear()
-            new = set().union(*chunks)
-        if new:
+        known = [list(map(self.get, c)) for c in chunks]
+        gaps = [k for k, found in enumerate(known) if None in found]
+        if gaps:
+            new = {c for k in gaps for c, v in zip(chunks[k], known[k], strict=True) if v is None}
+            if len(self) + len(new) > CHUNKS:
+                self.clear()
             self.learn(list(new))
-        return [np.frombuffer(b"".join(map(self.__getitem__, c)) if p else self.whole(t), "<u4") for t, p, c in zip(texts, plain, chunks, strict=True)]
+            for k in gaps:
+                known[k] = [v if v is not None else self[c] for c, v in zip(chunks[k], known[k], strict=True)]
+        return [np.frombuffer(b"".join(v) if p else self.whole(t), "<u4") for t, p, v in zip(texts, plain, known, strict=True)]
 
 
 _LOADED: dict[str, Encoder] = {}
