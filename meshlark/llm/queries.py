@@ -62,12 +62,39 @@ def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+walk(id, c) AS (SELECT DISTINCT vec_id, vec_id FROM v WHERE vec_id IS NOT NULL UNION SELECT p.b, w.c FROM walk w JOIN pairs p ON p.a = w.id),
+comp AS (SELECT id, min(c) AS c FROM walk GROUP BY 1),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, coalesce(vec_id = c, TRUE) AS kept FROM v LEFT JOIN comp ON vec_id = id LEFT JOIN links ON vec_id = a
+"""
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), output="digest")
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+windows AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS d FROM windows GROUP BY 1),
+hit AS (SELECT rid, i FROM windows JOIN firsts USING (k) WHERE d < doc_id),
+gone AS (SELECT DISTINCT rid, i + j AS place FROM hit, (SELECT unnest(range(13)) AS j)),
+words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY place) AS t FROM words ANTI JOIN gone USING (rid, place) GROUP BY 1),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid) LEFT JOIN removed USING (rid)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.packing import pack
 
@@ -140,4 +167,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann}
-ORACLES = {"op1_url_filter": OP1_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_embedding": OP3_SQL, "op4_substring": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
