@@ -1,37 +1,67 @@
-"""Choosing between keeping decoded data and recomputing it, by capacity."""
+"""Keeping a table or computing it again, decided by what Spark says it takes."""
 
 from __future__ import annotations
 
-import math
-
-
-def residency(requested: str, estimate_gib: float | None, store_gib: float, node_gib: float, shared_gib: float, usable: float = 0.85, headroom_gib: float = 256.0) -> tuple[str, dict[str, bool]]:
-    """"keep" or "recompute", and which conditions hold. auto keeps where all do; keep raises where one fails."""
-    if requested not in ("auto", "keep", "recompute"):
-        raise ValueError(f"unknown choice {requested}")
-    if not 0 < usable <= 1 or headroom_gib < 0 or min(store_gib, node_gib, shared_gib) <= 0:
-        raise ValueError("capacities must be positive, the usable share in (0, 1], the headroom not negative")
-    holds = {
-        "estimated": estimate_gib is not None,
-        "fits": estimate_gib is not None and estimate_gib <= usable * store_gib,
-        "shared": store_gib <= shared_gib,
-        "headroom": store_gib + headroom_gib <= node_gib,
-    }
-    if requested == "keep" and not all(holds.values()):
-        raise MemoryError("cannot keep the data: " + ", ".join(k for k, v in holds.items() if not v))
-    if requested == "auto":
-        return ("keep" if all(holds.values()) else "recompute"), holds
-    return requested, holds
-
-
-def decoded_bytes(file_bytes: int, selected: int, total: int, padding: float = 0.02) -> int:
-    """Bytes of the selected single-precision fields of double-precision files."""
-    if not 0 < selected <= total or not math.isfinite(padding) or padding < 0:
-        raise ValueError("fields must be some of the total, the padding finite and not negative")
-    return int(file_bytes * selected / total / 2 * (1 + padding))
-
-
-def reservations(sizes: list[int], budget: int) -> list[int]:
-    """The budget dealt out in proportion to the sizes, none over its size."""
-    whole = sum(sizes)
-    return list(sizes) if whole <= budget else [s * budget // whole for s in sizes]
+from collections.abc import Iterator
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the table's size: files' sizes carried through the plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def storage_for(n_bytes: int, memory: int, disk: int = 0, repeatable: bool = True) -> StorageLevel | None:
+    """Where a table of that size can be kept, given the cluster's bytes for it; None: compute it again.
+
+    A plan that is not repeatable (random draws) must not be kept, since every epoch draws anew.
+    """
+    if memory < 0 or disk < 0:
+        raise ValueError("bytes cannot be negative")
+    if not repeatable:
+        return None
+    if n_bytes <= memory:
+        return StorageLevel.MEMORY_ONLY
+    return StorageLevel.MEMORY_AND_DISK if n_bytes <= memory + disk else None
+
+
+def kept(df: DataFrame, memory: int, disk: int = 0, repeatable: bool = True) -> DataFrame:
+    """df, persisted where it fits."""
+    level = storage_for(estimated_bytes(df), memory, disk, repeatable)
+    return df if level is None else df.persist(level)
+
+
+def field_share(file_bytes: int, wanted: int, stored: int, wide: int = 8, narrow: int = 4) -> int:
+    """Bytes of ``wanted`` of the ``stored`` fields of files, once numbers of ``wide`` bytes are ``narrow``."""
+    if not 0 < wanted <= stored:
+        raise ValueError(f"{wanted} of {stored} fields")
+    return -(-file_bytes * wanted * narrow // (stored * wide))
+
+
+def shares(wanted: dict[str, int], budget: int) -> dict[str, int]:
+    """The budget over named users: what they want where that fits, else in proportion, never beyond."""
+    total = sum(wanted.values())
+    return dict(wanted) if total <= budget else {k: n * budget // total for k, n in wanted.items()}
+
+
+def delivered(df: DataFrame, expected: int) -> Iterator[Row]:
+    """df's rows a partition at a time, the next one fetched meanwhile; raises at the end if there were
+    not exactly ``expected``."""
+    n = 0
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        n += 1
+        yield row
+    if n != expected:
+        raise ValueError(f"{n} rows came, {expected} were expected")
+
+
+def batch_columns(df: DataFrame, control: list[str]) -> list[str]:
+    """The columns that go into a batch: all but the control columns, which must hold numbers or arrays of them."""
+    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    out = [(f.name, f.dataType.simpleString()) for f in df.schema if f.name not in control]
+    bad = [n for n, kind in out if kind.replace("array<", "").replace(">", "") not in numbers]
+    if bad:
+        raise TypeError(f"no numbers in {', '.join(bad)}")
+    return [n for n, _ in out]
