@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Vectors are dealt by a hash of their id over shards of about SHARD. Each shard gets a neighbour
-graph: it starts from random blocks and improves by iterated Spark joins of neighbours of
-neighbours, in which everything a vector is linked with, in either direction, meets and is compared.
-A query searches the graph of every shard greedily (it keeps its EF best, expands the best that are
-not expanded) and Spark merges the shards' answers by exact inner product.
+Vectors are dealt over cells of like direction, whose centres are fitted to a sample of SAMPLE vectors
+at most, and within a cell over shards of about SHARD. Each shard gets a neighbour graph: it starts
+from random blocks and improves by iterated Spark joins of neighbours of neighbours, in which
+everything a vector is linked with, in either direction, meets and is compared. A query goes to the
+shards of its nearest cells, as many as hold the share COVER of the exact neighbours of PROBES sample
+queries, which are compared with every vector. There it searches the graph greedily (it keeps its EF
+best, expands the best that are not expanded), and Spark merges the answers by exact inner product.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ HOOD = 40
 #: New neighbours that a vector takes from one meeting; others come up again in the next round.
 TAKEN = 4
 EF, ENTRIES, EXPAND = 128, 48, 8
+#: Vectors that the cells are fitted to, cells at most, sample queries, and the share of their neighbours to reach.
+SAMPLE, CELLS, PROBES, COVER = 16_384, 1024, 256, 0.99
+#: Queries that search a shard in one task.
+BLOCK = 8192
 
 
 def _points(batches, single: bool):
@@ -108,6 +114,85 @@ def neighbour_graph(points: DataFrame, single: bool, degree: int = DEGREE, round
     return graph
 
 
+def fit_cells(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """k directions by spherical k-means, and the mean vector of each cell."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = u[np.linspace(0, len(u) - 1, k).astype(np.int64)]
+    for _ in range(12):
+        own = (u @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, u)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 0, total / np.where(norm > 0, norm, 1.0), centres)
+    own = (u @ centres.T).argmax(axis=1)
+    size = np.bincount(own, minlength=k)[:, None]
+    means = np.zeros_like(centres)
+    np.add.at(means, own, x)
+    return centres, np.where(size > 0, means / np.maximum(size, 1), centres * np.linalg.norm(x, axis=1).mean())
+
+
+def _celled(batches, cells: dict, single: bool, probes: dict | None):
+    """id, dim, vec and its cells: the nearest by direction, or the probes[dim] of the largest inner product."""
+    for batch in batches:
+        out = []
+        for dim, vec in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if dim not in cells:
+                out.append([0])
+                continue
+            x = np.frombuffer(vec, np.float32 if single else np.float64).astype(np.float64)
+            near = cells[dim][0 if probes is None else 1] @ x
+            out.append(np.argsort(-near, kind="stable")[: 1 if probes is None else probes[dim]].tolist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], ["id", "dim", "vec", "cells"])
+
+
+def _exact(batches, ids: np.ndarray, queries: np.ndarray, dim: int, single: bool, k: int):
+    """Of every query the k best rows (id, dim, vec, cells) of this partition: (query, id, cell, score)."""
+    best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+    for batch in batches:
+        rows = [(i, v, c[0]) for i, n, v, c in zip(*(c.to_pylist() for c in batch.columns), strict=True) if n == dim]
+        if not rows:
+            continue
+        own, cell, s = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), _stack([r[1] for r in rows], single) @ queries.T
+        for j, q in enumerate(ids):
+            at = np.flatnonzero(own != q)
+            at = at[np.argpartition(-s[at, j], k)[:k]] if len(at) > k else at
+            score, i, c = (np.concatenate(p) for p in zip(best[j], (s[at, j], own[at], cell[at]), strict=True))
+            keep = np.lexsort((i, -score))[:k]
+            best[j] = score[keep], i[keep], c[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best])), *[pa.array(np.concatenate([b[n] for b in best])) for n in (1, 2, 0)]], ["query", "id", "cell", "score"])
+
+
+def _sample(df: DataFrame, n: int, most: int) -> DataFrame:
+    """About ``most`` of n rows, by a hash of their id, and never more than twice that."""
+    return df.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(max(1, n // most))) == 0).limit(2 * most)
+
+
+def route(points: DataFrame, asked: DataFrame, single: bool, k: int, shard_size: int, cover: float = COVER) -> tuple[dict, DataFrame, dict]:
+    """The cells of each dimension of more than a shard, points with their cell, and how many cells a query visits."""
+    cells, probes, kind = {}, {}, np.float32 if single else np.float64
+    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).collect()}  # one row for so many vectors
+    for dim, n in sizes.items():
+        x = np.stack([np.frombuffer(r["vec"], kind) for r in _sample(points.where(F.col("dim") == dim), n, SAMPLE).select("vec").collect()]).astype(np.float64)
+        cells[dim] = fit_cells(x, min(CELLS, -(-n // shard_size), len(x)))
+    fields = "id long, dim int, vec binary, cells array<int>"
+    placed = written(points.select("id", "dim", "vec").mapInArrow(lambda it: _celled(it, cells, single, None), fields), "ann-cells")
+    for dim in sizes:
+        own = asked.where(F.col("dim") == dim)
+        rows = _sample(own, own.count(), PROBES).select("id", "vec").collect()
+        if not rows:
+            probes[dim] = 1
+            continue
+        ids, q = np.array([r["id"] for r in rows], np.int64), np.stack([np.frombuffer(r["vec"], kind) for r in rows]).astype(np.float64)
+        found = placed.mapInArrow(lambda it, ids=ids, q=q, dim=dim: _exact(it, ids, q, dim, single, k), "query long, id long, cell long, score double")
+        top = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        true = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query", "cell").collect()  # PROBES times k
+        rank = np.argsort(np.argsort(-(q @ cells[dim][1].T), axis=1, kind="stable"), axis=1)
+        at = {int(i): j for j, i in enumerate(ids)}
+        needed = np.sort([rank[at[r["query"]], r["cell"]] for r in true])
+        probes[dim] = int(needed[max(0, int(np.ceil(cover * len(needed))) - 1)]) + 1
+    return cells, placed, probes
+
+
 def _search(x: np.ndarray, starts: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search: rows of x near q, best first, and their inner products."""
     seen = np.zeros(len(x), bool)
@@ -145,7 +230,7 @@ def _answers(shard: pa.Table, queries: pa.Table, single: bool, k: int, ef: int)
         b = np.searchsorted(ids, np.concatenate(lists).astype(np.int64)) if counts.sum() else np.zeros(0, np.int64)
         both = np.unique(np.stack([np.append(a, b), np.append(b, a)]), axis=1)  # in either direction, by first end
         starts = np.searchsorted(both[0], np.arange(len(ids) + 1))
-        entries = np.arange(len(ids)) if len(ids) <= ef else np.linspace(0, len(ids) - 1, ENTRIES).astype(np.int64)
+        entries = np.unique(np.linspace(0, len(ids) - 1, min(ENTRIES, len(ids))).astype(np.int64))
         qs = _stack(queries.column("sought").to_pylist(), single)
         for q, v in zip(queries.column("query").to_numpy(), qs, strict=True):
             at = int(np.searchsorted(ids, q))
@@ -168,8 +253,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     takes part (the least as bytes). An empty table gives no rows; other columns are not read.
 
     Equal vectors are one node, under their least id, and stand for all their ids in the last merge.
-    Every row is indexed. Queries go to all shards, in blocks: the work is queries times shards, and
-    what a task holds is one shard and the queries' vectors in it.
+    Every row is indexed. A query visits the shards of some cells, by route(); a task holds one shard
+    and BLOCK queries at most.
     """
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     base = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
@@ -178,17 +263,25 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     nodes = points.groupBy("dim", "vec").agg(F.min("id").alias("node"))
     alike = written(points.join(nodes, ["dim", "vec"]).select("id", "node"), "ann-alike")
     points = written(nodes.select(F.col("node").alias("id"), "dim", "vec"), "ann-nodes")
-    shards = max(1, -(-points.count() // shard_size))
-    points = points.withColumn("shard", F.xxhash64("dim", F.pmod(F.xxhash64("id"), F.lit(shards))))
+    wanted = alike.join(base.where("asked").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
+    asked = written(points.join(wanted.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select("id", "dim", "vec"), "ann-asked", 4)
+    cells, placed, probes = route(points, asked, single, k + 1, shard_size)
+    points = placed.select("id", "dim", "vec", F.col("cells")[0].alias("cell"))
+    subs = points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("subs"))
+    points = points.join(subs, ["dim", "cell"]).withColumn("shard", F.xxhash64("dim", "cell", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")))
     graph = neighbour_graph(points.select("shard", "id", "vec"), single)
     lists = graph.groupBy("id").agg(F.collect_list("near").alias("near"))  # DEGREE long at most
     nodes = points.join(lists, "id", "left").select("shard", "id", "vec", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    wanted = alike.join(base.where("asked").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
-    asked = points.join(wanted.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
-    places = points.select("dim", "shard").distinct()
-    queries = asked.select("id", "dim", "vec").join(places, "dim").select(F.col("shard").alias("at"), F.col("id").alias("query"), F.col("vec").alias("sought"))
+    sent = asked.mapInArrow(lambda it: _celled(it, cells, single, probes), "id long, dim int, vec binary, cells array<int>")
+    sent = sent.select("id", "dim", "vec", F.explode("cells").alias("cell")).join(subs, ["dim", "cell"])
+    sent = sent.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    sent = written(sent.select(F.xxhash64("dim", "cell", "sub").alias("at"), F.col("id").alias("query"), F.col("vec").alias("sought")), "ann-sent")
+    blocks = sent.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    queries = sent.join(blocks, "at").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks").cast("long")))
+    times = blocks.select(F.col("at").alias("shard"), F.col("blocks").cast("long").alias("times"))
+    nodes = nodes.join(times, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("part"), "id", "vec", "near")
     # k others of a query are among the least ids of the k + 1 best nodes: each node before one gives an id before it
-    found = nodes.groupBy("shard").cogroup(queries.groupBy("at")).applyInArrow(lambda s, q: _answers(s, q, single, k + 1, ef), "query_id long, vec_id long, score double")
+    found = nodes.groupBy("shard", "part").cogroup(queries.groupBy("at", "block")).applyInArrow(lambda s, q: _answers(s, q, single, k + 1, ef), "query_id long, vec_id long, score double")
     found = found.select(F.col("query_id").alias("query"), F.col("vec_id").alias("node"), "score")
     best = lambda df, key, last: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), last)))
     found = best(found, "query", "node").where(F.col("rank") <= k + 1).drop("rank")
