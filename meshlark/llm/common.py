@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the C library has it: what returns freed memory.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: ASCII letters, for lower-casing exactly A-Z.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,6 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Emptied when another operator takes over the worker: name -> what empties its memory.
 _MEMORIES: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
 
 
 def remembers(name: str, forget: Callable[[], None]) -> None:
@@ -105,9 +111,20 @@ def remembers(name: str, forget: Callable[[], None]) -> None:
 
 def only(name: str) -> None:
     """Called when a task of ``name`` begins: a worker, which Spark reuses over jobs, keeps one operator's memory."""
-    for other, forget in _MEMORIES.items():
-        if other != name:
-            forget()
+    if _OWNER[0] != name:
+        for other, forget in _MEMORIES.items():
+            if other != name:
+                forget()
+        _OWNER[0] = name
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: called where a task ends, as its worker then waits for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import components, discard, numbered, only, place, remembers, written
+from meshlark.llm.common import components, discard, give_back, numbered, only, place, remembers, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches and shingles of each: at similarity 0.8 a pair shares none with probability (1 - 0.8**3)**18 = 2.5e-6.
@@ -185,6 +185,7 @@ def _sketched(batches):
                     c.append(v)
         keys = pa.ListArray.from_arrays(np.arange(len(cols[0]) + 1, dtype=np.int32) * SKETCHES, np.concatenate(cols[2]) if cols[2] else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), keys, pa.array(cols[3], pa.binary())], ["doc", "mark", "keys", "packed"])
+    give_back()
 
 
 def _opened(packed: bytes, z=zstandard.ZstdDecompressor()) -> np.ndarray:  # noqa: B008
@@ -206,6 +207,7 @@ def _verified(batches, least: float):
             for c, v in zip(out, (a, other, aligned(head, _opened(packed.as_py()), least)), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+    give_back()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -235,6 +237,7 @@ def _rare_shingles(batches):
             for lo in range(0, len(s), SPAN):
                 part = s[lo : lo + SPAN]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc, np.int64)), pa.array(np.full(len(part), len(s), np.int32)), pa.array(part)], ["doc", "n", "shingle"])
+    give_back()
 
 
 def _across_groups(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:

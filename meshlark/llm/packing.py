@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import numbered, only, place, remembers
+from meshlark.llm.common import give_back, numbered, only, place, remembers
 from meshlark.llm.token_counts import byte_chars
 
 WINDOW, END_ID = 2048, 1
@@ -35,7 +35,7 @@ BEYOND = re.compile("[^\t-\r -~\xa1-įı-ɏ]")
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
 #: Chunks and words that a worker remembers (some 200 bytes each); a full memory is emptied, which costs time only.
-CHUNKS, WORDS = 600_000, 400_000
+CHUNKS, WORDS = 300_000, 250_000
 #: Texts whose new chunks are encoded in one call.
 TOGETHER = 256
 
@@ -226,6 +226,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                         names, ids, tokens, number = [], [], 0, number + 1
         if ids:
             yield shard(names, ids, number, partition, batch.schema.field(0).type)
+        names, ids = [], []
+        give_back()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     plain = numbered(docs)

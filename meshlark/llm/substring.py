@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import numbered, only, place, remembers, shuffle_partitions
+from meshlark.llm.common import give_back, numbered, only, place, remembers, shuffle_partitions
 
 WINDOW = 13
 #: Words gathered by a task before it sends its packed arrays; bounds its memory.
-FLUSH_WORDS = 1_200_000
+FLUSH_WORDS = 700_000
 TOP = np.iinfo(np.int64).max
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20240)).integers(1, 2**63, size=(3, 64), dtype=np.uint64) | np.uint64(1)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -211,6 +211,8 @@ def _probes(batches, groups: int, window: int):
                 hs, docs, marks, total = [], [], [], 0
     if hs:
         yield sent(flush())
+    hs, docs, marks = [], [], []
+    give_back()
 
 
 def _gathered(table: pa.Table, kinds: tuple):
@@ -232,6 +234,8 @@ def _anchors(table: pa.Table, groups: int, window: int) -> pa.Table:
         low, high, _ = extremes(key, ids, np.where(aligned, ids, TOP))
         hit = (low < ids) | (aligned & (high > ids))
         rows += homeward(ids[hit], tags[hit], at[hit], groups, 1)
+        del got, ids, tags, at, key, aligned, low, high, hit
+    give_back()
     return pa.Table.from_batches([sent(rows)])
 
 
@@ -277,6 +281,8 @@ def _windows(anchors: pa.Table, docs: pa.Table, groups: int, window: int) -> pa.
     part = more % np.uint64(groups)
     for (k, m, d, t, p), i in dealt(part, key, more, ids, tags, at):
         rows.append((int(part[i[0]]), 0, pack(d, t, p, [k, (m >> np.uint64(32)).astype(np.uint32)])))
+    del ids, tags, at, key, more, low, lead, hit, go, part, entries
+    give_back()
     return pa.Table.from_batches([sent(rows)])
 
 
@@ -287,6 +293,8 @@ def _repeats(table: pa.Table, groups: int) -> pa.Table:
         low, _, _ = extremes(key ^ (more.astype(np.uint64) << np.uint64(13)), ids, ids)
         hit = low < ids
         rows += homeward(ids[hit], tags[hit], at[hit], groups, 1)
+        del got, ids, tags, at, key, more, low, hit
+    give_back()
     return pa.Table.from_batches([sent(rows)])
 
 

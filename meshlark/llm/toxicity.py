@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import numbered, only, place
+from meshlark.llm.common import give_back, numbered, only, place
 
 #: Labelled rows that training reads at most, of each class; the bound is a parameter of train().
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
@@ -246,6 +246,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = [model.score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        give_back()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
     return plain.mapInArrow(run, f"{fields}, score double").toDF(*kept.values(), "score")
