@@ -710,7 +710,7 @@ def _(spark, d):
 
 @query("t18_regrid")
 def _(spark, d):
-    """Regridding is a loop of dependent decisions; tests compare it with a sequential version's invariants."""
+    """A loop of dependent decisions, which SQL does not express; tests/test_regrid.py compares it with a plain Python version."""
     return rounded(R.regrid(patched(spark, d)[1], TREE, 2, TILE, N, N, MAX_LEVEL, 0.2, nearby=1), ["tree", "level", "ix", "iy", "px", "py"], ["v"], 8)
 
 
