@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from meshlark.llm.common import components, shuffle_partitions, written
 
 COSINE = 0.93
-#: At cosine 0.93 one projection agrees with probability 0.85, eight with 0.27; all 24 tables miss a
-#: pair with probability (1 - 0.27)**24 = 5e-4, and at 0.97 with 2e-9.
-TABLES, BITS, WIDTH, BLOCK = 24, 8, 2.0, 512
+#: At cosine 0.93 one projection agrees with probability 0.85, eight with 0.275; all 40 tables miss a
+#: pair with probability (1 - 0.275)**40 = 2.6e-6, and at 0.95 with 6e-8.
+TABLES, BITS, WIDTH, BLOCK = 40, 8, 2.0, 512
 
 
 def usable(v) -> bool:
@@ -170,7 +170,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     folded = written(folded.where("rep is not null"), "p-stable-folded")
     copies = hashed.select("id", "label", "vector").join(folded.where("n > 1").select("label", "vector", "rep", "n"), ["label", "vector"]).select("id", "rep", "n")
 
-    dealt = folded.select(F.col("rep").alias("id"), "label", "n", "keys", "vector", F.length("vector").alias("dim"), F.posexplode("keys").alias("table", "key"))
+    marks = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))  # half of each key tells whether a pair has met before
+    dealt = folded.select(F.col("rep").alias("id"), "label", "n", marks.alias("keys"), "vector", F.length("vector").alias("dim"), F.posexplode("keys").alias("table", "key"))
     bucket = ["table", "label", "key", "dim"]
     large = dealt.groupBy(*bucket).agg(F.count("*").alias("rows")).where(f"rows > {BLOCK}").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     dealt = dealt.join(large.drop("rows"), bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
