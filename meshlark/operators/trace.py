@@ -26,17 +26,38 @@ def summary(access: DataFrame) -> DataFrame:
     return out.join(p95, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in by], "left").select("rank", "epoch", "reads", "hits", "missed_keys", "mean_ms", "p95_ms", "max_source_ms")
 
 
-def max_concurrency(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Most spans open at once. Ends close before starts at the same time open; a span without length counts itself.
+def open_spans(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """At each instant at which spans start or end: how many start (up), were open before, and are open then.
 
-    Starts and ends are +1 and -1 in one order, and the running sum over ranges of it peaks; no self-join of spans.
+    Ends close before starts at the same time open; spans without length count themselves alone.
+    Starts and ends are +1 and -1 in one order, and a running sum over ranges of it is the level; no
+    self-join of spans.
     """
-    opened = spans.select(*keys, F.col(start).alias("at"), F.when(F.col(start) == F.col(end), 1).otherwise(2).alias("turn"), F.lit(1).alias("step"))
-    closed = spans.select(*keys, F.col(end).alias("at"), F.when(F.col(start) == F.col(end), 1).otherwise(0).alias("turn"), F.lit(-1).alias("step"))
+    empty = F.col(start) == F.col(end)
+    opened = spans.select(*keys, F.col(start).alias("at"), F.when(empty, 1).otherwise(2).alias("turn"), F.lit(1).alias("step"))
+    closed = spans.select(*keys, F.col(end).alias("at"), F.when(empty, 1).otherwise(0).alias("turn"), F.lit(-1).alias("step"))
     both = opened.unionByName(closed).groupBy(*keys, "at", "turn").agg(F.sum("step").alias("step"), F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).alias("up"))
-    level = running_sum(both, keys, ["at", "turn"], "step", "run")
-    level = level.withColumn("open", F.when(F.col("turn") == 1, F.col("run") - F.col("step") + F.least(F.col("up"), F.lit(1))).otherwise(F.col("run")))
-    return level.groupBy(*keys).agg(F.max("open").cast("long").alias("most"))
+    level = running_sum(both, keys, ["at", "turn"], "step", "run").withColumn("before", F.col("run") - F.col("step"))
+    return level.withColumn("open", F.when(F.col("turn") == 1, F.col("before") + F.least(F.col("up"), F.lit(1))).otherwise(F.col("run")))
+
+
+def max_concurrency(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Most spans open at once."""
+    return open_spans(spans, keys, start, end).groupBy(*keys).agg(F.max("open").cast("long").alias("most"))
+
+
+def contention(reads: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """By keys, how many reads began while another of the same key was open, and most open at once."""
+    while_open = F.when(F.col("before") > 0, F.col("up")).when(F.col("turn") == 2, F.greatest(F.col("up") - 1, F.lit(0))).otherwise(0)
+    return open_spans(reads, keys, start, end).groupBy(*keys).agg(F.sum(while_open).cast("long").alias("duplicates"), F.max("open").cast("long").alias("most"))
+
+
+def costliest_stage(stages: DataFrame, totals: DataFrame, bucket: str, stage: str, seconds: str, total: str) -> DataFrame:
+    """By bucket its mean total, the stage of the largest mean and its share, and what no stage accounts for."""
+    each = stages.groupBy(bucket, stage).agg(F.avg(seconds).alias("mean"))
+    top = each.groupBy(bucket).agg(F.max(F.struct("mean", stage)).alias("top"), F.sum("mean").alias("known"))
+    out = totals.groupBy(bucket).agg(F.avg(total).alias("total_s")).where("total_s > 0").join(top, bucket)
+    return out.select(bucket, "total_s", F.col(f"top.{stage}").alias("top_stage"), (F.col("top.mean") / F.col("total_s")).alias("top_share"), F.greatest(F.lit(0.0), F.col("total_s") - F.col("known")).alias("unaccounted_s"))
 
 
 def stage_profile(stages: DataFrame, bucket: str, stage: str, seconds: str) -> DataFrame:

@@ -10,10 +10,12 @@ from meshlark.operators import metrics as E
 from meshlark.operators import regrid as R
 from meshlark.operators import selection as S
 from meshlark.operators import stats as A
+from meshlark.operators import trace as T
 from meshlark.operators import windows as W
 from meshlark.plans import views as V
 from meshlark.plans.registry import BAL, FIELD_IN, GRID, MAX_LEVEL, MEANS, TILE, TREE, TWO, N, csv, field_mesh, leaves_sql, query, rounded, smooth_mesh
 from meshlark.plans.views import load, with_views
+from meshlark.sources import trajectories
 
 REGIONS = "SELECT traj_idx, pos, pos AS source_index, frame_id, CASE WHEN pos < 30 THEN 'train' WHEN pos < 45 THEN 'val' ELSE 'test' END AS role, traj_idx * 3 + CASE WHEN pos < 30 THEN 0 WHEN pos < 45 THEN 1 ELSE 2 END AS segment FROM frames WHERE event_type <> 'error'"
 V.SQL["regions"] = f"regions AS ({REGIONS})"
@@ -295,3 +297,32 @@ def _(spark, d):
     moved = A.residual(f, ["traj_idx"], "pos", 3, "value").unionByName(f.where("pos = 3"))
     return rounded(A.residual(moved, ["traj_idx"], "pos", 3, "value", sign=1), ["traj_idx", "pos"], ["value"])
 
+
+
+# ---- traces and clocks ---------------------------------------------------------------------------
+
+
+@query("a35_contention", with_views("""
+m AS (SELECT key, start_ns, source_ready_ns AS ready_ns, row_number() OVER (PARTITION BY key ORDER BY start_ns, event_id) AS k FROM access WHERE NOT cache_hit),
+o AS (SELECT a.key, a.k, count(*) FILTER (WHERE b.k < a.k AND b.ready_ns > a.start_ns) AS n FROM m a JOIN m b ON a.key = b.key AND b.start_ns BETWEEN a.start_ns - 7000000 AND a.start_ns GROUP BY 1, 2)
+SELECT key, count(*) FILTER (WHERE n > 0) AS duplicates, max(n + 1)::BIGINT AS most FROM o GROUP BY 1
+""", "access"))
+def _(spark, d):
+    return T.contention(V.access(spark, d).where("NOT cache_hit"), ["key"], "start_ns", "source_ready_ns")
+
+
+@query("a23_costliest_stage", """
+WITH e AS (SELECT o_orderstatus AS bucket, o_orderpriority AS stage, avg(o_totalprice) / 10 AS m FROM orders GROUP BY 1, 2),
+t AS (SELECT bucket, max((m, stage)) AS top, sum(m) AS known FROM e GROUP BY 1),
+w AS (SELECT o_orderstatus AS bucket, avg(o_totalprice) AS total_s FROM orders GROUP BY 1)
+SELECT w.bucket, round(total_s, 4) AS total_s, top[2] AS top_stage, round(top[1] / total_s, 8) AS top_share, round(greatest(0.0, total_s - known), 4) AS unaccounted_s FROM w JOIN t ON w.bucket = t.bucket
+""")
+def _(spark, d):
+    o = load(spark, d, "orders").select(F.col("o_orderstatus").alias("bucket"), F.col("o_orderpriority").alias("stage"), (F.col("o_totalprice") / 10).alias("s"), F.col("o_totalprice").alias("t"))
+    out = T.costliest_stage(o, o, "bucket", "stage", "s", "t")
+    return out.select("bucket", F.round("total_s", 4).alias("total_s"), "top_stage", F.round("top_share", 8).alias("top_share"), F.round("unaccounted_s", 4).alias("unaccounted_s"))
+
+
+@query("s14_clock_faults", with_views("SELECT traj_idx, pos FROM (SELECT traj_idx, pos, value, lag(value) OVER (PARTITION BY traj_idx ORDER BY pos) AS b FROM frames) WHERE value <= b", "frames"))
+def _(spark, d):
+    return trajectories.clock_faults(V.frames(spark, d).withColumn("time", F.col("value"))).select("traj_idx", "pos")

@@ -71,6 +71,19 @@ def clock(frames: DataFrame, step: float) -> DataFrame:
     return frames.withColumn("time", F.col("pos") * F.lit(step))
 
 
+def native_clock(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """frames(path) with the time that their own header tells; a frame without one raises when it is read."""
+    met = frames.join(headers.select("path", F.col("time").alias("told")), "path", "left")
+    return met.withColumn("time", F.when(F.col("told").isNotNull(), F.col("told")).otherwise(F.raise_error(F.concat(F.lit("no time in "), F.col("path"))).cast("double"))).drop("told")
+
+
+def clock_faults(frames: DataFrame, traj: str = "traj_idx", pos: str = "pos", time: str = "time") -> DataFrame:
+    """Frames whose time is not finite or not later than that of the frame before."""
+    t = F.col(time)
+    before = F.lag(time).over(Window.partitionBy(traj).orderBy(pos))
+    return frames.where(t.isNotNull()).withColumn("earlier", before).where(F.isnan(t) | (F.abs(t) == float("inf")) | (t <= F.col("earlier"))).drop("earlier")
+
+
 def identity(files: DataFrame, dataset: str) -> DataFrame:
     """sha256 over the data set, path, size and change time: the key of what is built from a file."""
     return files.withColumn("frame_key", F.sha2(F.to_json(F.struct(F.lit(dataset).alias("dataset"), "path", "size", "modified")), 256))
