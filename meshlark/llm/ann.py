@@ -262,10 +262,13 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     points = written(points.groupBy("id").agg(F.min(F.struct("vec", "dim")).alias("p")).select("id", "p.dim", "p.vec"), "ann-points")
     nodes = points.groupBy("dim", "vec").agg(F.min("id").alias("node"))
     alike = written(points.join(nodes, ["dim", "vec"]).select("id", "node"), "ann-alike")
-    points = written(nodes.select(F.col("node").alias("id"), "dim", "vec"), "ann-nodes")
+    folded = written(nodes.select(F.col("node").alias("id"), "dim", "vec"), "ann-nodes")
+    discard(points)
+    points = folded
     wanted = alike.join(base.where("asked").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
     asked = written(points.join(wanted.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select("id", "dim", "vec"), "ann-asked", 4)
     cells, placed, probes = route(points, asked, single, k + 1, shard_size)
+    discard(points)
     points = placed.select("id", "dim", "vec", F.col("cells")[0].alias("cell"))
     subs = points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("subs"))
     points = points.join(subs, ["dim", "cell"]).withColumn("shard", F.xxhash64("dim", "cell", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")))
@@ -276,6 +279,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     sent = sent.select("id", "dim", "vec", F.explode("cells").alias("cell")).join(subs, ["dim", "cell"])
     sent = sent.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     sent = written(sent.select(F.xxhash64("dim", "cell", "sub").alias("at"), F.col("id").alias("query"), F.col("vec").alias("sought")), "ann-sent")
+    discard(asked)
     blocks = sent.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     queries = sent.join(blocks, "at").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks").cast("long")))
     times = blocks.select(F.col("at").alias("shard"), F.col("blocks").cast("long").alias("times"))
