@@ -63,7 +63,7 @@ def test_topology_store(spark, tmp_path):
 def test_mesh_round_trips(spark):
     from meshlark.plans import registry
 
-    _, inner, base = registry.smooth_mesh(spark, True)
+    _, inner, base = registry.smooth_mesh(spark, "/root/testdata/sf0.01", True)
     leaf = M.leaves(inner, base, ["tree"])
     assert npz.same_table(M.internals(leaf, ["tree"]), inner)
     near = M.neighbours(leaf, ["tree"], 3)
