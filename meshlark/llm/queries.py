@@ -166,5 +166,54 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann}
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_embedding": OP3_SQL, "op4_substring": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.line_dedup import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeats AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT struct_pack(d := doc_id)) >= 3),
+judged AS (SELECT rid, doc_id, line, place, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM keyed LEFT JOIN repeats USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), min_count=100, top=2000)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM d)),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+phrases AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM starts, range(1, 6) AS r(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM phrases GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM cand, range(1, 5) AS r(k) WHERE k < m),
+scored AS (
+  SELECT c.*, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a), k) AS best
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p1 JOIN f y ON y.lang = c.lang AND y.phrase = p2 JOIN totals t ON t.lang = c.lang),
+kept AS (
+  SELECT * FROM scored s WHERE best = 1 AND NOT EXISTS (
+    SELECT 1 FROM cand b WHERE b.lang = s.lang AND b.m > s.m AND b.a >= s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann, "op12_line_dedup": op12_line_dedup, "op13_collocations": op13_collocations}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_embedding": OP3_SQL, "op4_substring": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
