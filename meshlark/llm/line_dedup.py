@@ -220,6 +220,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     found = written(suspects(rows, seen, parts, min_chars, kind, broadcast_parts), "suspects", 4)
     discard(seen)
     confirmed = found.groupBy("digest").agg(F.countDistinct(F.struct("id")).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    confirmed = written(confirmed, "repeats", 8)  # a table, so that a join with a frequent line can be split
     gone = found.distinct().join(confirmed, "digest").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_list("digest").alias("gone"))
 
     kept = [k for k, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_dropped")]
