@@ -29,7 +29,7 @@ from meshlark.llm.common import LOWER, UPPER, give_back, numbered, only, place,
 #: Words in the longest phrase.
 LONGEST = 5
 #: Words gathered by a task before it folds and sends them.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_500_000
 #: Bits of each pruning field: 8 MiB, whatever the input.
 FIELD_BITS = 1 << 26
 #: Occurrences beyond which a prefix's phrases are counted apart.
@@ -39,7 +39,7 @@ MARKS = b".,;:!?"
 _BREAK = b"."
 _TABLE = bytes.maketrans(MARKS + b"\n\v\f\r\t" + UPPER.encode(), _BREAK * (len(MARKS) + 4) + b" " + LOWER.encode())
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-ROWS = 100_000
+ROWS = 20_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -58,19 +58,34 @@ class Numbers(dict):
 class Block:
     """Some documents' words as numbers, 0 for an end of a piece."""
 
-    def __init__(self, words: list[bytes], langs: list[str], sizes: list[int]):
-        known, lang_of = Numbers({_BREAK: 0}), Numbers()
-        self.ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.words = list(known)
-        self.lang = np.repeat(np.array([lang_of[x] for x in langs], np.int64), sizes)
-        self.langs = list(lang_of)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        tongue = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in self.langs], np.uint64)
+    def __init__(self) -> None:
+        self.known, self.lang_of = Numbers({_BREAK: 0}), Numbers()
+        self.parts: list[np.ndarray] = []
+        self.of_part: list[int] = []
+        self.size = 0
+
+    def add(self, lang: str, text: bytes) -> None:
+        words = words_of(text)
+        words.append(_BREAK)
+        self.parts.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+        self.of_part.append(self.lang_of[lang])
+        self.size += len(words)
+
+    def closed(self) -> Block:
+        self.ids = np.concatenate(self.parts)
+        self.lang = np.repeat(np.array(self.of_part, np.int32), [len(p) for p in self.parts])
+        self.parts, self.words, self.langs = [], list(self.known), list(self.lang_of)
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        self.tongue = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in self.langs], np.uint64)
         self.is_word = self.ids > 0
-        own, self.of_lang = hashes[self.ids] * _MULTIPLIERS[0], tongue[self.lang]
-        self.word_hash = _mixed(own + self.of_lang)
-        self.pair_hash = _mixed(own[:-1] * _MULTIPLIERS[1] + hashes[self.ids[1:]] * _MULTIPLIERS[2] + self.of_lang[:-1])
         self.is_pair = self.is_word[:-1] & self.is_word[1:]
+        return self
+
+    def word_hash(self, at: np.ndarray) -> np.ndarray:
+        return _mixed(self.hashes[self.ids[at]] * _MULTIPLIERS[0] + self.tongue[self.lang[at]])
+
+    def pair_hash(self, at: np.ndarray) -> np.ndarray:
+        return _mixed(self.hashes[self.ids[at]] * _MULTIPLIERS[1] + self.hashes[self.ids[at + 1]] * _MULTIPLIERS[2] + self.tongue[self.lang[at]])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,21 +95,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def blocks(batches):
     """The documents of a task in blocks of about FLUSH_WORDS words."""
-    words: list[bytes] = []
-    langs: list[str] = []
-    sizes: list[int] = []
+    block = Block()
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            before = len(words)
-            words += words_of(text)
-            words.append(_BREAK)
-            langs.append(lang)
-            sizes.append(len(words) - before)
-            if len(words) >= FLUSH_WORDS:
-                yield Block(words, langs, sizes)
-                words, langs, sizes = [], [], []
-    if words:
-        yield Block(words, langs, sizes)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            block.add(lang, text.as_py())
+            if block.size >= FLUSH_WORDS:
+                yield block.closed()
+                block = Block()
+    if block.size:
+        yield block.closed()
 
 
 def folded(columns: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +114,7 @@ def folded(columns: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]
             keys[-1] = keys[-1] << bits | c
             room -= bits
         else:
-            keys.append(c.astype(np.int64))
+            keys.append(c.astype(np.int64))  # as many columns in one number as it has room for
             room = 63 - bits
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
@@ -123,7 +132,7 @@ def hash_counts(rows: DataFrame) -> DataFrame:
     def scan(batches):
         only("collocations")
         for block in blocks(batches):
-            h, n = np.unique(np.concatenate([block.word_hash[block.is_word], block.pair_hash[block.is_pair]]), return_counts=True)
+            h, n = np.unique(np.concatenate([block.word_hash(np.flatnonzero(block.is_word)), block.pair_hash(np.flatnonzero(block.is_pair))]), return_counts=True)
             for i in range(0, len(h), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + ROWS].view(np.int64)), pa.array(n[i : i + ROWS].astype(np.int64))], ["h", "n"])
         give_back()
@@ -163,45 +172,54 @@ def projections(rows: DataFrame, fields: tuple) -> DataFrame:
     Without a prefix it counts the language's words. Else it stands for n occurrences of the pair
     with the words after it.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(fields)
+    shared = rows.sparkSession.sparkContext.broadcast(fields)
+
+    def sent(out: list[tuple]):
+        lang, prefix, suffix, n = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(suffix, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "prefix", "suffix", "n"])
 
     def scan(batches):
         only("collocations")
-        w, frequent, hot = sent.value
+        w, frequent, hot = shared.value
         frequent, hot = _field(w, frequent), _field(w, hot)
         for block in blocks(batches):
-            out: list[tuple] = []
             words, langs, top = block.words, block.langs, max(len(block.words), len(block.langs))
-            for k, n in zip(*np.unique(block.lang[block.is_word], return_counts=True), strict=True):
-                out.append((langs[k], None, None, int(n)))
+            lang_n = np.bincount(block.lang[block.is_word], minlength=len(langs)).tolist()
+            yield sent([(x, None, None, c) for x, c in zip(langs, lang_n, strict=True) if c])
             at = np.flatnonzero(block.is_word)
-            at = at[_set_in(frequent, block.word_hash[at])]
+            at = at[_set_in(frequent, block.word_hash(at))]
             first, n = folded([block.lang[at], block.ids[at]], top)
-            out += [(langs[a], words[b], None, c) for a, b, c in zip(block.lang[at[first]].tolist(), block.ids[at[first]].tolist(), n.tolist(), strict=True)]
-            live = block.is_pair & _set_in(frequent, block.pair_hash)
-            at = np.flatnonzero(live)
-            ids = np.append(block.ids, np.zeros(LONGEST, np.int64))
-            live = np.append(live, np.zeros(LONGEST, bool))
-            columns = [block.lang[at], ids[at], ids[at + 1]]
+            at = at[first]
+            for i in range(0, len(at), ROWS):
+                some = at[i : i + ROWS]
+                yield sent([(langs[a], words[b], None, c) for a, b, c in zip(block.lang[some].tolist(), block.ids[some].tolist(), n[i : i + ROWS].tolist(), strict=True)])
+            at = np.flatnonzero(block.is_pair)
+            at = at[_set_in(frequent, block.pair_hash(at))]
+            ids = np.append(block.ids, np.zeros(LONGEST, np.int32))
+            live = np.zeros(len(ids), bool)
+            live[at] = True
             reach = np.ones(len(at), bool)
+            columns = [block.lang[at], ids[at], ids[at + 1]]
             for k in range(2, LONGEST):  # the next word belongs to it as long as its pair may be frequent
                 reach &= live[at + k - 1]
                 columns.append(np.where(reach, ids[at + k], 0))
             first, n = folded(columns, top)
-            is_hot = _set_in(hot, block.pair_hash[at[first]]).tolist()
-            apart: dict[tuple, int] = {}
-            for (lang, *phrase), c, very in zip(zip(*(col[first].tolist() for col in columns), strict=True), n.tolist(), is_hot, strict=True):
-                size = phrase.index(0) if 0 in phrase else LONGEST
-                if very:
-                    for k in range(2, size + 1):
-                        key = (lang, *phrase[:k])
-                        apart[key] = apart.get(key, 0) + c
-                else:
-                    out.append((langs[lang], words[phrase[0]] + b" " + words[phrase[1]], b" ".join([words[x] for x in phrase[2:size]]), c))
-            out += [(langs[lang], b" ".join([words[x] for x in phrase]), None, c) for (lang, *phrase), c in apart.items()]
-            for i in range(0, len(out), ROWS):
-                lang, prefix, suffix, n = zip(*out[i : i + ROWS], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(suffix, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "prefix", "suffix", "n"])
+            is_hot, columns = _set_in(hot, block.pair_hash(at[first])), [c[first] for c in columns]
+            for i in range(0, len(first), ROWS):
+                cold = np.flatnonzero(~is_hot[i : i + ROWS]) + i
+                out = []
+                for lang, a, b, *more, c in zip(*(col[cold].tolist() for col in columns), n[cold].tolist(), strict=True):
+                    out.append((langs[lang], words[a] + b" " + words[b], b" ".join([words[x] for x in more if x]), c))
+                if out:
+                    yield sent(out)
+            for k in range(3, LONGEST + 2):  # columns: the language and the first k - 1 words
+                very = np.flatnonzero(is_hot & (columns[k - 1] > 0))
+                if not len(very):
+                    continue
+                some, back = np.unique(np.stack([c[very] for c in columns[:k]]), axis=1, return_inverse=True)
+                counts = np.bincount(back.reshape(-1), weights=n[very]).astype(np.int64).tolist()
+                for i in range(0, len(counts), ROWS):
+                    yield sent([(langs[lang], b" ".join([words[x] for x in phrase]), None, c) for (lang, *phrase), c in zip(some[:, i : i + ROWS].T.tolist(), counts[i : i + ROWS], strict=True)])
         give_back()
 
     return rows.mapInArrow(scan, "lang string, prefix string, suffix string, n long")
