@@ -63,6 +63,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now rather than when the driver next collects its memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): one row (id, component) per vertex with an edge.
 

@@ -166,6 +166,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.alignment import align
+
+    out = align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.line_dedup import drop_repeated_lines
 
@@ -215,5 +223,5 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM
 """
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann, "op12_line_dedup": op12_line_dedup, "op13_collocations": op13_collocations}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_minhash": op2_minhash, "op3_embedding": op3_embedding, "op4_substring": op4_substring, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_ann": op10_ann, "op11_alignment": op11_alignment, "op12_line_dedup": op12_line_dedup, "op13_collocations": op13_collocations}
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_embedding": OP3_SQL, "op4_substring": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
