@@ -83,7 +83,7 @@ def test_chunks_spell_the_text_and_encode_alone():
 
 def test_no_piece_crosses_a_space():
     t = A.Tokenizers(*PATHS)
-    assert not [x for x in t.b_bytes if b" " in x[1:]]
+    assert not [x for x in t.b_bytes if b" " in x.lstrip(b" ")]
 
 
 def test_other_columns_ids_of_text_and_empty_tables(spark):
