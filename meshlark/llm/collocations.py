@@ -7,9 +7,10 @@ Two scans of the texts and one shuffle of projections:
    enough become two bit fields of a fixed size. They only prune: a bit set for no reason costs time.
 2. The occurrences of each pair that may be frequent are projected: the pair is the prefix, and its up
    to three next words, as far as each next pair may be frequent too, are what the pointer points at.
-   Occurrences with equal words fold into one with a count within a task. One task gets a prefix's
-   whole projection and grows it to the right, depth first: a frequent next word gives a longer
-   phrase, whose pointers are those that the word follows.
+   Occurrences with equal words fold into one with a count within a task. Prefixes are dealt over
+   buckets by a hash, as many as hold about BUCKET occurrences each, and travel in arrays by bucket.
+   One task gets a prefix's whole projection and grows it to the right, depth first: a frequent next
+   word gives a longer phrase, whose pointers are those that the word follows.
 
 Prefixes with more than HOT occurrences are not gathered: their longer phrases are counted each by
 itself, folded in the tasks before the shuffle, so that a frequent pair never fills a task.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import LOWER, UPPER, give_back, numbered, only, place, written
+from meshlark.llm.common import LOWER, UPPER, discard, give_back, numbered, only, place, written
 
 #: Words in the longest phrase.
 LONGEST = 5
@@ -34,6 +35,8 @@ FLUSH_WORDS = 1_500_000
 FIELD_BITS = 1 << 26
 #: Occurrences beyond which a prefix's phrases are counted apart.
 HOT = 1 << 18
+#: Occurrences in a bucket of prefixes, on average: bounds what a task holds.
+BUCKET = 1_000_000
 #: The marks that end a piece, besides the line breaks 0x0A to 0x0D.
 MARKS = b".,;:!?"
 _BREAK = b"."
@@ -140,15 +143,14 @@ def hash_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def pruning_fields(counts: DataFrame, min_count: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pruning_fields(counts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of the bit fields that are not zero: their places, the frequent bits, the hot bits.
 
     At most FIELD_BITS / 64 rows come to the driver, whatever the input.
     """
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     fields = (
-        counts.where(F.col("n") >= min_count)
-        .groupBy(F.expr(f"shiftright(h & {FIELD_BITS - 1}L, 6)").alias("w"))
+        counts.groupBy(F.expr(f"shiftright(h & {FIELD_BITS - 1}L, 6)").alias("w"))
         .agg(F.bit_or(bit).alias("frequent"), F.bit_or(F.when(F.col("n") >= hot, bit).otherwise(F.lit(0).cast("long"))).alias("hot"))
         .toArrow()
     )
@@ -165,18 +167,23 @@ def _set_in(field: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (field[(h & np.uint64(FIELD_BITS - 1)) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def projections(rows: DataFrame, fields: tuple) -> DataFrame:
-    """(lang, prefix, suffix, n) from rows(lang, text).
+def projections(rows: DataFrame, fields: tuple, buckets: int) -> DataFrame:
+    """(bucket, lang, prefix, suffix, n), the last three arrays, from rows(lang, text).
 
-    Without a suffix a row only counts its prefix: a word, or a phrase that begins with a hot pair.
-    Without a prefix it counts the language's words. Else it stands for n occurrences of the pair
-    with the words after it.
+    Without a suffix an entry only counts its prefix: a word, or a phrase that begins with a hot pair;
+    an empty prefix counts the language's words. Else it stands for n occurrences of the pair with the
+    words after it.
     """
     shared = rows.sparkSession.sparkContext.broadcast(fields)
+    texts = pa.list_(pa.string())
 
-    def sent(out: list[tuple]):
-        lang, prefix, suffix, n = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(suffix, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "prefix", "suffix", "n"])
+    def sent(langs: list[str], key: np.ndarray, prefix: list, suffix: list, n: np.ndarray):
+        """Entries in the order of key, which is bucket * languages + language."""
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        offsets = pa.array(np.append(start, len(key)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(suffix, pa.binary()).cast(pa.string()), pa.array(n))]
+        key = key[start]
+        return pa.RecordBatch.from_arrays([pa.array(key // len(langs)), pa.array([langs[x] for x in (key % len(langs)).tolist()], pa.string()), lists[0].cast(texts), lists[1].cast(texts), lists[2]], ["bucket", "lang", "prefix", "suffix", "n"])
 
     def scan(batches):
         only("collocations")
@@ -184,15 +191,22 @@ def projections(rows: DataFrame, fields: tuple) -> DataFrame:
         frequent, hot = _field(w, frequent), _field(w, hot)
         for block in blocks(batches):
             words, langs, top = block.words, block.langs, max(len(block.words), len(block.langs))
-            lang_n = np.bincount(block.lang[block.is_word], minlength=len(langs)).tolist()
-            yield sent([(x, None, None, c) for x, c in zip(langs, lang_n, strict=True) if c])
+            key_of = lambda h, lang: (h % np.uint64(buckets)).astype(np.int64) * len(langs) + lang
+            lang_n = np.bincount(block.lang[block.is_word], minlength=len(langs))
+            live = np.flatnonzero(lang_n)
+            key = key_of(block.tongue[live], live)
+            order = np.argsort(key)
+            if len(live):
+                yield sent(langs, key[order], [b""] * len(live), [None] * len(live), lang_n[live[order]].astype(np.int64))
             at = np.flatnonzero(block.is_word)
             at = at[_set_in(frequent, block.word_hash(at))]
             first, n = folded([block.lang[at], block.ids[at]], top)
             at = at[first]
-            for i in range(0, len(at), ROWS):
-                some = at[i : i + ROWS]
-                yield sent([(langs[a], words[b], None, c) for a, b, c in zip(block.lang[some].tolist(), block.ids[some].tolist(), n[i : i + ROWS].tolist(), strict=True)])
+            key = key_of(block.word_hash(at), block.lang[at])
+            order = np.argsort(key, kind="stable")
+            for i in range(0, len(order), ROWS):
+                some = order[i : i + ROWS]
+                yield sent(langs, key[some], [words[x] for x in block.ids[at[some]].tolist()], [None] * len(some), n[some])
             at = np.flatnonzero(block.is_pair)
             at = at[_set_in(frequent, block.pair_hash(at))]
             ids = np.append(block.ids, np.zeros(LONGEST, np.int32))
@@ -204,25 +218,36 @@ def projections(rows: DataFrame, fields: tuple) -> DataFrame:
                 reach &= live[at + k - 1]
                 columns.append(np.where(reach, ids[at + k], 0))
             first, n = folded(columns, top)
-            is_hot, columns = _set_in(hot, block.pair_hash(at[first])), [c[first] for c in columns]
-            for i in range(0, len(first), ROWS):
-                cold = np.flatnonzero(~is_hot[i : i + ROWS]) + i
-                out = []
-                for lang, a, b, *more, c in zip(*(col[cold].tolist() for col in columns), n[cold].tolist(), strict=True):
-                    out.append((langs[lang], words[a] + b" " + words[b], b" ".join([words[x] for x in more if x]), c))
-                if out:
-                    yield sent(out)
+            h = block.pair_hash(at[first])
+            is_hot, columns = _set_in(hot, h), [c[first] for c in columns]
+            key = key_of(h, columns[0])
+            cold = np.flatnonzero(~is_hot)
+            cold = cold[np.argsort(key[cold], kind="stable")]
+            for i in range(0, len(cold), ROWS):
+                some = cold[i : i + ROWS]
+                prefix, suffix = [], []
+                for a, b, *more in zip(*(c[some].tolist() for c in columns[1:]), strict=True):
+                    prefix.append(words[a] + b" " + words[b])
+                    suffix.append(b" ".join([words[x] for x in more if x]))
+                yield sent(langs, key[some], prefix, suffix, n[some])
             for k in range(3, LONGEST + 2):  # columns: the language and the first k - 1 words
                 very = np.flatnonzero(is_hot & (columns[k - 1] > 0))
                 if not len(very):
                     continue
-                some, back = np.unique(np.stack([c[very] for c in columns[:k]]), axis=1, return_inverse=True)
-                counts = np.bincount(back.reshape(-1), weights=n[very]).astype(np.int64).tolist()
-                for i in range(0, len(counts), ROWS):
-                    yield sent([(langs[lang], b" ".join([words[x] for x in phrase]), None, c) for (lang, *phrase), c in zip(some[:, i : i + ROWS].T.tolist(), counts[i : i + ROWS], strict=True)])
+                first, _ = folded([c[very] for c in columns[:k]], top)
+                number = {p: i for i, p in enumerate(zip(*(c[very[first]].tolist() for c in columns[:k]), strict=True))}
+                mine = np.fromiter(map(number.__getitem__, zip(*(c[very].tolist() for c in columns[:k]), strict=True)), np.int64, len(very))
+                counts = np.bincount(mine, weights=n[very], minlength=len(number)).astype(np.int64)
+                phrases = [b" ".join([words[x] for x in p]) for _, *p in number]
+                lang = columns[0][very[first]]
+                key = key_of(np.array([xxhash.xxh3_64_intdigest(p) for p in phrases], np.uint64), lang)
+                order = np.argsort(key, kind="stable")
+                for i in range(0, len(order), ROWS):
+                    some = order[i : i + ROWS]
+                    yield sent(langs, key[some], [phrases[x] for x in some.tolist()], [None] * len(some), counts[some])
         give_back()
 
-    return rows.mapInArrow(scan, "lang string, prefix string, suffix string, n long")
+    return rows.mapInArrow(scan, "bucket long, lang string, prefix array<string>, suffix array<string>, n array<long>")
 
 
 def grown(prefix: bytes, suffixes: list[bytes], n: np.ndarray, min_count: int) -> list[tuple[bytes, int]]:
@@ -261,56 +286,47 @@ def frequent_phrases(rows: DataFrame, min_count: int, hot: int = HOT) -> DataFra
     """(lang, phrase, a): every phrase of 1 to LONGEST words with a >= min_count occurrences, from
     rows(lang, text); and with a null phrase each language's number of words."""
 
+    def mined(lang: str, lists: list[list[pa.Array]]):
+        """The frequent phrases of a bucket's prefixes in one language."""
+        prefix, suffix, n = (pa.concat_arrays(x) for x in lists)
+        order = pc.sort_indices(prefix)
+        prefix, suffix, n = prefix.take(order), suffix.take(order).cast(pa.binary()), n.take(order).to_numpy()
+        cuts = [0, *(np.flatnonzero(pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(prefix)]
+        out: list[tuple[bytes | None, int]] = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            total = int(n[i:j].sum())
+            if suffix[i].is_valid:
+                if total >= min_count:
+                    out += grown(prefix[i].as_py().encode(), suffix[i:j].to_pylist(), n[i:j], min_count)
+            elif not (head := prefix[i].as_py()):
+                out.append((None, total))
+            elif total >= min_count:
+                out.append((head.encode(), total))
+        for i in range(0, len(out), ROWS):
+            phrase, a = zip(*out[i : i + ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())], ["lang", "phrase", "a"])
+
     def mine(batches):
         only("collocations")
-        out: list[tuple] = []
-        now, suffixes, counts = None, [], []
-
-        def done():
-            if now is None:
-                return
-            lang, prefix = now
-            n = np.concatenate(counts)
-            if prefix is None:
-                out.append((lang, None, int(n.sum())))
-            elif suffixes[0] is None:
-                if n.sum() >= min_count:
-                    out.append((lang, prefix, int(n.sum())))
-            else:
-                out.extend((lang, phrase, count) for phrase, count in grown(prefix, suffixes, n, min_count))
-
-        def sent():
-            lang, phrase, a = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())], ["lang", "phrase", "a"])
-
+        now, held = None, ([], [], [])
         for batch in batches:
-            if not len(batch):
-                continue
-            lang, prefix = batch.column(0), pc.fill_null(batch.column(1), "")
-            new = np.zeros(len(batch), bool)
-            new[0] = True
-            for c in (lang, prefix):
-                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            cuts = [*np.flatnonzero(new).tolist(), len(batch)]
-            n, tails = batch.column(3).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
-            heads, langs = batch.column(1).cast(pa.binary()), lang
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                key = (langs[i].as_py(), heads[i].as_py())
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if key != now:
-                    done()
-                    now, suffixes, counts = key, [], []
-                suffixes += tails[i:j]
-                counts.append(n[i:j])
-            if len(out) >= ROWS:
-                yield sent()
-        done()
-        if out:
-            yield sent()
+                    if now is not None:
+                        yield from mined(now[1], held)
+                    now, held = key, ([], [], [])
+                for lists, c in zip(held, batch.columns[2:], strict=True):
+                    lists.append(c[i].values)
+        if now is not None:
+            yield from mined(now[1], held)
         give_back()
 
-    fields = pruning_fields(hash_counts(rows), min_count, hot)
-    dealt = projections(rows, fields).repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    counts = written(hash_counts(rows).where(F.col("n") >= min_count), "pair-hashes", 2)
+    fields = pruning_fields(counts, hot)
+    occurrences = counts.where(F.col("n") < hot).agg(F.sum("n")).first()[0] or 0
+    discard(counts)
+    buckets = -(-int(occurrences) // BUCKET) + 1
+    dealt = projections(rows, fields, buckets).repartition("bucket").sortWithinPartitions("bucket", "lang")
     return dealt.mapInArrow(mine, "lang string, phrase string, a long")
 
 
