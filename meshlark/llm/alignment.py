@@ -11,18 +11,19 @@ tokenizer has a token over the border of a printed character and a space, and a
 depend on its neighbours (a text with the sign U+2581, which sentencepiece takes for a space, is never
 spelled, so its cuts do not matter). So a document's tokens, groups and links are those of its chunks, one after
 the other. Scan tasks number the chunks of a block of documents; chunks meet their results by a join on
-the chunk; a block's documents meet its numbered results by a shuffle on the block.
+the chunk's number; a block's documents meet its numbered results by a shuffle on the block.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import discard, give_back, numbered, only, place, release, remembers, shuffle_partitions, written
@@ -39,6 +40,8 @@ OTHER = re.compile(rb" [\x00-\x20]|[\x00-\x20] |\A | \Z|(?:" + b"|".join(WIDE) +
 BLOCK_DISTINCT, BLOCK_CHUNKS = 1_000_000, 16_000_000
 #: Distinct chunks for each partition of the relational core.
 CHUNKS_A_PARTITION = 150_000
+#: So many pairs of ids (16 bytes each) are sent to all tasks; more of them meet their links in a shuffle.
+BROADCAST_PAIRS = 1_000_000
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -47,6 +50,18 @@ def chunks_of(text: bytes) -> list[bytes]:
     return CUT.split(text) if OTHER.search(text) else text.split(b" ")
 
 
+@contextmanager
+def partitioned_by_part_of_the_keys(spark: SparkSession):
+    """Joins on a text and something in it leave both sides where they are if dealt by the text alone."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of every token."""
 
@@ -170,15 +185,15 @@ def links(groups: DataFrame) -> DataFrame:
     return one.select("cid", F.explode("g.a").alias("a"), F.col("g.b").alias("bs")).select("cid", "a", F.explode("bs").alias("b"))
 
 
-def unfolded(docs: DataFrame, words: DataFrame, results: DataFrame, value, done, schema: str) -> DataFrame:
+def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done, schema: str) -> DataFrame:
     """A block's documents with the results of their chunks.
 
-    results(chunk, value) meet the blocks' chunks, and these their documents. value(list of a block's
+    results(cid, value) meet the blocks' chunks, placed(block, k, cid), and these their documents. value(list of a block's
     values, in the order of k) gives what done(that, ids, batches) needs: done yields record batches of
     the schema from the block's documents, given as pairs of id arrays and lists of number arrays.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    answers = words.join(results, "chunk").select("block", "k", "value", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("chunks"))
+    answers = placed.join(results, "cid").select("block", "k", "value", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("chunks"))
     asked = docs.select("block", F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("value"), "id", "chunks")
     dealt = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("k").asc_nulls_last())
 
@@ -291,28 +306,32 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     kind = docs.schema[docs.columns[int(place(docs, id_col)[1:])]].dataType.simpleString()
     rows = plain.select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
     both = written(folded(rows, kind), "chunks-of-blocks")
-    words, own = both.where("k is not null").select("block", "k", "chunk"), both.where("k is null").select("block", "id", "chunks")
+    own, words = written(both.where("k is null").select("block", "id", "chunks"), "documents-of-blocks"), both.where("k is not null").select("block", "k", "chunk")
     tokens = written(tokenized(words.select("chunk").distinct(), paths).withColumn("cid", F.monotonically_increasing_id()), "chunk-tokens")
+    placed = written(words.join(tokens.select("chunk", "cid"), "chunk").select("block", "k", "cid"), "placed-chunks")
+    discard(both)
     release(spark)
     partitions = max(shuffle_partitions(spark), -(-tokens.count() // CHUNKS_A_PARTITION))
-    groups = written(aligned(tokens.where("ok").select("cid", "a", "a_size", "b", "b_size"), partitions), "groups")
+    with partitioned_by_part_of_the_keys(spark):
+        groups = written(aligned(tokens.where("ok").select("cid", "a", "a_size", "b", "b_size"), partitions), "groups")
     release(spark)
     text = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    known = tokens.select("cid", "chunk", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(
+    known = tokens.select("cid", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(
         groups.select("cid", text.alias("value"), F.size("groups").alias("n_groups"), F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links")), "cid", "left"
     )
     known = written(known, "chunk-groups")
-    pairs = written(unfolded(own, words, known.select("chunk", "value"), Pairs, _pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts", 2)
     discard(tokens)
+    pairs = written(unfolded(own, placed, known.select("cid", "value"), Pairs, _pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts", 2)
     release(spark)
     best = pairs.groupBy("a").agg(F.max("n").alias("most"))
     counted = pairs.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
-    sums = links(groups).join(counted, ["a", "b"]).groupBy("cid").agg(F.sum("n").alias("count_sum"), F.sum("is_best").alias("n_best"))
+    small = pairs.count() <= BROADCAST_PAIRS
+    sums = links(groups).join(F.broadcast(counted) if small else counted, ["a", "b"]).groupBy("cid").agg(F.sum("n").alias("count_sum"), F.sum("is_best").alias("n_best"))
     value = F.when(F.col("value").isNotNull(), F.concat_ws(";", F.concat_ws(",", *NUMBERS), "value"))
-    final = written(known.join(sums, "cid", "left").select("chunk", value.alias("value")), "chunk-totals")
+    final = written(known.join(sums, "cid", "left").select("cid", value.alias("value")), "chunk-totals")
     discard(groups)
     discard(pairs)
     discard(known)
     release(spark)
-    out = unfolded(own, words, final, Totals, _document_rows, f"id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, groups string")
+    out = unfolded(own, placed, final, Totals, _document_rows, f"id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, groups string")
     return out.withColumnRenamed("id", id_col)
