@@ -1,19 +1,38 @@
-"""Cutting a plan's lineage in loops, by a checkpoint in the folder that driver and executors share."""
+"""Cutting a plan's lineage in loops, by a table in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df read back from its checkpoint. The folder is spark.checkpoint.dir; where that is unset, local
-    mode takes a folder of its own (one process has it), and a cluster raises."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local["):
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, local mode takes a folder of its own (one process has
+    it), and a cluster raises."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="meshlark-"))
-    return df.checkpoint()
+        at = tempfile.mkdtemp(prefix="meshlark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read again: computed once, and of a known size, so that joins with it
+    need no shuffle where it is small."""
+    path = f"{shared_dir(df.sparkSession)}/meshlark/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def uncut(df: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    path = getattr(df, "_cut_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.operators import mesh as M
-from meshlark.operators.lineage import cut
+from meshlark.operators.lineage import cut, uncut
 
 CELL = M.CELL
 
@@ -48,73 +48,98 @@ def error_metric(values: DataFrame, keys: list[str], n: int, tile: int, max_leve
     return leaf.join(worst, [*keys, *CELL]).select(*keys, *CELL, F.greatest("_range", F.col("_hi") - F.col("_c"), F.col("_c") - F.col("_lo")).alias("error"))
 
 
-def refine_to(values: DataFrame, internal: DataFrame, keys: list[str], n: int, max_level: int) -> DataFrame:
-    """Refine the leaves that are internal in the wanted mesh, level by level."""
+def refine_to(values: DataFrame, internal: DataFrame, keys: list[str], n: int, max_level: int, more: list[str] | None = None) -> DataFrame:
+    """Refine the leaves that are internal in the wanted mesh, level by level; ``more`` names the frames
+    and channels that share the mesh."""
     for k in range(max_level):
         split = internal.where(F.col("level") == k).select(*keys, *CELL)
         parents = values.join(split, [*keys, *CELL], "left_semi")
-        values = values.join(split, [*keys, *CELL], "left_anti").unionByName(M.refine_bilinear(parents, keys, n))
+        values = values.join(split, [*keys, *CELL], "left_anti").unionByName(M.refine_bilinear(parents, [*keys, *(more or [])], n))
     return values
 
 
-def coarsen_cells(values: DataFrame, parents: DataFrame, keys: list[str], n: int) -> DataFrame:
+def coarsen_cells(values: DataFrame, parents: DataFrame, keys: list[str], n: int, more: list[str] | None = None) -> DataFrame:
     """Replace the four children of each of the parents by their block means."""
     up = {"level": F.col("level") - 1, "ix": F.shiftright("ix", 1), "iy": F.shiftright("iy", 1)}
     marked = values.select("*", *[c.alias(f"_{k}") for k, c in up.items()])
     on = parents.select(*keys, *[F.col(c).alias(f"_{c}") for c in CELL])
     drop = [f"_{c}" for c in CELL]
     gone = marked.join(on, [*keys, *drop], "left_semi").drop(*drop)
-    return marked.join(on, [*keys, *drop], "left_anti").drop(*drop).unionByName(M.coarsen_mean(gone, keys, n))
+    return marked.join(on, [*keys, *drop], "left_anti").drop(*drop).unionByName(M.coarsen_mean(gone, [*keys, *(more or [])], n))
 
 
-def regrid(values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0, max_passes: int = 99) -> DataFrame:
+def regrid(
+    values: DataFrame, keys: list[str], n: int, tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0, max_passes: int = 99,
+    more: list[str] | None = None, watch: Column | None = None, coarsen: bool = True,
+) -> DataFrame:
     """Refine where the error exceeds tol times the value range, protect, then coarsen where it is flat.
 
+    ``more`` names the columns (frames, channels) whose layers share a tree's mesh and move with it;
+    ``watch`` says which of them decide, all if None. Each layer has its own range and tolerance; one
+    that asks for a split, or against a merge, is enough.
+
     Phases are set operations: a pass refines all leaves over the tolerance at once and balances;
     with nearby > 0 leaves of a quarter of the tolerance and their neighbours are protected and step
     up; complete unprotected siblings of a joint range under a quarter of the tolerance are merged,
-    pass by pass. One tolerance a tree. Passes go on until one changes nothing; each refines or merges
-    some leaf, so they end, and a warning says so where max_passes ends them before. Each pass is cut
-    by a checkpoint.
+    pass by pass. Passes go on until one changes nothing; each refines or merges some leaf, so they
+    end, and a warning says so where max_passes ends them before. Each pass is cut by a table, which goes
+    when the next one is written; the last one stays for the result.
     """
-    limit = values.groupBy(*keys).agg((F.abs(F.max("v") - F.min("v")) * tol).alias("_limit"))
-    limit = cut(limit)
+    more = more or []
+    layers = [*keys, *more]
+    seen = lambda df: df if watch is None else df.where(watch)
+    cells = lambda df: df.select(*keys, *CELL).distinct()
+    given = values
+    limit = cut(seen(values).groupBy(*layers).agg((F.abs(F.max("v") - F.min("v")) * tol).alias("_limit")))
     values = cut(values)
+
+    def refined(values: DataFrame, leaf: DataFrame, marks: DataFrame) -> DataFrame:
+        wanted = cut(M.balance(M.merge(M.internals(leaf, keys), marks, keys), keys, nx, ny, max_level))
+        out = cut(refine_to(values, wanted, keys, n, max_level, more).select(*given.columns))
+        for old in (values, wanted):
+            uncut(old)
+        return out
+
     for _ in range(max_passes):
-        errors = error_metric(values, keys, n, tile, max_level, nx, ny).join(limit, keys)
-        marks = cut(errors.where((F.col("error") > F.col("_limit")) & (F.col("level") < max_level)).select(*keys, *CELL))
+        errors = error_metric(seen(values), layers, n, tile, max_level, nx, ny).join(limit, layers)
+        marks = cut(cells(errors.where((F.col("error") > F.col("_limit")) & (F.col("level") < max_level))))
         if marks.isEmpty():
             break
-        leaf = values.select(*keys, *CELL).distinct()
-        wanted = M.balance(M.merge(M.internals(leaf, keys), marks, keys), keys, nx, ny, max_level)
-        values = cut(refine_to(values, wanted, keys, n, max_level))
+        values = refined(values, cells(values), marks)
+        uncut(marks)
     else:
         warnings.warn(f"refinement did not end in {max_passes} passes", stacklevel=2)
-    quarter = lambda df: df.join(limit, keys).where(F.col("_r") >= 0.25 * F.col("_limit"))
     marked = values.select(*keys, *CELL).limit(0)
     if nearby > 0:
-        leaf = values.select(*keys, *CELL).distinct()
-        ranges = values.groupBy(*keys, *CELL).agg((F.max("v") - F.min("v")).alias("_r"))
-        marked = cut(M.dilate(quarter(ranges).select(*keys, *CELL), leaf, keys, max_level, nearby))
+        ranges = seen(values).groupBy(*layers, *CELL).agg((F.max("v") - F.min("v")).alias("_r")).join(limit, layers)
+        leaf = cut(cells(values))
+        marked = cut(M.dilate(cells(ranges.where(F.col("_r") >= 0.25 * F.col("_limit"))), leaf, keys, max_level, nearby))
         for _ in range(nearby):
-            near = M.neighbours(values.select(*keys, *CELL).distinct(), keys, max_level).where("nlevel < level").join(marked, [*keys, *CELL], "left_semi")
+            near = M.neighbours(leaf, keys, max_level).where("nlevel < level").join(marked, [*keys, *CELL], "left_semi")
             coarse = near.select(*keys, F.col("nlevel").alias("level"), F.col("nx").alias("ix"), F.col("ny").alias("iy")).distinct().join(marked, [*keys, *CELL], "left_semi")
             coarse = cut(coarse)
             if coarse.isEmpty():
                 break
-            wanted = M.balance(M.merge(M.internals(values.select(*keys, *CELL).distinct(), keys), coarse, keys), keys, nx, ny, max_level)
-            values = cut(refine_to(values, wanted, keys, n, max_level))
-            marked = cut(inherit(marked, values.select(*keys, *CELL).distinct(), keys))
-    for _ in range(max_passes):
-        leaf = values.select(*keys, *CELL).distinct()
-        flat = siblings_range(values, keys).join(limit, keys).where(F.col("_r") < 0.25 * F.col("_limit")).select(*keys, *CELL)
-        open_to = M.coarsenable(values, leaf, marked, keys, max_level, float("inf")).join(flat, [*keys, *CELL], "left_semi")
+            values = refined(values, leaf, coarse)
+            uncut(leaf)
+            leaf = cut(cells(values))
+            marked = cut(inherit(marked, leaf, keys))
+    for _ in range(max_passes if coarsen else 0):
+        leaf = cut(cells(values))
+        flat = siblings_range(seen(values), layers).join(limit, layers).groupBy(*keys, *CELL).agg(F.max(F.col("_r") - 0.25 * F.col("_limit")).alias("_over")).where("_over < 0")
+        up = lambda df: df.select(*keys, (F.col("level") - 1).alias("level"), F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy"))
+        fine = up(M.neighbours(leaf, keys, max_level).where("nlevel > level"))
+        open_to = M.siblings(leaf, keys).join(flat, [*keys, *CELL], "left_semi").join(up(marked.where("level > 0")), [*keys, *CELL], "left_anti").join(fine, [*keys, *CELL], "left_anti")
         parents = cut(open_to)
+        uncut(leaf)
         if parents.isEmpty():
             break
-        values = cut(coarsen_cells(values, parents, keys, n))
+        old, values = values, cut(coarsen_cells(values, parents, keys, n, more).select(*given.columns))
+        uncut(old)
+        uncut(parents)
     else:
-        warnings.warn(f"coarsening did not end in {max_passes} passes", stacklevel=2)
+        if coarsen:
+            warnings.warn(f"coarsening did not end in {max_passes} passes", stacklevel=2)
     return values
 
 

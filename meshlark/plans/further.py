@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from meshlark.operators import cohorts as C
 from meshlark.operators import mesh as M
 from meshlark.operators import metrics as E
+from meshlark.operators import native as NV
 from meshlark.operators import regrid as R
+from meshlark.operators import rollout as RO
 from meshlark.operators import selection as S
 from meshlark.operators import stats as A
 from meshlark.operators import trace as T
@@ -326,3 +328,37 @@ def _(spark, d):
 @query("s14_clock_faults", with_views("SELECT traj_idx, pos FROM (SELECT traj_idx, pos, value, lag(value) OVER (PARTITION BY traj_idx ORDER BY pos) AS b FROM frames) WHERE value <= b", "frames"))
 def _(spark, d):
     return trajectories.clock_faults(V.frames(spark, d).withColumn("time", F.col("value"))).select("traj_idx", "pos")
+
+
+# ---- rollout and native regridding ---------------------------------------------------------------
+
+
+def window_meshes(spark, d):
+    """A balanced mesh for each supplier, adapted to its last frame in both channels."""
+    last = V.fields(spark, d).where("t = 1")
+    inner = M.adapt(last, ["tree", "channel"], TILE, MAX_LEVEL, 0.8).select("tree", *M.CELL).distinct()
+    return M.leaves(M.balance(inner, TREE, N, N, MAX_LEVEL), M.roots(last.select("tree").distinct(), TREE, N, N), TREE)
+
+
+def windows_on_meshes(spark, d):
+    """Two input frames of two channels as 2 x 2 patches on the leaves of each supplier's mesh."""
+    held = M.covering(V.fields(spark, d), window_meshes(spark, d), TREE, TILE, MAX_LEVEL)
+    side = F.expr(f"shiftright({TILE}, level)")
+    part = lambda c, i: F.floor((F.col(c) - F.col(i) * side) / (side / 2)).cast("int")
+    return held.groupBy("tree", "t", "channel", *M.CELL, part("x", "ix").alias("px"), part("y", "iy").alias("py")).agg(F.avg("v").alias("v"))
+
+
+@query("r1_rollout_regrid")
+def _(spark, d):
+    """20 steps on meshes that adapt every 4: a loop of dependent decisions, which SQL does not express;
+    tests/test_rollout.py compares it with a plain Python version."""
+    out = RO.rollout(windows_on_meshes(spark, d), TREE, 2, 20, RO.linear(), interval=4, n=2, tile=TILE, nx=N, ny=N, max_level=MAX_LEVEL, tol=0.8, nearby=1)
+    return out.groupBy("tree", "step", "channel", "level").agg((F.count("*") / 4).cast("long").alias("leaves"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max("v"), 4).alias("most"))
+
+
+@query("t20_native_regrid")
+def _(spark, d):
+    """New leaves by the last frame, and all frames' pixels on them; compared with a plain version in tests/test_rollout.py."""
+    f = V.fields(spark, d)
+    leaf = NV.regrid_native(f.where("t = 1"), window_meshes(spark, d), TREE, ["channel"], TILE, N, N, MAX_LEVEL, 0.9, nearby=1)
+    return NV.stitched(f, leaf, TREE, TILE, MAX_LEVEL).groupBy("tree", "t", "channel", "level").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))

@@ -11,6 +11,8 @@ FRAMES = "SELECT user_id AS traj_idx, CAST(row_number() OVER (PARTITION BY user_
 GAPPY = "SELECT traj_idx, CAST(row_number() OVER (PARTITION BY traj_idx ORDER BY pos) - 1 AS BIGINT) AS pos, pos AS source_index, frame_id, value FROM frames WHERE event_type <> 'error'"
 PAIRS = "SELECT l_returnflag AS win, l_linestatus AS field, l_shipmode_level AS level, l_partkey % 16 AS leaf, l_quantity * p_retailprice / 1000 AS prediction, l_extendedprice / 1000 AS target FROM (SELECT *, l_linenumber % 3 AS l_shipmode_level FROM lineitem) l JOIN part ON l_partkey = p_partkey"
 FIELD_SUMS = "SELECT CAST(l_partkey % 64 AS INT) AS x, CAST(l_suppkey % 64 AS INT) AS y, l_returnflag AS channel, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3"
+#: For each supplier two frames of two channels on a 64 x 64 grid.
+FIELD_POINTS = "SELECT l_suppkey AS tree, CAST(l_linenumber % 2 AS INT) AS t, l_linestatus AS channel, CAST(l_partkey % 64 AS INT) AS x, CAST((l_partkey * 7 + l_orderkey) % 64 AS INT) AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4, 5"
 ACCESS = "SELECT event_id, event_type AS key, CAST(user_id % 4 AS INT) AS rank, CAST(day(ts) % 2 AS INT) AS epoch, user_id, ts, event_id % 3 = 0 AS cache_hit FROM events"
 #: A tree for each nation of suppliers, and where its spot is.
 SPOTS = "SELECT s_nationkey AS tree, CAST(sum(s_suppkey) % 62 AS INT) AS sx, CAST(sum(s_suppkey * 7 + s_nationkey) % 62 AS INT) AS sy FROM supplier GROUP BY 1"
@@ -21,11 +23,12 @@ SQL = {
     "pairs": f"pairs AS ({PAIRS})",
     "grid": "grid AS (SELECT a.range::INT AS x, b.range::INT AS y FROM range(64) a, range(64) b)",
     "field": f"sums AS ({FIELD_SUMS}), field AS (SELECT channel, x, y, coalesce(v, 0.0) AS v FROM grid CROSS JOIN (SELECT DISTINCT channel FROM sums) LEFT JOIN sums USING (x, y, channel))",
+    "fields": f"points AS ({FIELD_POINTS}), fields AS (SELECT tree, t, channel, x, y, coalesce(v, 0.0) AS v FROM grid CROSS JOIN (SELECT DISTINCT tree, t, channel FROM points) LEFT JOIN points USING (tree, t, channel, x, y))",
     "smooth": f"spots AS ({SPOTS}), smooth AS (SELECT tree, x, y, 0.01::DOUBLE * (x / 64.0::DOUBLE + y / 64.0::DOUBLE) + CASE WHEN y BETWEEN sy AND sy + 1 AND x BETWEEN sx AND sx + 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM grid CROSS JOIN spots)",
     "access": f"acc0 AS ({ACCESS}), access AS (SELECT *, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + (event_id % 7) * 1000000 AS source_ready_ns, epoch_us(ts) * 1000 + (event_id % 7 + event_id % 11) * 60000000000 AS end_ns, row_number() OVER (PARTITION BY epoch, rank ORDER BY ts, event_id) AS rank_sequence FROM acc0)",
     "patches": "patches AS (SELECT p_partkey AS patch_id, p_size % 3 AS level, (16 >> (p_size % 3))::INT AS side, p_retailprice AS v FROM part), placed AS (SELECT 0 AS tree, patch_id, level, v, ((patch_id * 7) % (64 // side) * side)::INT AS x0, ((patch_id * 5) % (64 // side) * side)::INT AS y0, ((patch_id * 7) % (64 // side) * side + side)::INT AS x1, ((patch_id * 5) % (64 // side) * side + side)::INT AS y1 FROM patches)",
 }
-NEEDS = {"gappy": ["frames"], "field": ["grid"], "smooth": ["grid"]}
+NEEDS = {"gappy": ["frames"], "field": ["grid"], "fields": ["grid"], "smooth": ["grid"]}
 
 
 def with_views(body: str, *names: str) -> str:
@@ -63,6 +66,14 @@ def field(spark, d):
     return full.join(sums, ["channel", "x", "y"], "left").select("channel", "x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def fields(spark, d):
+    """Frames of every supplier: as many trees as the table has suppliers, with its quantities as values."""
+    points = spark.sql(FIELD_POINTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, d, "lineitem"))
+    every = F.sequence(F.lit(0), F.lit(GRID - 1))
+    full = points.select("tree", "t", "channel").distinct().withColumn("x", F.explode(every)).withColumn("y", F.explode(every))
+    return full.join(points, ["tree", "t", "channel", "x", "y"], "left").select("tree", "t", "channel", "x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 def smooth(spark, d):
     """A slope with one spot, on a grid for each tree."""
     spots = spark.sql(SPOTS.replace("FROM supplier", "FROM {supplier}"), supplier=load(spark, d, "supplier"))
