@@ -9,6 +9,7 @@ from meshlark.operators import mesh as M
 from meshlark.operators import metrics as E
 from meshlark.operators import native as NV
 from meshlark.operators import regrid as R
+from meshlark.operators import regular as G
 from meshlark.operators import rollout as RO
 from meshlark.operators import selection as S
 from meshlark.operators import stats as A
@@ -362,3 +363,44 @@ def _(spark, d):
     f = V.fields(spark, d)
     leaf = NV.regrid_native(f.where("t = 1"), window_meshes(spark, d), TREE, ["channel"], TILE, N, N, MAX_LEVEL, 0.9, nearby=1)
     return NV.stitched(f, leaf, TREE, TILE, MAX_LEVEL).groupBy("tree", "t", "channel", "level").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+
+
+# ---- patches on regular grids --------------------------------------------------------------------
+
+#: Boxes of three levels in each of the frames p_size: corners in cells of their own level.
+LEVEL_BOXES = "SELECT CAST(p_size AS BIGINT) AS frame_id, p_partkey AS patch_id, level, x0, y0, CAST(x0 + side AS INT) AS x1, CAST(y0 + side AS INT) AS y1, p_retailprice AS v FROM (SELECT *, CAST(p_partkey % 3 AS INT) AS level, CAST(4 + p_partkey % 2 AS INT) AS side, CAST(2 * (p_partkey * 7 % (8 + 8 * (p_partkey % 3))) AS INT) AS x0, CAST(2 * (p_partkey * 5 % (8 + 8 * (p_partkey % 3))) AS INT) AS y0 FROM part)"
+REGULAR = f"""
+b AS ({LEVEL_BOXES}),
+g AS (SELECT frame_id AS reference, round(min(x0 * 2.0 ^ (1 - level)))::INT AS gx0, round(min(y0 * 2.0 ^ (1 - level)))::INT AS gy0, round(max(x1 * 2.0 ^ (1 - level)))::INT AS gx1, round(max(y1 * 2.0 ^ (1 - level)))::INT AS gy1 FROM b GROUP BY 1 HAVING count(*) FILTER (WHERE level = 1) > 0),
+c AS (SELECT b.*, CASE level WHEN 2 THEN 2 ELSE 1 END AS fine, CASE level WHEN 0 THEN 2 ELSE 1 END AS coarse, i.range AS i, j.range AS j FROM b, range(5) i, range(5) j WHERE i.range < x1 - x0 AND j.range < y1 - y0),
+k AS (SELECT frame_id, patch_id, level, coarse, x0 // fine + i // fine AS bx, y0 // fine + j // fine AS b_y, avg({{value}}) AS v FROM c WHERE (i // fine + 1) * fine <= x1 - x0 AND (j // fine + 1) * fine <= y1 - y0 GROUP BY ALL),
+t AS (SELECT k.*, bx * coarse + p.range AS x, b_y * coarse + q.range AS y FROM k, range(2) p, range(2) q WHERE p.range < coarse AND q.range < coarse)
+"""
+
+
+def level_boxes(spark, d):
+    return spark.sql(LEVEL_BOXES.replace("FROM part)", "FROM {part})"), part=load(spark, d, "part"))
+
+
+@query("j7_regular_grid", "WITH " + REGULAR.format(value="v * (1 + i) + j") + "SELECT frame_id, (x - gx0)::INT AS x, (y - gy0)::INT AS y, round(arg_max(v, (level, patch_id)), 6) AS v FROM t JOIN g ON reference = frame_id WHERE x >= gx0 AND x < gx1 AND y >= gy0 AND y < gy1 GROUP BY 1, 2, 3")
+def _(spark, d):
+    b = level_boxes(spark, d)
+    cells = b.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    cells = cells.withColumn("v", F.col("v") * (1 + F.col("x") - F.col("x0")) + F.col("y") - F.col("y0"))
+    return rounded(G.cells_on_grid(cells, G.geometry(b, ["frame_id"], 1), ["frame_id"], 1), ["frame_id", "x", "y"], ["v"])
+
+
+@query("s10_frames_on_last_input", "WITH " + REGULAR.format(value="v") + """,
+f AS (SELECT DISTINCT frame_id FROM b),
+w AS (SELECT f.frame_id AS w, unnest([f.frame_id, f.frame_id + 1, f.frame_id + 2]) AS frame_id, unnest(['input', 'input', 'target']) AS role, unnest([0, 1, 0]) AS slot, f.frame_id + 1 AS reference FROM f SEMI JOIN f g ON g.frame_id = f.frame_id + 1 SEMI JOIN f h ON h.frame_id = f.frame_id + 2),
+h AS (SELECT w, role, slot, x - gx0 AS x, y - gy0 AS y, arg_max(v, (level, patch_id)) AS v FROM t JOIN w USING (frame_id) JOIN g USING (reference) WHERE x >= gx0 AND x < gx1 AND y >= gy0 AND y < gy1 GROUP BY ALL),
+e AS (SELECT w, role, slot, gx1 - gx0 AS nx, unnest(range((gx1 - gx0) * (gy1 - gy0))) AS n FROM w JOIN g USING (reference))
+SELECT e.w AS window, e.role, e.slot::INT AS slot, count(*) AS cells, count(h.v) AS covered, round(sum(coalesce(h.v, 0) * (1 + n % nx)), 4) AS total FROM e LEFT JOIN h ON h.w = e.w AND h.role = e.role AND h.slot = e.slot AND h.x = n % nx AND h.y = n // nx GROUP BY 1, 2, 3
+""")
+def _(spark, d):
+    b = level_boxes(spark, d)
+    at = b.select("frame_id").distinct()
+    has = lambda k: at.select((F.col("frame_id") - k).alias("frame_id"))
+    w = at.join(has(1), "frame_id").join(has(2), "frame_id").select(F.col("frame_id").alias("window"), F.expr("array(frame_id, frame_id + 1)").alias("inputs"), F.expr("array(frame_id + 2)").alias("targets"))
+    out = G.window_frames(w, b, 1)
+    return out.groupBy("window", "role", "slot").agg(F.count("*").alias("cells"), F.count(F.when(F.col("v") != 0, 1)).alias("covered"), F.round(F.sum(F.col("v") * (1 + F.col("x"))), 4).alias("total"))
