@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from meshlark.llm.common import numbered, place
 
 #: 13 hexadecimal digits of a digest are a number below 2**52, exact in a double.
 HEX, SCALE = 13, float(2**52)
+#: A larger rate is the sum of parts of at most this one; parts of a row are made so many at a time.
+PART_RATE, PARTS_AT_ONCE = 64.0, 1024
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -60,19 +63,29 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", id_col:
     shuffle_key, in any case, are replaced; others, whatever their names, pass through. Weights
     outside 0 to 1, or of more than 1 together, raise ValueError.
 
+    A rate over PART_RATE is drawn as a sum of independent parts of equal rates, each with a hash of its
+    own, made PARTS_AT_ONCE at a time in different tasks: neither the plan nor an array grows with the
+    rate. Copies of all rows are then numbered by part, unique but with gaps, and copy is a long.
+
     The rows are dealt out by shuffle_key, a digest of (seed, id, copy), and sorted by it within
     each partition: a global shuffle without a sampling pass, even whatever the sources' sizes.
     """
     rates, other = source_rates(docs, weights, source_col, text_col, budget_chars)
     rows, doc, source = numbered(docs), F.col(place(docs, id_col)), F.col(place(docs, source_col))
-    u = hash_uniform(F.lit(seed), doc)
-    count = lambda rate: F.size(F.filter(F.array(*[F.lit(p) for p in poisson_cdf(rate)]), lambda p: p <= F.col("u")))
-    n = None
-    for s, rate in rates.items():
-        n = (F.when if n is None else n.when)(source == s, count(rate))
-    n = count(other) if n is None else n.otherwise(count(other))
+    parts = lambda rate: max(1, math.ceil(rate / PART_RATE))
+    listed = lambda f: reduce(lambda rest, s: F.when(source == s, f(rates[s])).otherwise(rest), reversed(list(rates)), f(other))
+    count = lambda rate: F.size(F.filter(F.array(*[F.lit(p) for p in poisson_cdf(rate / parts(rate))]), lambda p: p <= F.col("u")))
+    many = listed(lambda rate: F.lit(parts(rate)).cast("long"))
+    drawn = rows.where(many == 1).select("*", hash_uniform(F.lit(seed), doc).alias("u"), F.lit(0).cast("long").alias("part"))
+    if max(parts(r) for r in (*rates.values(), other)) > 1:
+        some = rows.where(many > 1).select("*", many.alias("many")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / PARTS_AT_ONCE))).alias("lot")).repartition("lot", doc)
+        last = F.least(F.col("many"), (F.col("lot") + 1) * PARTS_AT_ONCE) - 1
+        some = some.select("*", F.explode(F.sequence(F.col("lot") * PARTS_AT_ONCE, last)).alias("part"))
+        drawn = drawn.unionByName(some.select(*rows.columns, hash_uniform(F.lit(seed), F.lit("part"), F.col("part"), doc).alias("u"), "part"))
     kept = {f"c{i}": c for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "shuffle_key")}
-    out = rows.select("*", u.alias("u")).select("*", n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    out = drawn.select("*", listed(count).alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    copy = F.col("k") if max(parts(r) for r in (*rates.values(), other)) == 1 else F.col("part") * F.lit(len(poisson_cdf(PART_RATE))) + F.col("k")
+    out = out.withColumn("copy", copy)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(doc.cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
     out = out.select(*kept, "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return out.toDF(*kept.values(), "copy", "shuffle_key")

@@ -206,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by a hash of their id, none held out.
 
     The ids are chosen from the labels alone; only their whole texts come to the driver, those that
-    fit under the bound in order of the hash. Rows with a null id or label, and ids that have both
+    fit under the bound in order of the hash. A text longer than a fiftieth of the bound teaches
+    nothing, so that one long text never takes the place of all others. Rows with a null id or label, and ids that have both
     labels, teach nothing; of rows that share an id one text does.
     """
     ids, named = [], numbered(labels)
@@ -219,8 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = numbered(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
     texts = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).groupBy("id", "toxic").agg(F.min("text").alias("text")).where("text <> ''")
     # at most toxic_rows + ordinary_rows rows in these windows
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
     bound = F.when(F.col("toxic") == 1, toxic_chars).otherwise(ordinary_chars)
+    texts = texts.where(F.length("text") * 50 <= bound)
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
     got = texts.withColumn("so_far", so_far).where(F.col("so_far") <= bound).select("id", "text", "toxic").collect()
     got = sorted(got, key=lambda r: (hash_order(r["id"]), r["text"]))
     return fit([r["text"] for r in got if r["toxic"] == 1], [r["text"] for r in got if r["toxic"] == 0])

@@ -38,3 +38,16 @@ def test_odd_rows(spark):
     assert auc([(model.score(t), 1) for t in toxic] + [(model.score(t), 0) for t in plain]) > 0.9
     assert score(df.limit(0), model).count() == 0
     assert 0 < fit([], plain).score("anything") < 0.5
+
+
+def test_one_long_text_does_not_end_the_training(spark):
+    from meshlark.llm import toxicity
+
+    rows = [(k, "vile rot filth " * 12 if k % 3 == 0 else "the quiet river runs by the old mill " * 5) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "vile rot filth " * 12), (2, "the quiet river runs by the old mill " * 5)], "doc_id long, text string")
+    for long in (set(), {k for k, _ in rows if k % 30 == 0}):  # a tenth of the toxic rows, wherever the hash puts them
+        docs = spark.createDataFrame([(k, t * 600 if k in long else t) for k, t in rows], "doc_id long, text string")
+        model = toxicity.train(docs, labels, toxic_chars=100_000, ordinary_chars=200_000)
+        got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+        assert got[1] > 0.8 and got[2] < 0.2
