@@ -41,13 +41,22 @@ def test_odd_rows(spark):
 
 
 def test_one_long_text_does_not_end_the_training(spark):
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
     from meshlark.llm import toxicity
 
-    rows = [(k, "vile rot filth " * 12 if k % 3 == 0 else "the quiet river runs by the old mill " * 5) for k in range(600)]
-    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
-    probe = spark.createDataFrame([(1, "vile rot filth " * 12), (2, "the quiet river runs by the old mill " * 5)], "doc_id long, text string")
-    for long in (set(), {k for k, _ in rows if k % 30 == 0}):  # a tenth of the toxic rows, wherever the hash puts them
-        docs = spark.createDataFrame([(k, t * 600 if k in long else t) for k, t in rows], "doc_id long, text string")
-        model = toxicity.train(docs, labels, toxic_chars=100_000, ordinary_chars=200_000)
-        got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
-        assert got[1] > 0.8 and got[2] < 0.2
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    toxic = labels.where("toxic = 1").where(~toxicity.held_out(F.col("doc_id")))
+    first = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 1 + toxicity.TOXIC_CHARS // 50)).otherwise(F.col("text")))
+    probe = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("doc_id", "text", "toxic")
+
+    def gap(rows):
+        model = toxicity.train(rows, labels)
+        means = {r.toxic: r.s for r in toxicity.score(probe, model).groupBy("toxic").agg(F.avg("score").alias("s")).collect()}
+        return means[1] - means[0]
+
+    whole = gap(docs)
+    assert whole > 0.5 and gap(longer) > 0.9 * whole
