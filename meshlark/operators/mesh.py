@@ -132,20 +132,31 @@ def siblings(leaf: DataFrame, keys: list[str]) -> DataFrame:
     return up.where("_n = 4 and _b = 15").select(*keys, *CELL)
 
 
-def morton(level: str, ix: str, iy: str, max_level: int, bits: int = 16) -> Column:
-    """Z-order of the cell's lower corner at the finest level."""
-    fine = lambda c: F.expr(f"cast(shiftleft({c}, {max_level} - {level}) as bigint)")
-    x, y = fine(ix), fine(iy)
-    spread = lambda v, by: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + by) for k in range(bits)])
-    return spread(x, 0).bitwiseOR(spread(y, 1))
+def morton(level: str, ix: str, iy: str, max_level: int) -> Column:
+    """Z-order of the cell's lower corner at the finest level; a corner beyond 31 bits is an error."""
+    fine = lambda c: F.expr(f"shiftleft(cast({c} as bigint), {max_level} - {level})")
+
+    def spread(v: Column) -> Column:
+        """Bit k to place 2 k: the upper halves move apart, step by step."""
+        for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
+
+    fits = (fine(ix) >= 0) & (fine(ix) < F.lit(1 << 31)) & (fine(iy) >= 0) & (fine(iy) < F.lit(1 << 31))
+    return F.when(fits, spread(fine(ix)).bitwiseOR(F.shiftleft(spread(fine(iy)), 1))).otherwise(F.raise_error(F.lit("a cell's corner is beyond 31 bits")).cast("bigint"))
 
 
 def uid(level: str, ix: str, iy: str, max_level: int) -> Column:
-    """Bits of x and y within the tile, level (6), tile x and tile y (12 each)."""
+    """Bits of x and y within the tile, level (6), tile x and tile y (12 each): an error where a tile or
+    level needs more, or all of them together more than 63 bits."""
+    if 2 * max_level + 30 > 63:
+        raise ValueError(f"a mesh of {max_level} levels has no 63-bit uids")
     tx, ty = F.expr(f"cast(shiftright({ix}, {level}) as bigint)"), F.expr(f"cast(shiftright({iy}, {level}) as bigint)")
     x, y = F.col(ix) - F.expr(f"shiftleft(shiftright({ix}, {level}), {level})"), F.col(iy) - F.expr(f"shiftleft(shiftright({iy}, {level}), {level})")
     w = max_level
-    return x.cast("bigint") + F.shiftleft(y.cast("bigint"), w) + F.shiftleft(F.col(level).cast("bigint"), 2 * w) + F.shiftleft(tx, 2 * w + 6) + F.shiftleft(ty, 2 * w + 18)
+    fits = (tx >= 0) & (tx < 4096) & (ty >= 0) & (ty < 4096) & (F.col(level) >= 0) & (F.col(level) <= max_level)
+    packed = x.cast("bigint") + F.shiftleft(y.cast("bigint"), w) + F.shiftleft(F.col(level).cast("bigint"), 2 * w) + F.shiftleft(tx, 2 * w + 6) + F.shiftleft(ty, 2 * w + 18)
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("a cell has no uid: its level is too deep or its tile beyond 4,095")).cast("bigint"))
 
 
 def uid_parts(u: Column, max_level: int) -> dict[str, Column]:
@@ -248,7 +259,8 @@ def info(leaf: DataFrame, keys: list[str]) -> DataFrame:
 
 def fingerprint(leaf: DataFrame, keys: list[str]) -> DataFrame:
     """sha256 over the sorted cell keys; a tree's keys are bounded by its finest grid."""
-    cell = F.concat_ws(",", "level", F.lpad(F.col("ix").cast("string"), 8, "0"), F.lpad(F.col("iy").cast("string"), 8, "0"))
+    wide = lambda c: F.when(F.length(F.col(c).cast("string")) > 8, F.col(c).cast("string")).otherwise(F.lpad(F.col(c).cast("string"), 8, "0"))
+    cell = F.concat_ws(",", "level", wide("ix"), wide("iy"))
     return leaf.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(cell)), ";"), 256).alias("digest"))
 
 
