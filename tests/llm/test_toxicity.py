@@ -50,7 +50,7 @@ def test_one_long_text_does_not_end_the_training(spark):
     docs = docs.select("doc_id", "text")
     toxic = labels.where("toxic = 1").where(~toxicity.held_out(F.col("doc_id")))
     first = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
-    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 1 + toxicity.TOXIC_CHARS // 50)).otherwise(F.col("text")))
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.expr(f"repeat(text, cast({toxicity.TOXIC_CHARS} / length(text) as int) + 1)")).otherwise(F.col("text")))
     probe = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("doc_id", "text", "toxic")
 
     def gap(rows):
