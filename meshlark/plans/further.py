@@ -18,7 +18,7 @@ from meshlark.operators import windows as W
 from meshlark.plans import views as V
 from meshlark.plans.registry import BAL, FIELD_IN, GRID, MAX_LEVEL, MEANS, TILE, TREE, TWO, N, csv, field_mesh, leaves_sql, query, rounded, smooth_mesh
 from meshlark.plans.views import load, with_views
-from meshlark.sources import trajectories
+from meshlark.sources import topology_store, trajectories
 
 REGIONS = "SELECT traj_idx, pos, pos AS source_index, frame_id, CASE WHEN pos < 30 THEN 'train' WHEN pos < 45 THEN 'val' ELSE 'test' END AS role, traj_idx * 3 + CASE WHEN pos < 30 THEN 0 WHEN pos < 45 THEN 1 ELSE 2 END AS segment FROM frames WHERE event_type <> 'error'"
 V.SQL["regions"] = f"regions AS ({REGIONS})"
@@ -83,7 +83,10 @@ def _(spark, d):
     from pyspark.sql import Window
 
     f = V.frames(spark, d)
-    n = f.select("frame_id", F.lead("frame_id").over(Window.partitionBy("traj_idx").orderBy("pos")).alias("nxt"), F.lead("frame_id").over(Window.partitionBy("event_type").orderBy("frame_id")).alias("oth")).where("nxt IS NOT NULL AND oth IS NOT NULL")
+    placed = W.running_sum(f.select("event_type", "frame_id", F.lit(1).cast("long").alias("one")), ["event_type"], ["frame_id"], "one", "place")
+    other = placed.select("event_type", (F.col("place") - 1).alias("place"), F.col("frame_id").alias("oth"))
+    other = placed.join(other, ["event_type", "place"]).select("frame_id", "oth")
+    n = f.select("frame_id", F.lead("frame_id").over(Window.partitionBy("traj_idx").orderBy("pos")).alias("nxt")).where("nxt IS NOT NULL").join(other, "frame_id")
     w = n.select(F.col("frame_id").alias("window"), F.expr("CASE frame_id % 4 WHEN 0 THEN array(frame_id, nxt) WHEN 1 THEN array(nxt, frame_id) WHEN 2 THEN array(frame_id, oth) ELSE array(frame_id, -frame_id - 1) END").alias("frames"))
     return C.invalid_windows(w, f)
 
@@ -404,3 +407,19 @@ def _(spark, d):
     w = at.join(has(1), "frame_id").join(has(2), "frame_id").select(F.col("frame_id").alias("window"), F.expr("array(frame_id, frame_id + 1)").alias("inputs"), F.expr("array(frame_id + 2)").alias("targets"))
     out = G.window_frames(w, b, 1)
     return out.groupBy("window", "role", "slot").agg(F.count("*").alias("cells"), F.count(F.when(F.col("v") != 0, 1)).alias("covered"), F.round(F.sum(F.col("v") * (1 + F.col("x"))), 4).alias("total"))
+
+
+# ---- stored topologies ---------------------------------------------------------------------------
+
+ORDER_HASHES = """
+h AS (
+  SELECT o_custkey, c.n AS name, sha256(c.n || chr(30) || 'string' || chr(30) || '=' || o_orderkey || chr(30) || coalesce('=' || c.v, 'null')) AS h
+  FROM (SELECT o_custkey, o_orderkey, unnest([{'n': 'o_orderstatus', 'v': o_orderstatus}, {'n': 'o_orderpriority', 'v': o_orderpriority}]) AS c FROM orders)),
+d AS (SELECT o_custkey, name, count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT::HUGEINT) AS s{k}" for k in range(5)) + """ FROM h GROUP BY 1, 2)
+"""
+
+
+@query("s18_column_digests", "WITH " + ORDER_HASHES + "SELECT o_custkey, name AS \"column\", 'string' AS type, n, sha256(concat_ws(',', n, s0, s1, s2, s3, s4)) AS digest FROM d")
+def _(spark, d):
+    rows = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return topology_store.column_digests(rows, ["o_custkey"], ["o_orderkey"])
