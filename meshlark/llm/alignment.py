@@ -22,9 +22,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from meshlark.llm.common import discard, give_back, numbered, only, place, release, remembers, shuffle_partitions, written
 from meshlark.llm.substring import squeeze, unsqueeze
@@ -42,6 +45,8 @@ BLOCK_DISTINCT, BLOCK_CHUNKS = 1_000_000, 16_000_000
 CHUNKS_A_PARTITION = 150_000
 #: So many pairs of ids (16 bytes each) are sent to all tasks; more of them meet their links in a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: Stands for the value of a chunk that has none, among values of digits and signs.
+NOT_SPELLED = "-"
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -185,37 +190,85 @@ def links(groups: DataFrame) -> DataFrame:
     return one.select("cid", F.explode("g.a").alias("a"), F.col("g.b").alias("bs")).select("cid", "a", F.explode("bs").alias("b"))
 
 
+#: Rows of a task that are packed together on their way to their blocks.
+PACKED_ROWS = 400_000
+
+
+def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
+    """answers(block, k, value) as rows of many: a block's numbers k and their values, squeezed.
+
+    Every task packs what it has for a block, at most PACKED_ROWS rows at a time.
+    """
+
+    def pack(rows: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        block = rows.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        block, k = block[order], rows.column(1).to_numpy()[order].astype(np.uint32)
+        values = rows.column(2).take(pa.array(order)).fill_null(NOT_SPELLED).to_pylist()
+        cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(block)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield int(block[i]), squeeze(k[i:j]), zstandard.compress("\n".join(values[i:j]).encode(), 3)
+
+    def packed(rows):
+        b, k, v = zip(*pack(rows), strict=True)
+        n = len(b)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(v, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary())], ["block", "ks", "values", "id", "chunks"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= PACKED_ROWS:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+        give_back()
+
+    id_type = to_arrow_type(kind)
+    return answers.select("block", "k", "value").mapInArrow(run, f"block long, ks binary, values binary, id {kind.simpleString()}, chunks binary")
+
+
 def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done, schema: str) -> DataFrame:
     """A block's documents with the results of their chunks.
 
-    results(cid, value) meet the blocks' chunks, placed(block, k, cid), and these their documents. value(list of a block's
+    results(cid, value) meet the blocks' chunks, placed(block, k, cid), and these, packed, their documents. value(list of a block's
     values, in the order of k) gives what done(that, ids, batches) needs: done yields record batches of
     the schema from the block's documents, given as pairs of id arrays and lists of number arrays.
     """
-    kind = docs.schema["id"].dataType.simpleString()
-    answers = placed.join(results, "cid").select("block", "k", "value", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("chunks"))
-    asked = docs.select("block", F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("value"), "id", "chunks")
-    dealt = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("k").asc_nulls_last())
+    answers = packed_by_block(placed.join(results, "cid"), docs.schema["id"].dataType)
+    asked = docs.select("block", F.lit(None).cast("binary").alias("ks"), F.lit(None).cast("binary").alias("values"), "id", "chunks")
+    dealt = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("ks").isNull())
+
+    def in_order(ks: list, packed: list) -> list:
+        out = np.full(sum(map(len, ks)), None, object)
+        for k, v in zip(ks, packed, strict=True):
+            out[k] = [None if x == NOT_SPELLED else x for x in zstandard.decompress(v).decode().split("\n")]
+        return out.tolist()
 
     def run(batches):
         only("alignment")
-        now, values, ready = None, [], None
+        now, ks, packed, ready = None, [], [], None
         for batch in batches:
-            block, k = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            state = block * 2 + ~k
+            block, answer = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            state = block * 2 + ~answer
             cuts = [*(np.flatnonzero(state[1:] != state[:-1]) + 1).tolist(), len(state)] if len(state) else []
             for i, j in zip([0, *cuts], cuts, strict=False):
                 if block[i] != now:
                     if ready is not None:
                         yield from done(ready, None, None)
-                    now, values, ready = block[i], [], None
-                if k[i]:
-                    values += batch.column(2)[i:j].to_pylist()
+                    now, ks, packed, ready = block[i], [], [], None
+                if answer[i]:
+                    ks += [unsqueeze(x, np.uint32) for x in batch.column(1)[i:j].to_pylist()]
+                    packed += batch.column(2)[i:j].to_pylist()
                     continue
                 if ready is None:
-                    ready, values = value(values), []
-                packed = batch.column(4)[i:j].to_pylist()
-                yield from done(ready, batch.column(3)[i:j], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in packed])
+                    ready, ks, packed = value(in_order(ks, packed)), [], []
+                chunks = batch.column(4)[i:j].to_pylist()
+                yield from done(ready, batch.column(3)[i:j], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in chunks])
         if ready is not None:
             yield from done(ready, None, None)
         give_back()
