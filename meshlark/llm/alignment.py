@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from contextlib import contextmanager
 
 import numpy as np
@@ -98,6 +99,14 @@ def loaded(paths: tuple[str, str]) -> Tokenizers:
     return _LOADED[paths]
 
 
+def without_tokenizers() -> None:
+    """Called when a task begins that needs none: its worker may still hold those of a task before."""
+    only("alignment")
+    if _LOADED:
+        _LOADED.clear()
+        give_back()
+
+
 def folded(rows: DataFrame, kind: str) -> DataFrame:
     """rows(id, text) as two sorts of rows: a block's distinct chunks (block, k, chunk), and its
     documents (block, id, chunks), whose chunks are numbers k."""
@@ -190,8 +199,8 @@ def links(groups: DataFrame) -> DataFrame:
     return one.select("cid", F.explode("g.a").alias("a"), F.col("g.b").alias("bs")).select("cid", "a", F.explode("bs").alias("b"))
 
 
-#: Rows of a task that are packed together on their way to their blocks.
-PACKED_ROWS = 400_000
+#: Rows of a task that are packed together on their way to their blocks, and documents put together at once.
+PACKED_ROWS, DOCUMENTS = 400_000, 256
 
 
 def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
@@ -205,10 +214,10 @@ def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
         block = rows.column(0).to_numpy()
         order = np.argsort(block, kind="stable")
         block, k = block[order], rows.column(1).to_numpy()[order].astype(np.uint32)
-        values = rows.column(2).take(pa.array(order)).fill_null(NOT_SPELLED).to_pylist()
+        values = rows.column(2).take(pa.array(order)).fill_null(NOT_SPELLED)
         cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(block)]
         for i, j in zip(cuts, cuts[1:], strict=False):
-            yield int(block[i]), squeeze(k[i:j]), zstandard.compress("\n".join(values[i:j]).encode(), 3)
+            yield int(block[i]), squeeze(k[i:j]), zstandard.compress("\n".join(values[i:j].to_pylist()).encode(), 3)
 
     def packed(rows):
         b, k, v = zip(*pack(rows), strict=True)
@@ -216,6 +225,7 @@ def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(v, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary())], ["block", "ks", "values", "id", "chunks"])
 
     def run(batches):
+        without_tokenizers()
         held, n = [], 0
         for batch in batches:
             if len(batch):
@@ -250,7 +260,7 @@ def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done
         return out.tolist()
 
     def run(batches):
-        only("alignment")
+        without_tokenizers()
         now, ks, packed, ready = None, [], [], None
         for batch in batches:
             block, answer = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
@@ -267,8 +277,10 @@ def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done
                     continue
                 if ready is None:
                     ready, ks, packed = value(in_order(ks, packed)), [], []
-                chunks = batch.column(4)[i:j].to_pylist()
-                yield from done(ready, batch.column(3)[i:j], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in chunks])
+                for at in range(i, j, DOCUMENTS):
+                    few = slice(at, min(at + DOCUMENTS, j))
+                    chunks = batch.column(4)[few].to_pylist()
+                    yield from done(ready, batch.column(3)[few], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in chunks])
         if ready is not None:
             yield from done(ready, None, None)
         give_back()
@@ -280,7 +292,7 @@ class Pairs:
     """A block's linked id pairs by chunk, and how many of its documents hold each."""
 
     def __init__(self, values: list[str | None]):
-        flat, ends = [], []
+        flat, ends = array("q"), []
         for v in values:
             found = set()
             for g in v.split(";") if v else ():
@@ -289,10 +301,10 @@ class Pairs:
                 for x in a.split(","):
                     x = int(x) << 32
                     found.update([x | y for y in b])
-            flat += found
+            flat.extend(found)
             ends.append(len(flat))
         self.ok = np.array([v is not None for v in values], bool)
-        self.pairs, self.number = np.unique(np.array(flat, np.int64), return_inverse=True)
+        self.pairs, self.number = np.unique(np.frombuffer(flat, np.int64), return_inverse=True)
         self.number = self.number.reshape(-1).astype(np.int32)
         self.starts, self.stops = np.array([0, *ends[:-1]], np.int64), np.array(ends, np.int64)
         self.docs = np.zeros(len(self.pairs), np.int64)
@@ -323,10 +335,12 @@ class Totals:
     """A block's chunks with their numbers and groups as text."""
 
     def __init__(self, values: list[str | None]):
-        split = [v.split(";", 1) if v is not None else ("0,0,0,0,0,0", None) for v in values]
-        self.numbers = np.array([[int(x) for x in head.split(",")] for head, _ in split], np.int64).reshape(-1, len(NUMBERS))
-        self.groups = [g for _, g in split]
-        self.ok = np.array([g is not None for g in self.groups], bool)
+        self.ok = np.array([v is not None for v in values], bool)
+        self.numbers = np.zeros((len(values), len(NUMBERS)), np.int64)
+        self.groups = values
+        for i in np.flatnonzero(self.ok).tolist():  # in place, so that a block's values are held once
+            head, _, self.groups[i] = values[i].partition(";")
+            self.numbers[i] = head.split(",")
 
 
 def _document_rows(ready: Totals, ids, docs):
@@ -358,21 +372,21 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     plain = numbered(docs)
     kind = docs.schema[docs.columns[int(place(docs, id_col)[1:])]].dataType.simpleString()
     rows = plain.select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
-    both = written(folded(rows, kind), "chunks-of-blocks")
-    own, words = written(both.where("k is null").select("block", "id", "chunks"), "documents-of-blocks"), both.where("k is not null").select("block", "k", "chunk")
-    tokens = written(tokenized(words.select("chunk").distinct(), paths).withColumn("cid", F.monotonically_increasing_id()), "chunk-tokens")
-    placed = written(words.join(tokens.select("chunk", "cid"), "chunk").select("block", "k", "cid"), "placed-chunks")
+    both = written(folded(rows, kind), "chunks-of-blocks", codec="zstd")
+    own, words = written(both.where("k is null").select("block", "id", "chunks"), "documents-of-blocks", codec="zstd"), both.where("k is not null").select("block", "k", "chunk")
+    tokens = written(tokenized(words.select("chunk").distinct(), paths).withColumn("cid", F.monotonically_increasing_id()), "chunk-tokens", codec="zstd")
+    placed = written(words.join(tokens.select("chunk", "cid"), "chunk").select("block", "k", "cid"), "placed-chunks", codec="zstd")
     discard(both)
     release(spark)
     partitions = max(shuffle_partitions(spark), -(-tokens.count() // CHUNKS_A_PARTITION))
     with partitioned_by_part_of_the_keys(spark):
-        groups = written(aligned(tokens.where("ok").select("cid", "a", "a_size", "b", "b_size"), partitions), "groups")
+        groups = written(aligned(tokens.where("ok").select("cid", "a", "a_size", "b", "b_size"), partitions), "groups", codec="zstd")
     release(spark)
     text = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
     known = tokens.select("cid", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(
         groups.select("cid", text.alias("value"), F.size("groups").alias("n_groups"), F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links")), "cid", "left"
     )
-    known = written(known, "chunk-groups")
+    known = written(known, "chunk-groups", codec="zstd")
     discard(tokens)
     pairs = written(unfolded(own, placed, known.select("cid", "value"), Pairs, _pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts", 2)
     release(spark)
@@ -381,7 +395,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     small = pairs.count() <= BROADCAST_PAIRS
     sums = links(groups).join(F.broadcast(counted) if small else counted, ["a", "b"]).groupBy("cid").agg(F.sum("n").alias("count_sum"), F.sum("is_best").alias("n_best"))
     value = F.when(F.col("value").isNotNull(), F.concat_ws(";", F.concat_ws(",", *NUMBERS), "value"))
-    final = written(known.join(sums, "cid", "left").select("cid", value.alias("value")), "chunk-totals")
+    final = written(known.join(sums, "cid", "left").select("cid", value.alias("value")), "chunk-totals", codec="zstd")
     discard(groups)
     discard(pairs)
     discard(known)

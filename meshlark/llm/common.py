@@ -37,18 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str, fewer: int = 1) -> DataFrame:
+def written(df: DataFrame, label: str, fewer: int = 1, codec: str | None = None) -> DataFrame:
     """df cut from its lineage: written as Parquet to the shared folder and read again.
 
     Losing an executor afterwards costs a reread of files, not a recomputation. ``fewer``: a table that
     is small beside what it is made from goes to that many times fewer files than there are shuffle
-    partitions, so that they are not many tiny ones.
+    partitions, so that they are not many tiny ones. ``codec``: a Parquet compression other than the session's.
     """
     spark = df.sparkSession
     if fewer > 1:
         df = df.coalesce(max(1, shuffle_partitions(spark) // fewer))
     path = f"{shared_dir(spark)}/meshlark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._meshlark_path = path
     return out
