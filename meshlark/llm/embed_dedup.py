@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import components, shuffle_partitions, written
+from meshlark.llm.common import components, discard, numbered, place, shuffle_partitions, written
 
 COSINE = 0.93
 #: At cosine 0.93 one projection agrees with probability 0.85, eight with 0.275; all 40 tables miss a
 #: pair with probability (1 - 0.275)**40 = 2.6e-6, and at 0.95 with 6e-8.
-TABLES, BITS, WIDTH, BLOCK = 40, 8, 2.0, 512
+TABLES, BITS, WIDTH, BLOCK, SALTS = 40, 8, 2.0, 512, 16
 
 
 def usable(v) -> bool:
@@ -59,9 +59,12 @@ def buckets(x: np.ndarray, tables: int, bits: int, width: float) -> np.ndarray:
 
 
 def _hashed(batches, single: bool):
-    """single: the column holds 32-bit floats, so that is how the vectors travel, without loss."""
+    """Usable rows with their keys and vectors, the others with neither. single: the column holds
+    32-bit floats, so that is how the vectors travel, without loss."""
     for batch in batches:
         at, vectors = parsed(batch.column(2).to_pylist())
+        rest = pa.array(np.setdiff1d(np.arange(len(batch)), at))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rest), batch.column(1).take(rest), pa.nulls(len(rest), pa.list_(pa.int64())), pa.nulls(len(rest), pa.binary())], ["id", "label", "keys", "vector"])
         ids, labels = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
         keys = np.zeros((len(at), TABLES), np.int64)
         size = np.array([len(v) for v in vectors], np.int64)
@@ -151,27 +154,28 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     """One row for each row: id, n_links, component_id, kept.
 
     Rows of equal, non-null label (of any label if label_col is None) are linked at a cosine of at
-    least ``cosine`` in double precision. n_links counts the rows linked directly, component_id is
-    the least id reachable, kept says it is the row's own. Vectors that are null, empty, zero or hold
-    null or non-finite components, vectors of different lengths, and rows with a null label link
-    with nothing. A null id has a null component, no links, and is kept. Rows with one id are that
-    many rows with one id: their links add up under it. An empty table gives no rows; other columns
-    are not read.
+    least ``cosine`` in double precision. n_links counts the other rows linked directly, component_id
+    is the least id of the rows reachable, kept says it is the row's own. Vectors that are null, empty,
+    zero or hold null or non-finite components, vectors of different lengths, and rows with a null label
+    link with nothing. A null id has a null component, no links, and is kept. Rows that repeat an id are
+    rows of their own: an id joins nothing, and each has the links of its vector. An empty table gives
+    no rows; other columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
-    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
-    label = F.lit(0) if label_col is None else F.xxhash64(vectors[label_col])
-    known = F.lit(True) if label_col is None else vectors[label_col].isNotNull()
-    base = vectors.select(vectors[id_col].cast("long").alias("id"), label.cast("long").alias("label"), vectors[vector_col].alias("vector"), known.alias("known"))
-    hashed = base.where("id is not null and known and vector is not null").select("id", "label", "vector").mapInArrow(lambda it: _hashed(it, single), "id long, label long, keys array<long>, vector binary")
-    hashed = written(hashed, "p-stable")
-    folded = hashed.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    folded = written(folded.where("rep is not null"), "p-stable-folded")
-    copies = hashed.select("id", "label", "vector").join(folded.where("n > 1").select("label", "vector", "rep", "n"), ["label", "vector"]).select("id", "rep", "n")
+    kind, plain = vectors.schema[vectors.columns[int(place(vectors, id_col)[1:])]].dataType, numbered(vectors)
+    vector = place(vectors, vector_col)
+    single = plain.schema[vector].dataType.elementType.simpleString() == "float"
+    label = F.lit(0) if label_col is None else F.xxhash64(place(vectors, label_col))
+    known = F.col(place(vectors, id_col)).isNotNull() & (F.lit(True) if label_col is None else F.col(place(vectors, label_col)).isNotNull())
+    base = plain.select(F.col(place(vectors, id_col)).cast("long").alias("id"), label.cast("long").alias("label"), F.when(known, F.col(vector)).alias("vector"))
+    hashed = written(base.mapInArrow(lambda it: _hashed(it, single), "id long, label long, keys array<long>, vector binary"), "p-stable")
+    usable = hashed.where("vector is not null")
+    folded = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    folded = written(folded.withColumn("vid", F.monotonically_increasing_id()), "p-stable-folded")
 
     marks = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))  # half of each key tells whether a pair has met before
-    dealt = folded.select(F.col("rep").alias("id"), "label", "n", marks.alias("keys"), "vector", F.length("vector").alias("dim"), F.posexplode("keys").alias("table", "key"))
+    dealt = folded.select(F.col("vid").alias("id"), "label", "n", marks.alias("keys"), "vector", F.length("vector").alias("dim"), F.posexplode("keys").alias("table", "key"))
     bucket = ["table", "label", "key", "dim"]
     large = dealt.groupBy(*bucket).agg(F.count("*").alias("rows")).where(f"rows > {BLOCK}").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     dealt = dealt.join(large.drop("rows"), bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -181,14 +185,20 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     dealt = dealt.repartition(2 * parts, *bucket, "left", "right").sortWithinPartitions(*bucket, "left", "right", "side")
     found = written(dealt.mapInArrow(lambda it: _linked(it, cosine, single), "a long, b long, n long"), "p-stable-links")
 
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rep")
-    edges = found.where("b is not null").select("a", "b").distinct().unionByName(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
-    classes = components(edges)
-    reps = folded.select("rep", "n").join(counts, "rep", "left")
-    own = reps.where("n = 1").select(F.col("rep").alias("id"), F.coalesce("more", F.lit(0)).alias("links"))
-    own = own.unionByName(copies.join(counts, "rep", "left").select("id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links")))
-    own = own.groupBy("id").agg(F.max("links").alias("links"))
-    kind = vectors.schema[id_col].dataType
-    out = base.select("id").join(own, "id", "left").join(classes.withColumnRenamed("component", "component_id"), "id", "left")
-    out = out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "vid")
+    classes = components(found.where("b is not null").select("a", "b").distinct()).withColumnRenamed("id", "vid")
+    least = classes.join(folded.select("vid", "rep"), "vid").groupBy("component").agg(F.min("rep").alias("least"))
+    # a class may hold a third of all vectors: its rows are salted, its least id goes to every salt
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = classes.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"]).select("vid", "least")
+    each = folded.select("vid", "label", "vector", "rep", "n").join(counts, "vid", "left").join(classes, "vid", "left")
+    each = each.select("label", "vector", "rep", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("least", "rep").alias("component"))
+    each = written(each, "p-stable-vectors")
+    discard(found)
+    discard(folded)
+
+    ones = each.where("n = 1").select(F.col("rep").alias("id"), "links", "component")
+    copies = usable.select("id", "label", "vector").join(each.where("n > 1").drop("rep", "n"), ["label", "vector"]).select("id", "links", "component")
+    others = hashed.where("vector is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    out = ones.unionByName(copies).unionByName(others)
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -67,11 +67,11 @@ WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, embeddin
 ok AS (
   SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
   AND len(list_filter(e, lambda x: x <> 0)) > 0),
-pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
-walk(id, c) AS (SELECT DISTINCT vec_id, vec_id FROM v WHERE vec_id IS NOT NULL UNION SELECT p.b, w.c FROM walk w JOIN pairs p ON p.a = w.id),
+pairs AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+walk(id, c) AS (SELECT rid, vec_id FROM v WHERE vec_id IS NOT NULL UNION SELECT p.b, w.c FROM walk w JOIN pairs p ON p.a = w.id),
 comp AS (SELECT id, min(c) AS c FROM walk GROUP BY 1),
 links AS (SELECT a, count(*) AS n FROM pairs GROUP BY 1)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, coalesce(vec_id = c, TRUE) AS kept FROM v LEFT JOIN comp ON vec_id = id LEFT JOIN links ON vec_id = a
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, coalesce(vec_id = c, TRUE) AS kept FROM v LEFT JOIN comp ON rid = id LEFT JOIN links ON rid = a
 """
 
 

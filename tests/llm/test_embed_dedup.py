@@ -10,24 +10,26 @@ from meshlark.llm.embed_dedup import BLOCK, embedding_duplicates
 
 def brute(rows, least=0.93):
     ok = [i for i, (d, v, lab) in enumerate(rows) if d is not None and lab is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    parent, links = {d: d for d, _, _ in rows if d is not None}, dict.fromkeys((d for d, _, _ in rows), 0)
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
     for k, i in enumerate(ok):
         for j in ok[k + 1 :]:
-            (a, u, la), (b, v, lb) = rows[i], rows[j]
+            (_, u, la), (_, v, lb) = rows[i], rows[j]
             if la == lb and len(u) == len(v):
                 u, v = np.array(u, np.float64), np.array(v, np.float64)
                 if u @ v / math.sqrt((u @ u) * (v @ v)) >= least:
-                    links[a] += 1
-                    links[b] += 1
-                    ra, rb = root(a), root(b)
-                    parent[max(ra, rb)] = min(ra, rb)
-    return sorted(((d, links[d], root(d)) if d is not None else (None, 0, None) for d, _, _ in rows), key=repr)
+                    links[i] += 1
+                    links[j] += 1
+                    parent[root(j)] = root(i)
+    smallest = {}
+    for i, (d, _, _) in enumerate(rows):
+        smallest[root(i)] = d if d is None else min(d, smallest.get(root(i), d))
+    return sorted(((d, links[i], smallest[root(i)]) for i, (d, _, _) in enumerate(rows)), key=repr)
 
 
 def run(df):
@@ -68,3 +70,18 @@ def test_whole_table(spark):
     np.fill_diagonal(near, False)
     want = dict(zip(rows.vec_id.tolist(), near.sum(1).tolist(), strict=True))
     assert {i: n for i, n, _ in run(df)} == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(8)
+    v, w, u = ([float(np.float32(x)) for x in rng.standard_normal(16)] for _ in range(3))
+    near = [float(np.float32(x + 0.01)) for x in v]
+    rows = [(5, v, 1), (5, v, 1), (7, w, 1), (9, u, 1), (9, w, 1), (3, near, 1), (5, u, 2), (4, None, 1), (4, near, 1), (4, near, 1), (None, v, 1)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")) == brute(rows)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rows = [("x", 1, [1.0, 0.0], 1, 2, "k", 3, 4), ("y", 2, [1.0, 0.01], 1, 2, "k", 3, 4), ("z", 3, [0.0, 1.0], 1, 2, "k", 3, 4)]
+    df = spark.createDataFrame(rows, "id string, vec_id int, embedding array<double>, label int, vid int, vector string, n int, n_links int")
+    got = embedding_duplicates(df)
+    assert got.schema["vec_id"].dataType.simpleString() == "int" and run(df) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
