@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meshlark.operators import buckets as K
 from meshlark.operators import cohorts as C
 from meshlark.operators import mesh as M
 from meshlark.operators import metrics as E
@@ -15,8 +16,9 @@ from meshlark.operators import selection as S
 from meshlark.operators import stats as A
 from meshlark.operators import trace as T
 from meshlark.operators import windows as W
+from meshlark.operators.lineage import cut
 from meshlark.plans import views as V
-from meshlark.plans.registry import BAL, FIELD_IN, GRID, MAX_LEVEL, MEANS, TILE, TREE, TWO, N, csv, field_mesh, leaves_sql, query, rounded, smooth_mesh
+from meshlark.plans.registry import BAL, FIELD_IN, GRID, IN_SQL, MAX_LEVEL, MEANS, TILE, TREE, TWO, N, csv, field_mesh, leaves_sql, query, rounded, smooth_mesh
 from meshlark.plans.views import load, with_views
 from meshlark.sources import topology_store, trajectories
 
@@ -368,6 +370,60 @@ def _(spark, d):
     return NV.stitched(f, leaf, TREE, TILE, MAX_LEVEL).groupBy("tree", "t", "channel", "level").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
 
 
+# ---- batches by level ----------------------------------------------------------------------------
+
+DECIDING = "decide AS (SELECT tree, x, y, v FROM fields WHERE t = 1 AND channel = 'F')," + IN_SQL.format(t="tree", f="decide", tol=0.6) + "," + leaves_sql("inner0", "leaf", "tree")
+
+
+@query("r6_batch_layout", with_views(DECIDING + """,
+z AS (SELECT *, (SELECT sum(((((ix << (3 - level)) >> b) & 1) << (2 * b)) + ((((iy << (3 - level)) >> b) & 1) << (2 * b + 1))) FROM range(16) t(b)) AS m FROM leaf),
+n AS (SELECT tree, level, ix, iy, row_number() OVER (PARTITION BY tree ORDER BY m) - 1 AS leaf, row_number() OVER (PARTITION BY tree ORDER BY level, m) - 1 AS slot FROM z)
+SELECT tree, level, leaf, slot, channel, t, round(avg(v), 4) AS v FROM fields JOIN n USING (tree) WHERE ix = x // (32 >> level) AND iy = y // (32 >> level) GROUP BY ALL
+""", "fields"))
+def _(spark, d):
+    f = V.fields(spark, d)
+    decide = f.where("t = 1 AND channel = 'F'")
+    leaf = cut(M.leaves(M.adapt(decide, TREE, TILE, MAX_LEVEL, 0.6), M.roots(decide.select(*TREE).distinct(), TREE, N, N), TREE))
+    mapped = cut(K.inverse(K.mapping(leaf, TREE, MAX_LEVEL), TREE, MAX_LEVEL))
+    means = M.covering(f, leaf, TREE, TILE, MAX_LEVEL).groupBy(*TREE, *M.CELL, "channel", "t").agg(F.avg("v").alias("v"))
+    by_leaf = means.join(mapped.select(*TREE, *M.CELL, "leaf"), [*TREE, *M.CELL]).select(*TREE, "leaf", "channel", "t", "v")
+    back = K.to_leaves(K.to_buckets(by_leaf, mapped, TREE), mapped, TREE)
+    return back.join(mapped.select(*TREE, "leaf", "level", "slot"), [*TREE, "leaf"]).select("tree", "level", "leaf", "slot", "channel", "t", F.round("v", 4).alias("v"))
+
+
+#: Mappings of orders to three levels, some of them wrong.
+MAPPED = "SELECT l_orderkey AS tree, CAST(l_linenumber % 3 + CASE WHEN l_partkey % 13 = 0 THEN 3 ELSE 0 END AS INT) AS level, CAST(l_linenumber - 1 - CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS leaf, CAST(floor((l_linenumber - 1) / 3) + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS position FROM lineitem"
+
+
+@query("r6_mapping_faults", f"""
+WITH m AS ({MAPPED}), g AS (SELECT * FROM m WHERE level BETWEEN 0 AND 2 AND leaf >= 0),
+s AS (SELECT tree, count(*) - count(DISTINCT position) AS shared, max(position) + 1 - count(DISTINCT position) AS missing FROM g GROUP BY tree, level),
+f AS (SELECT tree, 'invalid' AS fault, count(*) AS n FROM m WHERE NOT (level BETWEEN 0 AND 2 AND leaf >= 0) GROUP BY 1
+  UNION ALL SELECT tree, 'shared leaf', count(*) - count(DISTINCT leaf) FROM g GROUP BY 1 UNION ALL SELECT tree, 'missing leaf', max(leaf) + 1 - count(DISTINCT leaf) FROM g GROUP BY 1
+  UNION ALL SELECT tree, 'shared slot', sum(shared) FROM s GROUP BY 1 UNION ALL SELECT tree, 'missing slot', sum(missing) FROM s GROUP BY 1)
+SELECT tree, fault, n::BIGINT AS rows FROM f WHERE n > 0
+""")
+def _(spark, d):
+    return K.mapping_faults(spark.sql(MAPPED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, d, "lineitem")), TREE, 2)
+
+
+#: Pixels of buckets: what was shipped before 1996 is input, the rest target.
+PIXELS = "SELECT l_suppkey AS tree, CAST(l_linenumber % 3 AS INT) AS level, l_partkey % 3 AS position, l_linestatus AS channel, CAST(l_orderkey % 9 AS INT) AS px, CAST(l_partkey % 4 AS INT) AS py, l_shipdate < DATE '1996-01-01' AS input FROM lineitem"
+
+
+@query("r6_payload_faults", f"""
+WITH p AS ({PIXELS}), b AS (SELECT tree, level, position, channel, px, py, count(*) FILTER (WHERE input) AS i, count(*) FILTER (WHERE NOT input) AS o FROM p GROUP BY ALL),
+c AS (SELECT *, max(i) OVER w AS mi, max(o) OVER w AS mo, 2 << (2 - level) AS side FROM b WINDOW w AS (PARTITION BY tree, level)),
+q AS (SELECT tree, level, position, channel, greatest(any_value(side * side) - count(*), 0) AS short FROM c GROUP BY ALL),
+f AS (SELECT tree, level, unnest(['no target', 'no input', 'wrong side', 'ragged times']) AS fault, unnest([count(*) FILTER (WHERE o = 0), count(*) FILTER (WHERE i = 0), count(*) FILTER (WHERE px >= side OR py >= side), count(*) FILTER (WHERE (i > 0 AND i < mi) OR (o > 0 AND o < mo))]) AS n FROM c GROUP BY 1, 2
+  UNION ALL SELECT tree, level, 'missing pixels', sum(short) FROM q GROUP BY 1, 2)
+SELECT tree, level, fault, n::BIGINT AS rows FROM f WHERE n > 0
+""")
+def _(spark, d):
+    p = spark.sql(PIXELS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, d, "lineitem"))
+    return K.payload_faults(p.where("input"), p.where("NOT input"), TREE, 2, patch=2)
+
+
 # ---- patches on regular grids --------------------------------------------------------------------
 
 #: Boxes of three levels in each of the frames p_size: corners in cells of their own level.
