@@ -93,8 +93,10 @@ def lp_loss(pairs: DataFrame, keys: list[str], p: int = 2, relative: bool = Fals
 
 
 def masked_mse(pairs: DataFrame, keys: list[str], mask: str, x: str = "prediction", y: str = "target") -> DataFrame:
+    """Mean square error under the mask, in one pass; keys with nothing under it have no row."""
     m = F.col(mask).cast("double")
-    return pairs.groupBy(*keys).agg((F.sum(m * F.pow(F.col(x) - F.col(y), F.lit(2.0))) / F.sum(m)).alias("loss"))
+    sums = pairs.groupBy(*keys).agg(F.sum(m * F.pow(F.col(x) - F.col(y), F.lit(2.0))).alias("loss"), F.sum(m).alias("_m"))
+    return sums.where("_m > 0").select(*keys, (F.col("loss") / F.col("_m")).alias("loss"))
 
 
 def relative_difference(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:

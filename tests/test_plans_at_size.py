@@ -3,6 +3,7 @@
 import pytest
 from conftest import DATA
 
+from meshlark.operators.metrics import masked_mse
 from meshlark.plans import registry
 
 
@@ -20,3 +21,12 @@ def plans(spark, name):
 def test_steps_are_distinct_before_they_meet(spark):
     logical, _ = plans(spark, "j17_common_steps")
     assert logical[logical.index("Join") :].count("Aggregate") == 2
+
+
+def test_masked_error_needs_no_join_on_its_keys(spark):
+    assert "LeftSemi" not in plans(spark, "a39_masked_mse")[0]
+
+
+def test_keys_with_nothing_under_the_mask_have_no_row(spark):
+    pairs = spark.createDataFrame([("a", True, 1.0, 3.0), ("a", False, 9.0, 0.0), ("b", False, 1.0, 1.0)], "k string, m boolean, prediction double, target double")
+    assert [tuple(r) for r in masked_mse(pairs, ["k"], "m").collect()] == [("a", 4.0)]
