@@ -40,14 +40,17 @@ def weighted_quantile(values: DataFrame, q: float, keys: list[str], v: str = "v"
 
 
 def standardize(values: DataFrame, stats: DataFrame, eps: float = 0.0, field: str = "field", v: str = "v") -> DataFrame:
-    """(v - mean) / (std + eps) by field; a field without statistics raises when it is read."""
-    joined = values.join(stats.select(field, "mean", "std"), field, "left")
+    """(v - mean) / (std + eps) by field; a field without statistics raises when it is read.
+
+    stats, one row a field, goes to all tasks: fields are few, and a shuffle would put each whole into one task.
+    """
+    joined = values.join(F.broadcast(stats.select(field, "mean", "std")), field, "left")
     checked = F.when(F.col("mean").isNull(), F.raise_error(F.concat(F.lit("no statistics for field "), F.col(field))).cast("double")).otherwise((F.col(v) - F.col("mean")) / (F.col("std") + eps))
     return joined.withColumn(v, checked).drop("mean", "std")
 
 
 def destandardize(values: DataFrame, stats: DataFrame, eps: float = 0.0, field: str = "field", v: str = "v") -> DataFrame:
-    return values.join(stats.select(field, "mean", "std"), field).withColumn(v, F.col(v) * (F.col("std") + eps) + F.col("mean")).drop("mean", "std")
+    return values.join(F.broadcast(stats.select(field, "mean", "std")), field).withColumn(v, F.col(v) * (F.col("std") + eps) + F.col("mean")).drop("mean", "std")
 
 
 def merge_energy(values: DataFrame, keys: list[str], prefix: str = "energy_", name: str = "energy", field: str = "field", v: str = "v") -> DataFrame:

@@ -30,3 +30,8 @@ def test_masked_error_needs_no_join_on_its_keys(spark):
 def test_keys_with_nothing_under_the_mask_have_no_row(spark):
     pairs = spark.createDataFrame([("a", True, 1.0, 3.0), ("a", False, 9.0, 0.0), ("b", False, 1.0, 1.0)], "k string, m boolean, prediction double, target double")
     assert [tuple(r) for r in masked_mse(pairs, ["k"], "m").collect()] == [("a", 4.0)]
+
+
+@pytest.mark.parametrize("name", ["p4_standardize", "p5_destandardize"])
+def test_statistics_go_to_the_values(spark, name):
+    assert "SortMergeJoin" not in plans(spark, name)[1]
