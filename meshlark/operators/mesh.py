@@ -282,14 +282,31 @@ def patch_internals(patches: DataFrame, keys: list[str], tile: int, max_level: i
     return out.select(*keys, "level", "ix", F.explode("_ys").alias("iy")).distinct()
 
 
+def precedence(rows: DataFrame, tie: str, last: bool = False) -> Column:
+    """What the winner among rows has most of: the finest level, of equals the least tie, or the last.
+
+    Where level and tie are whole numbers this is one decimal, so that max_by runs in a hash table with a
+    row a group; a struct, which takes any type, makes Spark sort all rows that compete. Nulls lose.
+    """
+    kinds = dict(rows.dtypes)
+    if not {kinds["level"], kinds[tie]} <= {"tinyint", "smallint", "int", "bigint"}:
+        return F.struct(F.col("level"), F.col(tie) if last else -F.col(tie))
+    at = F.col(tie).cast("decimal(19,0)") * (1 if last else -1)
+    deep = F.coalesce(F.col("level").cast("decimal(17,0)"), F.lit(-(10**17) + 1).cast("decimal(17,0)"))
+    return (deep * F.lit("20000000000000000000").cast("decimal(20,0)") + F.coalesce(at, F.lit("-9300000000000000000").cast("decimal(19,0)"))).cast("decimal(38,0)")
+
+
 def finest_wins(patches: DataFrame, keys: list[str], tie: str = "patch_id", v: str = "v") -> DataFrame:
     """Every pixel that patches cover with the value of the finest patch, the first of equals: (keys, x, y, v).
 
-    Patches write their pixels and max_by keeps one for each, combined before the shuffle.
+    Of patches with the same box one wins everywhere, so these compete before pixels are written; max_by
+    keeps one for each pixel, combined before the shuffle.
     """
-    out = patches.select(*keys, "level", tie, v, "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
-    out = out.select(*keys, "level", tie, v, "x", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
-    return out.groupBy(*keys, "x", "y").agg(F.max_by(v, F.struct(F.col("level"), -F.col(tie))).alias(v))
+    box = ["x0", "x1", "y0", "y1"]
+    won = patches.withColumn("_first", precedence(patches, tie)).groupBy(*keys, *box).agg(F.max_by(v, "_first").alias(v), F.max("_first").alias("_first"))
+    out = won.select(*keys, "_first", v, "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+    out = out.select(*keys, "_first", v, "x", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
+    return out.groupBy(*keys, "x", "y").agg(F.max_by(v, "_first").alias(v))
 
 
 def refine_where(leaf: DataFrame, predicate: Column, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from conftest import DATA
 
 from meshlark.operators.metrics import masked_mse
+from meshlark.operators.mesh import precedence
 from meshlark.plans import registry
 
 
@@ -35,3 +36,16 @@ def test_keys_with_nothing_under_the_mask_have_no_row(spark):
 @pytest.mark.parametrize("name", ["p4_standardize", "p5_destandardize"])
 def test_statistics_go_to_the_values(spark, name):
     assert "SortMergeJoin" not in plans(spark, name)[1]
+
+
+@pytest.mark.parametrize("name", ["j6_finest_patch_wins", "j7_patches_to_grid"])
+def test_pixels_compete_in_a_hash_table(spark, name):
+    assert "SortAggregate" not in plans(spark, name)[1]
+
+
+def test_precedence_by_level_then_tie_with_nulls_last(spark):
+    rows = [(0, 9, 1.0), (2, 2**63 - 1, 2.0), (2, -(2**63), 3.0), (None, 5, 4.0), (2, None, 5.0)]
+    df = spark.createDataFrame(rows, "level int, patch_id long, v double")
+    for last in (False, True):
+        got = [r["v"] for r in df.orderBy(precedence(df, "patch_id", last).desc()).collect()]
+        assert got == ([2.0, 3.0, 5.0, 1.0, 4.0] if last else [3.0, 2.0, 5.0, 1.0, 4.0])
