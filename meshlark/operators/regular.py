@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.operators.mesh import precedence
+
 
 def geometry(patches: DataFrame, frame: list[str], target_level: int, box_from: str = "domain") -> DataFrame:
     """(frame, gx0, gy0, gx1, gy1): the grid over a frame's boxes, in cells of the target level.
@@ -20,15 +22,19 @@ def geometry(patches: DataFrame, frame: list[str], target_level: int, box_from:
     """
     if box_from not in ("domain", "finest"):
         raise ValueError(f"unknown box_from {box_from}")
-    deepest = patches.groupBy(*frame).agg(F.max("level").alias("_deepest"), F.bool_or(F.col("level") == target_level).alias("_has"))
-    own = patches.join(deepest, frame).where("_has")
-    if box_from == "finest":
-        own = own.where("level = _deepest")
+    # first the corners of each level, few rows; within one, scaling keeps the order
+    ends = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     scale = F.pow(F.lit(2.0), F.lit(target_level) - F.col("level"))
-    return own.groupBy(*frame).agg(
-        *[F.round(F.min(F.col(c) * scale)).cast("int").alias(f"g{c}") for c in ("x0", "y0")],
-        *[F.round(F.max(F.col(c) * scale)).cast("int").alias(f"g{c}") for c in ("x1", "y1")],
-    )
+    levels = patches.groupBy(*frame, "level").agg(*[end(c).alias(c) for c, end in ends.items()])
+    pick = (lambda c, end: end(F.col(c) * scale)) if box_from == "domain" else (lambda c, end: F.max_by(F.col(c) * scale, "level"))
+    out = levels.groupBy(*frame).agg(F.bool_or(F.col("level") == target_level).alias("_has"), *[F.round(pick(c, end)).cast("int").alias(f"g{c}") for c, end in ends.items()])
+    return out.where("_has").drop("_has")
+
+
+def boxes(patches: DataFrame, frame: list[str], order: str, v: str) -> DataFrame:
+    """(frame, level, x0, y0, x1, y1, _last, v): of a frame's patches with the same box the one that wins its cells."""
+    ranked = patches.withColumn("_last", precedence(patches, order, last=True))
+    return ranked.groupBy(*frame, "level", "x0", "y0", "x1", "y1").agg(F.max_by(v, "_last").alias(v), F.max("_last").alias("_last"))
 
 
 def on_grid(patches: DataFrame, grid: DataFrame, frame: list[str], target_level: int, order: str = "patch_id", v: str = "v") -> DataFrame:
@@ -40,7 +46,12 @@ def on_grid(patches: DataFrame, grid: DataFrame, frame: list[str], target_level:
     does not fill give nothing. Where several patches cover a cell, the finest wins, and of equals the
     last in ``order``. Cells that none covers are not returned.
     """
-    cells = patches.join(grid, frame)
+    return placed(boxes(patches, frame, order, v), grid, frame, target_level, v)
+
+
+def placed(won: DataFrame, grid: DataFrame, frame: list[str], target_level: int, v: str = "v") -> DataFrame:
+    """on_grid() for boxes() of patches."""
+    cells = won.join(grid, frame)
     d = F.col("level") - F.lit(target_level)
     finer, coarser = F.expr(f"shiftleft(1, greatest(0, level - {target_level}))"), F.expr(f"shiftleft(1, greatest(0, {target_level} - level))")
 
@@ -54,10 +65,10 @@ def on_grid(patches: DataFrame, grid: DataFrame, frame: list[str], target_level:
     keep = cells.withColumns({
         "_ax": F.greatest(ax, F.col("gx0")), "_bx": F.least(bx, F.col("gx1") - 1), "_ay": F.greatest(ay, F.col("gy0")), "_by": F.least(by, F.col("gy1") - 1),
     }).where("_bx >= _ax and _by >= _ay")
-    rows = keep.select(*frame, "level", order, v, "gx0", "gy0", "_ay", "_by", F.explode(F.sequence("_ax", "_bx")).alias("_x"))
-    rows = rows.select(*frame, "level", order, v, (F.col("_x") - F.col("gx0")).alias("x"), F.explode(F.sequence("_ay", "_by")).alias("_y"), "gy0")
+    rows = keep.select(*frame, "_last", v, "gx0", "gy0", "_ay", "_by", F.explode(F.sequence("_ax", "_bx")).alias("_x"))
+    rows = rows.select(*frame, "_last", v, (F.col("_x") - F.col("gx0")).alias("x"), F.explode(F.sequence("_ay", "_by")).alias("_y"), "gy0")
     rows = rows.withColumn("y", F.col("_y") - F.col("gy0"))
-    return rows.groupBy(*frame, "x", "y").agg(F.max_by(v, F.struct("level", order)).alias(v))
+    return rows.groupBy(*frame, "x", "y").agg(F.max_by(v, "_last").alias(v))
 
 
 def cells_on_grid(cells: DataFrame, grid: DataFrame, frame: list[str], target_level: int, order: str = "patch_id", v: str = "v") -> DataFrame:
@@ -89,9 +100,9 @@ def window_frames(windows: DataFrame, patches: DataFrame, target_level: int, fra
     listed = lambda role: windows.select("window", F.try_element_at("inputs", F.lit(-1)).alias("reference"), F.lit(role[:-1]).alias("role"), F.posexplode(role).alias("slot", frame))
     slots = listed("inputs").unionByName(listed("targets"))
     references = windows.select(F.try_element_at("inputs", F.lit(-1)).alias(frame)).distinct()
-    grid = geometry(patches.join(references, frame, "left_semi"), [frame], target_level, box_from).withColumnRenamed(frame, "reference")
+    grid = geometry(patches, [frame], target_level, box_from).join(references, frame, "left_semi").withColumnRenamed(frame, "reference")
     pairs = slots.select("reference", frame).distinct()
-    held = on_grid(patches.join(pairs, frame), grid.join(pairs, "reference"), ["reference", frame], target_level, order, v)
+    held = placed(boxes(patches, [frame], order, v).join(pairs, frame), grid.join(pairs, "reference"), ["reference", frame], target_level, v)
     every = grid.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("gx1") - F.col("gx0") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("gy1") - F.col("gy0") - 1)))
     full = slots.join(every.select("reference", "x", "y"), "reference").join(held, ["reference", frame, "x", "y"], "left")
     return full.select("window", "role", "slot", "x", "y", F.coalesce(v, F.lit(0.0)).alias(v))

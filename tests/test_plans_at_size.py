@@ -49,3 +49,7 @@ def test_precedence_by_level_then_tie_with_nulls_last(spark):
     for last in (False, True):
         got = [r["v"] for r in df.orderBy(precedence(df, "patch_id", last).desc()).collect()]
         assert got == ([2.0, 3.0, 5.0, 1.0, 4.0] if last else [3.0, 2.0, 5.0, 1.0, 4.0])
+
+
+def test_patches_compete_in_a_hash_table(spark):
+    assert "SortAggregate" not in plans(spark, "s10_frames_on_last_input")[1]
