@@ -84,9 +84,11 @@ def cells_on_grid(cells: DataFrame, grid: DataFrame, frame: list[str], target_le
     first = lambda a: F.floor(F.col(a) / finer).cast("int")
     blocks = blocks.groupBy(*frame, order, "level", (first("x0") + at("x", "x0")).alias("_bx"), (first("y0") + at("y", "y0")).alias("_by")).agg(F.avg(v).alias(v))
     spread = lambda c: F.explode(F.sequence(F.col(c) * coarser, F.col(c) * coarser + coarser - 1))
-    rows = blocks.join(grid, frame).withColumn("_x", spread("_bx")).withColumn("_y", spread("_by"))
-    rows = rows.where("_x >= gx0 and _x < gx1 and _y >= gy0 and _y < gy1")
-    return rows.groupBy(*frame, (F.col("_x") - F.col("gx0")).alias("x"), (F.col("_y") - F.col("gy0")).alias("y")).agg(F.max_by(v, F.struct("level", order)).alias(v))
+    # cells compete before they meet the grid: what is joined has a row for each cell, however many patches cover it
+    rows = blocks.withColumn("_last", precedence(blocks, order, last=True)).withColumn("_x", spread("_bx")).withColumn("_y", spread("_by"))
+    won = rows.groupBy(*frame, "_x", "_y").agg(F.max_by(v, "_last").alias(v))
+    kept = won.join(grid, frame).where("_x >= gx0 and _x < gx1 and _y >= gy0 and _y < gy1")
+    return kept.select(*frame, (F.col("_x") - F.col("gx0")).alias("x"), (F.col("_y") - F.col("gy0")).alias("y"), v)
 
 
 def window_frames(windows: DataFrame, patches: DataFrame, target_level: int, frame: str = "frame_id", order: str = "patch_id", v: str = "v", box_from: str = "domain") -> DataFrame:

@@ -53,3 +53,9 @@ def test_precedence_by_level_then_tie_with_nulls_last(spark):
 
 def test_patches_compete_in_a_hash_table(spark):
     assert "SortAggregate" not in plans(spark, "s10_frames_on_last_input")[1]
+
+
+def test_cells_compete_before_they_meet_the_grid(spark):
+    logical, physical = plans(spark, "j7_regular_grid")
+    assert "SortAggregate" not in physical
+    assert "max_by" in logical[logical.index("Join") :]
