@@ -97,7 +97,7 @@ def neighbours(leaf: DataFrame, keys: list[str], max_level: int) -> DataFrame:
     edge = leaf.select(*keys, *CELL, s.alias("_s"), F.explode(faces).alias("f")).select(*keys, *CELL, "f.side", "f.axis", "f.line", F.explode(F.sequence(F.col("f.low"), F.col("f.low") + F.col("_s") - 1)).alias("at"))
     met = {"W": "E", "E": "W", "S": "N", "N": "S"}
     other = edge.select(*keys, F.col("level").alias("nlevel"), F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.create_map(*[F.lit(x) for kv in met.items() for x in kv])[F.col("side")].alias("side"), "axis", "line", "at")
-    return edge.join(other, [*keys, "side", "axis", "line", "at"]).select(*keys, *CELL, "nlevel", "nx", "ny", "side").distinct()
+    return edge.join(other.hint("merge"), [*keys, "side", "axis", "line", "at"]).select(*keys, *CELL, "nlevel", "nx", "ny", "side").distinct()
 
 
 def expand_fine(internal: DataFrame, base: DataFrame, keys: list[str], nx: int, ny: int, max_level: int, layers: int) -> DataFrame:
@@ -176,21 +176,49 @@ def export(leaf: DataFrame, keys: list[str], nx: int, ny: int, max_level: int) -
 
 
 def covering(points: DataFrame, leaf: DataFrame, keys: list[str], tile: int, max_level: int) -> DataFrame:
-    """Each pixel (x, y) with the leaf that holds it: both sides meet on the cell at each level that has leaves.
+    """Each pixel (x, y) with the leaf that holds it, joined by equality; exactly one meets a leaf.
 
-    The pixel is written once a level (a few rows) and joined by equality; exactly one meets a leaf.
+    Leaves write the cells of the finest level under them, and both sides meet on those: a pixel stays one
+    row, and leaves have no more rows than the finest grid. Where the tile does not divide into the finest
+    level, pixels are written once a level instead and meet on the cell at each. The join is sort-merge:
+    both sides are written out here or by the caller, and Spark would take their sizes before that.
     """
-    side = F.expr(f"shiftright({tile}, level)")
-    at = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level)))).withColumns({"ix": F.floor(F.col("x") / side).cast("int"), "iy": F.floor(F.col("y") / side).cast("int")})
-    return at.join(leaf.select(*keys, *CELL), [*keys, *CELL])
+    if tile % (1 << max_level):
+        side = F.expr(f"shiftright({tile}, level)")
+        at = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level)))).withColumns({"ix": F.floor(F.col("x") / side).cast("int"), "iy": F.floor(F.col("y") / side).cast("int")})
+        return at.join(leaf.select(*keys, *CELL).hint("merge"), [*keys, *CELL])
+    finest = lambda c: F.floor(F.col(c) / (tile >> max_level)).cast("int")
+    at = points.withColumns({"_fx": finest("x"), "_fy": finest("y")})
+    return at.join(finest_cells(leaf, keys, max_level).hint("merge"), [*keys, "_fx", "_fy"]).drop("_fx", "_fy")
 
 
-def leaf_means(field: DataFrame, leaf: DataFrame, keys: list[str], tile: int, max_level: int, patch: int = 1, v: str = "v") -> DataFrame:
-    """Block means of each leaf over patch x patch sub-pixels (px, py)."""
-    held = covering(field, leaf, keys, tile, max_level)
+def finest_cells(leaf: DataFrame, keys: list[str], max_level: int) -> DataFrame:
+    """(keys, cell, _fx, _fy): leaves with each cell of the finest level under them."""
+    n = F.expr(f"shiftleft(1, {max_level} - level)")
+    span = lambda c: F.sequence(F.col(c) * n, F.col(c) * n + n - 1)
+    out = leaf.where(F.col("level").between(0, max_level)).select(*keys, *CELL, F.explode(span("ix")).alias("_fx"))
+    return out.select("*", F.explode(span("iy")).alias("_fy"))
+
+
+def leaf_means(field: DataFrame, leaf: DataFrame, keys: list[str], tile: int, max_level: int, patch: int = 1, v: str = "v", more: list[str] | None = None) -> DataFrame:
+    """Block means of each leaf over patch x patch sub-pixels (px, py); ``more`` names frames and channels.
+
+    Where the finest leaf divides into sub-pixels, pixels are added up over those before they meet the leaves.
+    """
+    more = more or []
+    finest = tile >> max_level
+    if tile % (1 << max_level) or finest % patch:
+        held = covering(field, leaf, keys, tile, max_level)
+        sums = [F.avg(v).alias(v)]
+    else:
+        unit = finest // patch
+        part = lambda c: (F.floor(F.col(c) / unit) * unit).cast("int")
+        held = field.groupBy(*keys, *more, part("x").alias("x"), part("y").alias("y")).agg(F.sum(v).alias("_s"), F.count(v).alias("_n"))
+        held = covering(held, leaf, keys, tile, max_level)
+        sums = [F.try_divide(F.sum("_s"), F.sum("_n")).alias(v)]
     sub = F.expr(f"shiftright({tile}, level) / {patch}")
-    part = lambda c, i: F.floor((F.col(c) - F.col(i) * F.expr(f"shiftright({tile}, level)")) / sub).cast("int")
-    return held.groupBy(*keys, *CELL, part("x", "ix").alias("px"), part("y", "iy").alias("py")).agg(F.avg(v).alias(v))
+    place = lambda c, i: F.floor((F.col(c) - F.col(i) * F.expr(f"shiftright({tile}, level)")) / sub).cast("int")
+    return held.groupBy(*keys, *more, *CELL, place("x", "ix").alias("px"), place("y", "iy").alias("py")).agg(*sums)
 
 
 def paint(values: DataFrame, keys: list[str], tile: int, patch: int = 1, v: str = "v") -> DataFrame:

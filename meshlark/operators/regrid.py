@@ -228,10 +228,7 @@ def fill(topology: DataFrame, frames: DataFrame, base: DataFrame, keys: list[str
     """Patches of frames (keys, t, channel, x, y, v) on the leaves of the topology of their keys: one mesh
     serves all frames of a window."""
     leaf = M.refine_only(topology, base, keys)
-    held = M.covering(frames, leaf, keys, tile, max_level)
-    sub = F.expr(f"shiftright({tile}, level) / {n}")
-    part = lambda c, i: F.floor((F.col(c) - F.col(i) * F.expr(f"shiftright({tile}, level)")) / sub).cast("int")
-    return held.groupBy(*keys, "t", "channel", *CELL, part("x", "ix").alias("px"), part("y", "iy").alias("py")).agg(F.avg("v").alias("v"))
+    return M.leaf_means(frames, leaf, keys, tile, max_level, n, more=["t", "channel"])
 
 
 def support(leaf: DataFrame, keys: list[str], width: float, height: float, nx: int, ny: int) -> DataFrame:

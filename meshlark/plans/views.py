@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GRID, TILE, MAX_LEVEL = 64, 32, 3
@@ -69,9 +69,16 @@ def field(spark, d):
 def fields(spark, d):
     """Frames of every supplier: as many trees as the table has suppliers, with its quantities as values."""
     points = spark.sql(FIELD_POINTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, d, "lineitem"))
-    every = F.sequence(F.lit(0), F.lit(GRID - 1))
-    full = points.select("tree", "t", "channel").distinct().withColumn("x", F.explode(every)).withColumn("y", F.explode(every))
-    return full.join(points, ["tree", "t", "channel", "x", "y"], "left").select("tree", "t", "channel", "x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
+    frame = Window.partitionBy("tree", "t", "channel").orderBy("at")
+    points = points.withColumn("at", F.col("x") * GRID + F.col("y"))
+    # each point writes the empty pixels before it, the last one those behind it too: frames are filled
+    # without a join, one side of which would be as large as the grids and look as small as their list
+    before = F.coalesce(F.lag("at").over(frame), F.lit(-1))
+    until = F.when(F.lead("at").over(frame).isNull(), F.lit(GRID * GRID - 1)).otherwise(F.col("at"))
+    runs = points.select("tree", "t", "channel", "at", "v", before.alias("_from"), until.alias("_to"))
+    full = runs.select("tree", "t", "channel", "at", "v", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("p"))
+    v = F.when(F.col("p") == F.col("at"), F.coalesce("v", F.lit(0.0))).otherwise(F.lit(0.0))
+    return full.select("tree", "t", "channel", F.floor(F.col("p") / GRID).cast("int").alias("x"), (F.col("p") % GRID).cast("int").alias("y"), v.alias("v"))
 
 
 def smooth(spark, d):

@@ -2,10 +2,12 @@
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from meshlark.operators.metrics import masked_mse
 from meshlark.operators.mesh import precedence
 from meshlark.plans import registry
+from meshlark.plans import views
 
 
 def plans(spark, name):
@@ -59,3 +61,10 @@ def test_cells_compete_before_they_meet_the_grid(spark):
     logical, physical = plans(spark, "j7_regular_grid")
     assert "SortAggregate" not in physical
     assert "max_by" in logical[logical.index("Join") :]
+
+
+def test_frames_are_filled_without_a_join(spark):
+    df = views.fields(spark, f"{DATA}/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    sizes = df.groupBy("tree", "t", "channel").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("cells"))
+    assert {(r["n"], r["cells"]) for r in sizes.collect()} == {(4096, 4096)}
