@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from meshlark.operators.metrics import masked_mse
 from meshlark.operators.mesh import precedence
+from meshlark.operators import lineage
+from meshlark.operators import mesh as M
 from meshlark.plans import registry
 from meshlark.plans import views
 
@@ -68,3 +70,30 @@ def test_frames_are_filled_without_a_join(spark):
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     sizes = df.groupBy("tree", "t", "channel").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("cells"))
     assert {(r["n"], r["cells"]) for r in sizes.collect()} == {(4096, 4096)}
+
+
+@pytest.mark.parametrize("tile", [8, 6])
+def test_pixels_meet_their_leaf_once(spark, tile):
+    leaf = spark.createDataFrame([(0, 1, x, y) for x in (0, 1) for y in (0, 1) if (x, y) != (1, 1)] + [(0, 2, x, y) for x in (2, 3) for y in (2, 3)], "tree int, level int, ix int, iy int")
+    pixels = spark.range(tile * tile).selectExpr("0 AS tree", f"cast(id % {tile} AS int) AS x", f"cast(id div {tile} AS int) AS y")
+    got = {(r["x"], r["y"]): (r["level"], r["ix"], r["iy"]) for r in M.covering(pixels.where("x < 4 and y < 4"), leaf, ["tree"], tile, 2).collect()}
+    side = [tile, tile >> 1, tile >> 2]
+    want = {}
+    for x in range(4):
+        for y in range(4):
+            for k, i, j in [tuple(r)[1:] for r in leaf.collect()]:
+                if (x // side[k], y // side[k]) == (i, j):
+                    want[x, y] = (k, i, j)
+    assert got == want
+    if tile == 8:
+        plan = M.covering(pixels, leaf, ["tree"], tile, 2)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(0, 2" not in plan
+
+
+def test_large_cut_tables_are_not_broadcast(spark):
+    rows = spark.range(lineage.SMALL + 1).selectExpr("id", "0 AS v")
+    small = lineage.cut(rows.limit(10))
+    large = lineage.cut(rows)
+    other = spark.range(10)
+    assert "BroadcastHashJoin" not in other.join(large, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in rows.join(small, "id")._jdf.queryExecution().executedPlan().toString()
