@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 Vectors are dealt over cells of like direction, whose centres are fitted to a sample of SAMPLE vectors
-at most, and within a cell over shards of about SHARD. Each shard gets a neighbour graph: it starts
+at most, and within a cell over shards of about SHARD. A search looks at little more of a large shard
+than of a small one, so shards are as large as a task can well hold. Each gets a neighbour graph: it starts
 from random blocks and improves by iterated Spark joins of neighbours of neighbours, in which
 everything a vector is linked with, in either direction, meets and is compared. A query goes to the
 shards of its nearest cells, as many as hold the share COVER of the exact neighbours of PROBES sample
 queries, which are compared with every vector. There it searches the graph greedily (it keeps its EF
-best, expands the best that are not expanded), and Spark merges the answers by exact inner product.
+best, expands the best that are not expanded; queries go AT_ONCE side by side), and Spark merges the answers by exact inner product.
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import discard, shuffle_partitions, written
+from meshlark.llm.common import discard, release, shuffle_partitions, written
 from meshlark.llm.embed_dedup import parsed
 
-SHARD, DEGREE, ROUNDS = 4096, 16, 5
+SHARD, DEGREE, ROUNDS = 16_384, 20, 6
 #: Vectors that meet at once around one of them; larger neighbourhoods meet in parts, none is left out.
 HOOD = 40
 #: New neighbours that a vector takes from one meeting; others come up again in the next round.
-TAKEN = 4
-EF, ENTRIES, EXPAND = 128, 48, 8
+TAKEN = 8
+EF, ENTRIES, EXPAND = 160, 48, 8
 #: Vectors that the cells are fitted to, cells at most, sample queries, and the share of their neighbours to reach.
 SAMPLE, CELLS, PROBES, COVER = 16_384, 1024, 256, 0.99
-#: Queries that search a shard in one task.
-BLOCK = 8192
+#: Queries that search a shard in one task: fewest, where there are tasks to spare, and most; and those side by side.
+BLOCKS, AT_ONCE = (1024, 8192), 64
 
 
 def _points(batches, single: bool):
@@ -84,15 +85,13 @@ def _best(found: DataFrame, degree: int) -> DataFrame:
 
 
 def neighbour_graph(points: DataFrame, single: bool, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """(shard, id, near, score): each of points(shard, id, vec) and its neighbours in its shard, as found."""
+    """(id, near, score): each of points(shard, n, id, vec) and its neighbours in its shard of about n, as found."""
     parts = shuffle_partitions(points.sparkSession)
     meet = lambda df, *key: df.repartition(2 * parts, *key).sortWithinPartitions(*key).select(*key, "v", "vec", "bar").mapInArrow(lambda it: _meet(it, single, taken), "id long, near long, score double")
     taken = degree
-    whole = Window.partitionBy("shard")  # a shard is bounded
     half, first = degree // 2, []
     for seed in (0, 1):  # two layouts of random blocks: one alone would leave the blocks unconnected
-        start = points.withColumn("rank", F.row_number().over(whole.orderBy(F.xxhash64("id", F.lit(seed)))) - 1).withColumn("n", F.count("*").over(whole))
-        start = start.withColumn("block", F.floor(F.col("rank") * F.ceil(F.col("n") / (half + 1)) / F.col("n")))
+        start = points.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / (half + 1)).cast("long")))
         first.append(meet(start.select("shard", "block", F.col("id").alias("v"), "vec", F.lit(float("-inf")).alias("bar")), "shard", "block"))
     found = first[0].unionByName(first[1])
     graph, taken, before = written(_best(found, degree).select("id", "near", "score"), "ann-graph"), TAKEN, None
@@ -102,12 +101,13 @@ def neighbour_graph(points: DataFrame, single: bool, degree: int = DEGREE, round
         size = links.groupBy("id").agg(F.ceil(F.count("*") / HOOD).cast("int").alias("blocks")).where("blocks > 1")
         hood = links.join(size, "id", "left").select("id", "v", F.pmod(F.xxhash64("v", F.lit(k)), F.coalesce("blocks", F.lit(1))).alias("block"))
         bars = graph.groupBy("id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        state = points.join(bars, "id", "left").select(F.col("id").alias("v"), "vec", F.when(F.col("n") >= degree, F.col("least")).otherwise(F.lit(float("-inf"))).alias("bar"))
+        state = points.select("id", "vec").join(bars, "id", "left").select(F.col("id").alias("v"), "vec", F.when(F.col("n") >= degree, F.col("least")).otherwise(F.lit(float("-inf"))).alias("bar"))
         found = meet(hood.join(state, "v"), "id", "block")
         then = written(_best(found.unionByName(graph), degree).select("id", "near", "score"), "ann-graph")
         total = then.agg(F.sum("score").alias("s"), F.count("*").alias("n")).first()
         discard(graph)
         graph = then
+        release(points.sparkSession)  # a round's shuffle files are many times the input
         if before is not None and abs((total["s"] or 0.0) - before) < 0.002 * max(1e-9, abs(before)):
             break
         before = total["s"] or 0.0
@@ -193,53 +193,81 @@ def route(points: DataFrame, asked: DataFrame, single: bool, k: int, shard_size:
     return cells, placed, probes
 
 
-def _search(x: np.ndarray, starts: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search: rows of x near q, best first, and their inner products."""
-    seen = np.zeros(len(x), bool)
-    seen[entry] = True
-    beam, score = entry, x[entry] @ q
-    opened = np.zeros(len(beam), bool)
-    while True:
-        if len(beam) > ef:
-            keep = np.lexsort((beam, -score))[:ef]  # rows are in order of id
-            beam, score, opened = beam[keep], score[keep], opened[keep]
-        fresh = np.flatnonzero(~opened)
-        if not len(fresh):
-            order = np.argsort(-score, kind="stable")
-            return beam[order], score[order]
-        if len(fresh) > EXPAND:
-            fresh = fresh[np.argpartition(-score[fresh], EXPAND - 1)[:EXPAND]]
-        opened[fresh] = True
-        new = np.concatenate([links[starts[i] : starts[i + 1]] for i in beam[fresh].tolist()])
-        new = np.unique(new[~seen[new]])
-        if len(new):
-            seen[new] = True
-            beam, score, opened = np.append(beam, new), np.append(score, x[new] @ q), np.append(opened, np.zeros(len(new), bool))
+def _search(x: np.ndarray, starts: np.ndarray, links: np.ndarray, q: np.ndarray, own: np.ndarray, entries: np.ndarray, ef: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Greedy searches side by side: for each row of q the rows of x found near it and their inner products.
+
+    own: a query's own row of x, where its search begins too, or -1.
+    """
+    n, out, live = len(x), [(np.zeros(0, np.int64), np.zeros(0))] * len(q), np.arange(len(q))
+    beam = np.tile(entries, (len(q), 1))
+    mine = np.flatnonzero((own >= 0) & ~np.isin(own, entries))
+    beam = np.hstack([beam, beam[:, :1]])
+    beam[mine, -1] = own[mine]
+    opened = np.zeros(beam.shape, bool)
+    opened[:, -1] = True  # an entry again, but for those with a row of their own
+    opened[mine, -1] = False
+    seen = np.zeros((len(q), n), bool)
+    np.put_along_axis(seen, beam, True, 1)
+    score = np.einsum("qmd,qd->qm", x[beam], q)
+    score[opened] = -np.inf
+    while len(live):
+        if beam.shape[1] > ef:
+            at = np.argpartition(-score, ef - 1, axis=1)[:, :ef]
+            beam, score, opened = (np.take_along_axis(z, at, 1) for z in (beam, score, opened))
+        fresh = np.where(opened, -np.inf, score)
+        width = min(EXPAND, fresh.shape[1])
+        at = np.argpartition(-fresh, width - 1, axis=1)[:, :width]
+        more = ~np.take_along_axis(opened, at, 1)
+        going = more.any(axis=1)
+        for r in np.flatnonzero(~going).tolist():
+            held = score[r] > -np.inf
+            out[live[r]] = beam[r][held], score[r][held]
+        if not going.all():
+            live, beam, score, opened, at, more = (z[going] for z in (live, beam, score, opened, at, more))
+            if not len(live):
+                break
+        np.put_along_axis(opened, at, True, 1)
+        r, c = np.nonzero(more)
+        node = beam[r, at[r, c]]
+        count = starts[node + 1] - starts[node]
+        row, new = np.repeat(r, count), links[np.repeat(starts[node] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        unseen = ~seen[live[row], new]
+        row, new = np.divmod(np.unique(row[unseen] * n + new[unseen]), n)
+        seen[live[row], new] = True
+        size = np.bincount(row, minlength=len(live))
+        place = row, beam.shape[1] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        wider = lambda z, empty: np.hstack([z, np.full((len(live), size.max(initial=0)), empty, z.dtype)])  # noqa: B023, E731
+        beam, score, opened = wider(beam, 0), wider(score, -np.inf), wider(opened, True)
+        beam[place], score[place], opened[place] = new, np.einsum("ij,ij->i", x[new], q[live[row]]), False
+    return out
 
 
 def _answers(shard: pa.Table, queries: pa.Table, single: bool, k: int, ef: int) -> pa.Table:
     out = ([], [], [])
     if shard.num_rows and queries.num_rows:
-        ids, x = shard.column("id").to_numpy(), _stack(shard.column("vec").to_pylist(), single)
+        ids = shard.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
         near = shard.column("near").combine_chunks()
-        counts = np.diff(near.offsets.to_numpy())[order]
-        lists = [near[i].values.to_numpy(zero_copy_only=False) for i in order.tolist()]
-        a = np.repeat(np.arange(len(ids)), counts)
-        b = np.searchsorted(ids, np.concatenate(lists).astype(np.int64)) if counts.sum() else np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.append(a, b), np.append(b, a)]), axis=1)  # in either direction, by first end
-        starts = np.searchsorted(both[0], np.arange(len(ids) + 1))
-        entries = np.unique(np.linspace(0, len(ids) - 1, min(ENTRIES, len(ids))).astype(np.int64))
-        qs = _stack(queries.column("sought").to_pylist(), single)
-        for q, v in zip(queries.column("query").to_numpy(), qs, strict=True):
-            at = int(np.searchsorted(ids, q))
-            entry = np.union1d(entries, [at]) if at < len(ids) and ids[at] == q else entries
-            got, score = _search(x, starts, both[1], v, entry, ef)
-            got = np.lexsort((ids[got], -score))[:k], got, score
-            out[0].append(np.full(len(got[0]), q, np.int64))
-            out[1].append(ids[got[1][got[0]]])
-            out[2].append(got[2][got[0]])
+        a = np.repeat(np.argsort(order), np.diff(near.offsets.to_numpy()))
+        x = _stack(shard.column("vec").to_pylist(), single)[order]
+        ids = ids[order]
+        n, b = len(ids), np.searchsorted(ids, near.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        both = np.unique(np.append(a * n + b, b * n + a))  # in either direction, by first end
+        starts, links = np.searchsorted(both, np.arange(n + 1) * n), both % n
+        del a, b, both
+        entries = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(np.int64))
+        asked, sought = queries.column("query").to_numpy(), queries.column("sought").to_pylist()
+        own = np.minimum(np.searchsorted(ids, asked), n - 1)
+        own = np.where(ids[own] == asked, own, -1)
+        for i in range(0, len(asked), AT_ONCE):
+            few = slice(i, i + AT_ONCE)
+            v = _stack(sought[few], single)
+            for q, w, (at, _) in zip(asked[few].tolist(), v, _search(x, starts, links, v, own[few], entries, ef), strict=True):
+                score = x[at] @ w
+                best = np.lexsort((ids[at], -score))[:k]
+                out[0].append(np.full(len(best), q, np.int64))
+                out[1].append(ids[at[best]])
+                out[2].append(score[best])
     cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
     return pa.Table.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
@@ -254,7 +282,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
 
     Equal vectors are one node, under their least id, and stand for all their ids in the last merge.
     Every row is indexed. A query visits the shards of some cells, by route(); a task holds one shard
-    and BLOCK queries at most.
+    and so many queries at most as BLOCKS says.
     """
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     base = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
@@ -270,9 +298,9 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     cells, placed, probes = route(points, asked, single, k + 1, shard_size)
     discard(points)
     points = placed.select("id", "dim", "vec", F.col("cells")[0].alias("cell"))
-    subs = points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("subs"))
+    subs = points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("subs"), F.count("*").alias("held")).withColumn("n", F.ceil(F.col("held") / F.col("subs")))
     points = points.join(subs, ["dim", "cell"]).withColumn("shard", F.xxhash64("dim", "cell", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")))
-    graph = neighbour_graph(points.select("shard", "id", "vec"), single)
+    graph = neighbour_graph(points.select("shard", "n", "id", "vec"), single)
     lists = graph.groupBy("id").agg(F.collect_list("near").alias("near"))  # DEGREE long at most
     nodes = points.join(lists, "id", "left").select("shard", "id", "vec", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
     sent = asked.mapInArrow(lambda it: _celled(it, cells, single, probes), "id long, dim int, vec binary, cells array<int>")
@@ -280,7 +308,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     sent = sent.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     sent = written(sent.select(F.xxhash64("dim", "cell", "sub").alias("at"), F.col("id").alias("query"), F.col("vec").alias("sought")), "ann-sent")
     discard(asked)
-    blocks = sent.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = min(BLOCKS[1], max(BLOCKS[0], sent.count() // (2 * shuffle_partitions(sent.sparkSession))))
+    blocks = sent.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     queries = sent.join(blocks, "at").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks").cast("long")))
     times = blocks.select(F.col("at").alias("shard"), F.col("blocks").cast("long").alias("times"))
     nodes = nodes.join(times, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("part"), "id", "vec", "near")

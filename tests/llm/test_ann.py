@@ -51,3 +51,23 @@ def test_groups_of_equal_vectors(spark):
     assert len(copies) >= 600 and len(asked) >= 15
     for q in asked:
         assert [got[q][k] for k in range(1, 21)] == [i for i in copies.tolist() if i != q][:20]
+
+
+def test_searches_side_by_side():
+    """Queries in one call find what each finds alone; one without a row of its own, too."""
+    from meshlark.llm.ann import _search
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6))
+    near = np.argsort(-(x @ x.T), axis=1)[:, :12]
+    both = np.unique(np.concatenate([np.repeat(np.arange(600), 12) * 600 + near.reshape(-1), near.reshape(-1) * 600 + np.repeat(np.arange(600), 12)]))
+    starts, links, entries = np.searchsorted(both, np.arange(601) * 600), both % 600, np.arange(0, 600, 30)
+    q, own = np.vstack([x[:40], rng.normal(size=(5, 6))]), np.append(np.arange(40), np.full(5, -1))
+    together = _search(x, starts, links, q, own, entries, 60)
+    found = 0
+    for v, o, (at, score) in zip(q, own, together, strict=True):
+        alone = _search(x, starts, links, v[None], o[None], entries, 60)[0]
+        assert sorted(at.tolist()) == sorted(alone[0].tolist()) and len(set(at.tolist())) == len(at) == 60
+        assert np.allclose(score, x[at] @ v, atol=1e-12)
+        found += len({*at[np.argsort(-score)[:20]].tolist()} & {*np.argsort(-(x @ v))[:20].tolist()})
+    assert found >= 0.95 * 20 * len(q)
