@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes, relationally.
 
-The core is plain relational algebra over tokens (``aligned``): posexplode, running byte lengths in a
-window, an equi-join on the text and the byte where a token ends, running counts of those common ends as
-group ids, and a join of both sides' tokens by group. Its texts are dealt out once; all of that runs in
-one stage without a further shuffle.
+The core is plain relational algebra over tokens (``aligned``): the tokens of both sides are exploded with the
+byte where each ends and put in order of it by a window; a byte where both sides end is a cut, and a running count of the
+cuts before a token is its group's number. Its texts are dealt out once; all of that runs in one stage with one sort.
+``summed_up`` reads each text's tokens in that order and forms its groups and linked id pairs.
 
 It does not run over whole documents, which repeat the same words all over, but over their distinct
 chunks. A chunk is a space and what follows it up to the next one, where that cut is safe: neither
@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
-from contextlib import contextmanager
+from collections import defaultdict
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -46,8 +47,8 @@ BLOCK_DISTINCT, BLOCK_CHUNKS = 1_000_000, 16_000_000
 CHUNKS_A_PARTITION = 150_000
 #: So many pairs of ids (16 bytes each) are sent to all tasks; more of them meet their links in a shuffle.
 BROADCAST_PAIRS = 1_000_000
-#: Stands for the value of a chunk that has none, among values of digits and signs.
-NOT_SPELLED = "-"
+#: Groups of more links are held as their different pairs and how often each occurs.
+LARGE_GROUP = 10_000
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -56,18 +57,6 @@ def chunks_of(text: bytes) -> list[bytes]:
     return CUT.split(text) if OTHER.search(text) else text.split(b" ")
 
 
-@contextmanager
-def partitioned_by_part_of_the_keys(spark: SparkSession):
-    """Joins on a text and something in it leave both sides where they are if dealt by the text alone."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 class Tokenizers:
     """Both tokenizers with the bytes of every token."""
 
@@ -85,7 +74,7 @@ class Tokenizers:
         self.b_bytes = [bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+        return [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -114,7 +103,7 @@ def folded(rows: DataFrame, kind: str) -> DataFrame:
     def scan(batches):
         only("alignment")
         block = TaskContext.get().partitionId() << 24
-        known: dict[bytes, int] = {}
+        known: defaultdict[bytes, int] = defaultdict(count().__next__)  # what is new gets the next number
         seen = 0
         for batch in batches:
             packed, new = [], len(known)
@@ -123,9 +112,9 @@ def folded(rows: DataFrame, kind: str) -> DataFrame:
                 if not text:
                     packed.append(b"")
                     continue
-                ids = [known.setdefault(c, len(known)) for c in chunks_of(text)]
-                seen += len(ids)
-                packed.append(squeeze(np.array(ids, np.uint32)))
+                chunks = chunks_of(text)
+                seen += len(chunks)
+                packed.append(squeeze(np.fromiter(map(known.__getitem__, chunks), np.uint32, len(chunks))))
             fresh, n = list(known)[new:] if len(known) > new else [], len(packed)
             m = len(fresh)
             yield pa.RecordBatch.from_arrays(
@@ -139,14 +128,14 @@ def folded(rows: DataFrame, kind: str) -> DataFrame:
                 ["block", "k", "chunk", "id", "chunks"],
             )
             if len(known) >= BLOCK_DISTINCT or seen >= BLOCK_CHUNKS:
-                block, known, seen = block + 1, {}, 0
+                block, known, seen = block + 1, defaultdict(count().__next__), 0
         give_back()
 
     return rows.select("id", "text").mapInArrow(scan, f"block long, k int, chunk string, id {kind}, chunks binary")
 
 
 def tokenized(chunks: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """Of each chunk both token sequences with the tokens' byte lengths; ok: both spell the chunk."""
+    """Of each chunk the ids of both sides, the n_a of a first, with the bytes where they end; ok: both spell the chunk."""
 
     def run(batches):
         t = loaded(paths)
@@ -155,48 +144,102 @@ def tokenized(chunks: DataFrame, paths: tuple[str, str]) -> DataFrame:
             if not chunks:
                 continue
             a, b = t.encode(chunks)
-            a_size, b_size, ok = [], [], []
+            ids, ends, ok = [], [], []
             for c, x, y in zip(chunks, a, b, strict=True):
                 raw = b" " + c.encode("utf-8", "surrogatepass")
-                x, y = [t.a_bytes[i] for i in x], [t.b_bytes[i] for i in y]
-                ok.append(b"".join(x) == raw and b"".join(y) == raw)
-                a_size.append(list(map(len, x)))
-                b_size.append(list(map(len, y)))
+                p, q = [t.a_bytes[i] for i in x], [t.b_bytes[i] for i in y]
+                ok.append(b"".join(p) == raw and b"".join(q) == raw)
+                ids.append(x + y)
+                ends.append([*accumulate(map(len, p)), *accumulate(map(len, q))])
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok), pa.array(a, ints), pa.array(a_size, ints), pa.array(b, ints), pa.array(b_size, ints)], ["chunk", "ok", "a", "a_size", "b", "b_size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok), pa.array(list(map(len, a)), pa.int32()), pa.array(ids, ints), pa.array(ends, ints)], ["chunk", "ok", "n_a", "ids", "ends"])
         give_back()
 
-    return chunks.mapInArrow(run, "chunk string, ok boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+    return chunks.mapInArrow(run, "chunk string, ok boolean, n_a int, ids array<int>, ends array<int>")
 
 
 def aligned(tokens: DataFrame, partitions: int) -> DataFrame:
-    """(cid, groups) from tokens(cid, a, a_size, b, b_size): the groups in order, each with the ids of
-    both sides in order.
+    """(cid, is_b, id, grp) from tokens(cid, n_a, ids, ends): every token with its group's number, in order of cid and end.
 
-    The tokens of both sides are exploded with their places; running byte lengths give their ends; an
-    end that both sides have is a cut; the cuts before a token are its group's number.
+    A byte where tokens of both sides end is a cut; the cuts before a token's end are its group's number.
     """
-    dealt = tokens.repartition(partitions, "cid")
-    in_order = Window.partitionBy("cid").orderBy("pos")
-    by_end = Window.partitionBy("cid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-
-    def side(ids: str) -> DataFrame:
-        one = dealt.select("cid", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(f"{ids}_size").alias("size"))).alias("pos", "token"))
-        return one.select("cid", F.col("token.id").alias(ids), F.sum("token.size").over(in_order).alias("end"))
-
-    def grouped(ids: str, other: str) -> DataFrame:
-        cut = side(ids).join(side(other).select("cid", "end", F.lit(1).alias("cut")), ["cid", "end"], "left")
-        numbered_ = cut.withColumn("grp", F.coalesce(F.sum("cut").over(by_end), F.lit(0)))
-        return numbered_.groupBy("cid", "grp").agg(F.sort_array(F.collect_list(F.struct("end", ids))).getField(ids).alias(ids))
-
-    both = grouped("a", "b").join(grouped("b", "a"), ["cid", "grp"])
-    return both.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("grp", "a", "b"))).alias("groups"))
+    one = tokens.repartition(partitions, "cid").select("cid", "n_a", F.posexplode(F.arrays_zip("ids", "ends")).alias("pos", "token"))
+    one = one.select("cid", F.col("token.ends").alias("end"), (F.col("pos") >= F.col("n_a")).alias("is_b"), F.col("token.ids").alias("id"))
+    by_end = Window.partitionBy("cid").orderBy("end", "is_b")
+    cut = one.withColumn("cut", F.coalesce((F.lag("end").over(by_end) == F.col("end")).cast("int"), F.lit(0)))
+    grouped = cut.withColumn("grp", F.coalesce(F.sum("cut").over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return grouped.sortWithinPartitions("cid", "end", "is_b").select("cid", "is_b", "id", "grp")
+
+
+def _pairs_of(ids: np.ndarray, start: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each group, whose a ids and then b ids begin at start: the pairs, their numbers of occurrences, and how many pairs."""
+    many = n_a * n_b
+    large = np.flatnonzero(many > LARGE_GROUP)
+    folded_ = {}
+    for g in large.tolist():
+        middle = start[g] + n_a[g]
+        (a, x), (b, y) = (np.unique(side, return_counts=True) for side in (ids[start[g] : middle], ids[middle : middle + n_b[g]]))
+        folded_[g] = ((a[:, None] << 32) | b[None, :]).reshape(-1), (x[:, None] * y[None, :]).reshape(-1)
+    size = many.copy()
+    size[large] = 0
+    g = np.repeat(np.arange(len(size)), size)
+    t = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+    pairs, times = (ids[start[g] + t // n_b[g]] << 32) | ids[start[g] + n_a[g] + t % n_b[g]], np.ones(len(g), np.int64)
+    if folded_:
+        at = (np.cumsum(size) - size)[large]
+        size[large] = [len(folded_[i][0]) for i in large.tolist()]
+        at = np.repeat(at, size[large])
+        pairs, times = (np.insert(z, at, np.concatenate([folded_[i][k] for i in large.tolist()])) for k, z in enumerate((pairs, times)))
+    return pairs, times, size
+
+
+def _summary(cid: np.ndarray, is_b: np.ndarray, ids: np.ndarray, grp: np.ndarray) -> pa.RecordBatch:
+    new = np.r_[True, cid[1:] != cid[:-1]]
+    opens = new | np.r_[True, grp[1:] != grp[:-1]]
+    order = np.argsort(np.cumsum(opens) * 2 + is_b, kind="stable")  # in a group a before b, each in order of its end
+    is_b, ids = is_b[order], ids[order].astype(np.int64)
+    chunk, group = np.flatnonzero(new), np.flatnonzero(opens)
+    sign = np.full(len(ids), 3, np.int8)
+    sign[is_b & ~np.r_[False, is_b[:-1]]] = 2
+    sign[group], sign[chunk] = 1, 0
+    words = pc.binary_join_element_wise(pa.array(["", ";", "|", ","]).take(pa.array(sign)), pa.array(ids).cast(pa.string()), "")
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(chunk, len(ids)).astype(np.int32)), words), "")
+    n_b = np.add.reduceat(is_b.astype(np.int64), group)
+    n_a = np.diff(np.append(group, len(ids))) - n_b
+    first = np.searchsorted(group, chunk)
+    pairs, times, size = _pairs_of(ids, group, n_a, n_b)
+    ends = pa.array(np.append(0, np.cumsum(np.add.reduceat(size, first))).astype(np.int32))
+    numbers = [np.add.reduceat(n_a, first), np.add.reduceat(n_b, first), np.diff(np.append(first, len(group))), np.add.reduceat(n_a * n_b, first)]
+    cols = [pa.array(cid[chunk]), *map(pa.array, numbers), text, pa.ListArray.from_arrays(ends, pa.array(pairs)), pa.ListArray.from_arrays(ends, pa.array(times))]
+    return pa.RecordBatch.from_arrays(cols, ["cid", *NUMBERS[:4], "groups", "pairs", "times"])
+
+
+def summed_up(tokens: DataFrame) -> DataFrame:
+    """aligned()'s rows, a chunk's one after the other, as a row a chunk: its numbers, groups as text, linked
+    pairs (a << 32 | b) and how often each occurs; a pair may come several times."""
 
+    def run(batches):
+        without_tokenizers()
+        held: list[list[np.ndarray]] = []  # the last chunk's rows so far, as the next batch may go on with it
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            other = np.flatnonzero(cols[0] != cols[0][-1])
+            at = other[-1] + 1 if len(other) else 0
+            if held and (at or held[-1][0][-1] != cols[0][-1]):
+                held.append([c[:at] for c in cols])
+                yield _summary(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            elif at:
+                yield _summary(*(c[:at] for c in cols))
+            held.append([c[at:] for c in cols])
+        if held:
+            yield _summary(*map(np.concatenate, zip(*held, strict=True)))
+        give_back()
 
-def links(groups: DataFrame) -> DataFrame:
-    """(cid, a, b): every pair of tokens of one group."""
-    one = groups.select("cid", F.explode("groups").alias("g"))
-    return one.select("cid", F.explode("g.a").alias("a"), F.col("g.b").alias("bs")).select("cid", "a", F.explode("bs").alias("b"))
+    numbers = ", ".join(f"{n} long" for n in NUMBERS[:4])
+    return tokens.mapInArrow(run, f"cid long, {numbers}, groups string, pairs array<bigint>, times array<bigint>")
 
 
 #: Rows of a task that are packed together on their way to their blocks, and documents put together at once.
@@ -204,7 +247,8 @@ PACKED_ROWS, DOCUMENTS = 400_000, 256
 
 
 def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
-    """answers(block, k, value) as rows of many: a block's numbers k and their values, squeezed.
+    """answers(block, k, value, whole numbers) as rows of many: a block's numbers k, and squeezed their
+    values' sizes (-1: null) with the whole numbers, and their values (texts, or arrays of whole numbers).
 
     Every task packs what it has for a block, at most PACKED_ROWS rows at a time.
     """
@@ -214,15 +258,21 @@ def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
         block = rows.column(0).to_numpy()
         order = np.argsort(block, kind="stable")
         block, k = block[order], rows.column(1).to_numpy()[order].astype(np.uint32)
-        values = rows.column(2).take(pa.array(order)).fill_null(NOT_SPELLED)
+        values = rows.column(2).take(pa.array(order)).combine_chunks()
+        texts = pa.types.is_string(values.type)
+        size = (pc.binary_length if texts else pc.list_value_length)(values).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = np.stack([size, *(c.fill_null(0).to_numpy()[order] for c in rows.columns[3:])])
+        flat = values.fill_null("").to_pylist() if texts else values.flatten().to_numpy()
+        ends = np.append(0, np.cumsum(np.maximum(size, 0)))
         cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(block)]
         for i, j in zip(cuts, cuts[1:], strict=False):
-            yield int(block[i]), squeeze(k[i:j]), zstandard.compress("\n".join(values[i:j].to_pylist()).encode(), 3)
+            own = zstandard.compress("".join(flat[i:j]).encode(), 3) if texts else squeeze(flat[ends[i] : ends[j]]) if ends[i] < ends[j] else b""
+            yield int(block[i]), squeeze(k[i:j]), squeeze(np.ascontiguousarray(heads[:, i:j]).reshape(-1)), own
 
     def packed(rows):
-        b, k, v = zip(*pack(rows), strict=True)
+        b, k, h, v = zip(*pack(rows), strict=True)
         n = len(b)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(v, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary())], ["block", "ks", "values", "id", "chunks"])
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(h, pa.binary()), pa.array(v, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary())], ["block", "ks", "heads", "values", "id", "chunks"])
 
     def run(batches):
         without_tokenizers()
@@ -239,29 +289,25 @@ def packed_by_block(answers: DataFrame, kind: DataType) -> DataFrame:
         give_back()
 
     id_type = to_arrow_type(kind)
-    return answers.select("block", "k", "value").mapInArrow(run, f"block long, ks binary, values binary, id {kind.simpleString()}, chunks binary")
+    first = ["block", "k", "value"]
+    return answers.select(*first, *(c for c in answers.columns if c not in (*first, "cid"))).mapInArrow(run, f"block long, ks binary, heads binary, values binary, id {kind.simpleString()}, chunks binary")
 
 
 def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done, schema: str) -> DataFrame:
     """A block's documents with the results of their chunks.
 
-    results(cid, value) meet the blocks' chunks, placed(block, k, cid), and these, packed, their documents. value(list of a block's
-    values, in the order of k) gives what done(that, ids, batches) needs: done yields record batches of
+    results(cid, value, whole numbers) meet the blocks' chunks, placed(block, k, cid), and these, packed, their documents;
+    a chunk without a result has null. value(the numbers k, sizes and whole numbers by row, packed values, of each pack of a
+    block) gives what done(that, ids, batches) needs: done yields record batches of
     the schema from the block's documents, given as pairs of id arrays and lists of number arrays.
     """
-    answers = packed_by_block(placed.join(results, "cid"), docs.schema["id"].dataType)
-    asked = docs.select("block", F.lit(None).cast("binary").alias("ks"), F.lit(None).cast("binary").alias("values"), "id", "chunks")
+    answers = packed_by_block(placed.join(results, "cid", "left"), docs.schema["id"].dataType)
+    asked = docs.select("block", *(F.lit(None).cast("binary").alias(c) for c in ("ks", "heads", "values")), "id", "chunks")
     dealt = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("ks").isNull())
 
-    def in_order(ks: list, packed: list) -> list:
-        out = np.full(sum(map(len, ks)), None, object)
-        for k, v in zip(ks, packed, strict=True):
-            out[k] = [None if x == NOT_SPELLED else x for x in zstandard.decompress(v).decode().split("\n")]
-        return out.tolist()
-
     def run(batches):
         without_tokenizers()
-        now, ks, packed, ready = None, [], [], None
+        now, packs, ready = None, [], None
         for batch in batches:
             block, answer = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             state = block * 2 + ~answer
@@ -270,17 +316,18 @@ def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done
                 if block[i] != now:
                     if ready is not None:
                         yield from done(ready, None, None)
-                    now, ks, packed, ready = block[i], [], [], None
+                    now, packs, ready = block[i], [], None
                 if answer[i]:
-                    ks += [unsqueeze(x, np.uint32) for x in batch.column(1)[i:j].to_pylist()]
-                    packed += batch.column(2)[i:j].to_pylist()
+                    for k, head, own in zip(*(batch.column(c)[i:j].to_pylist() for c in (1, 2, 3)), strict=True):
+                        k = unsqueeze(k, np.uint32)
+                        packs.append((k, unsqueeze(head, np.int64).reshape(-1, len(k)), own))
                     continue
                 if ready is None:
-                    ready, ks, packed = value(in_order(ks, packed)), [], []
+                    ready, packs = value(*(zip(*packs, strict=True) if packs else ([], [], []))), []
                 for at in range(i, j, DOCUMENTS):
                     few = slice(at, min(at + DOCUMENTS, j))
-                    chunks = batch.column(4)[few].to_pylist()
-                    yield from done(ready, batch.column(3)[few], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in chunks])
+                    chunks = batch.column(5)[few].to_pylist()
+                    yield from done(ready, batch.column(4)[few], [unsqueeze(x, np.uint32) if x else np.zeros(0, np.uint32) for x in chunks])
         if ready is not None:
             yield from done(ready, None, None)
         give_back()
@@ -288,25 +335,27 @@ def unfolded(docs: DataFrame, placed: DataFrame, results: DataFrame, value, done
     return dealt.mapInArrow(run, schema)
 
 
+def _by_number(ks, heads, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By k: the head (a size and ``more`` whole numbers), and where its value begins and ends among all that were packed."""
+    if not len(ks):
+        return np.zeros((more + 1, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k, head = np.concatenate(ks), np.concatenate(heads, axis=1)
+    size = np.maximum(head[0], 0)
+    ends = np.cumsum(size)
+    out = np.empty_like(head), np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    out[0][:, k], out[1][k], out[2][k] = head, ends - size, ends
+    return out
+
+
 class Pairs:
     """A block's linked id pairs by chunk, and how many of its documents hold each."""
 
-    def __init__(self, values: list[str | None]):
-        flat, ends = array("q"), []
-        for v in values:
-            found = set()
-            for g in v.split(";") if v else ():
-                a, b = g.split("|")
-                b = [int(y) for y in b.split(",")]
-                for x in a.split(","):
-                    x = int(x) << 32
-                    found.update([x | y for y in b])
-            flat.extend(found)
-            ends.append(len(flat))
-        self.ok = np.array([v is not None for v in values], bool)
-        self.pairs, self.number = np.unique(np.frombuffer(flat, np.int64), return_inverse=True)
+    def __init__(self, ks, heads, values):
+        head, self.starts, self.stops = _by_number(ks, heads, 0)
+        self.ok = head[0] >= 0
+        flat = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(v, np.int64) for v in values if v)])
+        self.pairs, self.number = np.unique(flat, return_inverse=True)
         self.number = self.number.reshape(-1).astype(np.int32)
-        self.starts, self.stops = np.array([0, *ends[:-1]], np.int64), np.array(ends, np.int64)
         self.docs = np.zeros(len(self.pairs), np.int64)
 
     def add(self, ids: np.ndarray) -> None:
@@ -334,13 +383,11 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 class Totals:
     """A block's chunks with their numbers and groups as text."""
 
-    def __init__(self, values: list[str | None]):
-        self.ok = np.array([v is not None for v in values], bool)
-        self.numbers = np.zeros((len(values), len(NUMBERS)), np.int64)
-        self.groups = values
-        for i in np.flatnonzero(self.ok).tolist():  # in place, so that a block's values are held once
-            head, _, self.groups[i] = values[i].partition(";")
-            self.numbers[i] = head.split(",")
+    def __init__(self, ks, heads, values):
+        head, starts, stops = _by_number(ks, heads, len(NUMBERS))
+        self.ok, self.numbers = head[0] >= 0, np.ascontiguousarray(head[1:].T)
+        text = b"".join(map(zstandard.decompress, values))  # digits and signs
+        self.groups = [text[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def _document_rows(ready: Totals, ids, docs):
@@ -351,8 +398,8 @@ def _document_rows(ready: Totals, ids, docs):
         fine = len(d) > 0 and bool(ready.ok[d].all())
         if fine:
             sums[i] = ready.numbers[d].sum(axis=0)
-        groups.append(";".join(map(ready.groups.__getitem__, d.tolist())) if fine else "")
-    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(groups, pa.string())], ["id", *NUMBERS, "groups"])
+        groups.append(b";".join(map(ready.groups.__getitem__, d.tolist())) if fine else b"")
+    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(groups, pa.binary()).cast(pa.string())], ["id", *NUMBERS, "groups"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,24 +426,17 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     discard(both)
     release(spark)
     partitions = max(shuffle_partitions(spark), -(-tokens.count() // CHUNKS_A_PARTITION))
-    with partitioned_by_part_of_the_keys(spark):
-        groups = written(aligned(tokens.where("ok").select("cid", "a", "a_size", "b", "b_size"), partitions), "groups", codec="zstd")
-    release(spark)
-    text = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    known = tokens.select("cid", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(
-        groups.select("cid", text.alias("value"), F.size("groups").alias("n_groups"), F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links")), "cid", "left"
-    )
-    known = written(known, "chunk-groups", codec="zstd")
+    known = written(summed_up(aligned(tokens.where("ok").select("cid", "n_a", "ids", "ends"), partitions)), "chunk-groups", codec="zstd")
     discard(tokens)
-    pairs = written(unfolded(own, placed, known.select("cid", "value"), Pairs, _pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts", 2)
+    release(spark)
+    pairs = written(unfolded(own, placed, known.select("cid", F.col("pairs").alias("value")), Pairs, _pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts", 2)
     release(spark)
     best = pairs.groupBy("a").agg(F.max("n").alias("most"))
-    counted = pairs.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
+    counted = pairs.join(best, "a").select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
     small = pairs.count() <= BROADCAST_PAIRS
-    sums = links(groups).join(F.broadcast(counted) if small else counted, ["a", "b"]).groupBy("cid").agg(F.sum("n").alias("count_sum"), F.sum("is_best").alias("n_best"))
-    value = F.when(F.col("value").isNotNull(), F.concat_ws(";", F.concat_ws(",", *NUMBERS), "value"))
-    final = written(known.join(sums, "cid", "left").select("cid", value.alias("value")), "chunk-totals", codec="zstd")
-    discard(groups)
+    linked = known.select("cid", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("cid", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
+    sums = linked.join(F.broadcast(counted) if small else counted, "pair").groupBy("cid").agg(F.sum(F.col("n") * F.col("times")).alias("count_sum"), F.sum(F.col("is_best") * F.col("times")).alias("n_best"))
+    final = written(known.join(sums, "cid", "left").select("cid", F.col("groups").alias("value"), *NUMBERS), "chunk-totals", codec="zstd")
     discard(pairs)
     discard(known)
     release(spark)

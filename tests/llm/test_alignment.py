@@ -107,3 +107,23 @@ def test_query_on_whole_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: (*w[:6], hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "") for (i, _), w in zip(docs, brute([t for _, t in docs]), strict=True)}
     assert {r.doc_id: tuple(r[1:]) for r in queries.op11_alignment(spark, d).collect()} == want
+
+
+def test_groups_by_number_and_large_groups(monkeypatch):
+    """A batch's chunks are formed at once; a group of many links is held as its different pairs, with the same sums."""
+    import numpy as np
+
+    cid = np.array([7, 7, 7, 7, 7, 9, 9, 9, 9, 9, 9])
+    is_b = np.array([False, True, False, False, True, False, True, False, True, False, True])
+    ids, grp = np.array([1, 2, 3, 4, 5, 6, 7, 6, 8, 9, 7]), np.array([0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0])
+    for most in (10_000, 3, 0):
+        monkeypatch.setattr(A, "LARGE_GROUP", most)
+        rows = A._summary(cid, is_b, ids, grp).to_pylist()
+        assert [r["groups"] for r in rows] == ["1|2;3,4|5", "6,6,9|7,8,7"]
+        assert [tuple(r[n] for n in A.NUMBERS[:4]) for r in rows] == [(3, 2, 2, 3), (3, 3, 1, 9)]
+        got = []
+        for r in rows:
+            got.append(Counter())
+            for p, n in zip(r["pairs"], r["times"], strict=True):
+                got[-1][p >> 32, p & 0xFFFFFFFF] += n
+        assert got == [{(1, 2): 1, (3, 5): 1, (4, 5): 1}, {(6, 7): 4, (6, 8): 2, (9, 7): 2, (9, 8): 1}]
