@@ -8,6 +8,7 @@ from meshlark.operators.metrics import masked_mse
 from meshlark.operators.mesh import precedence
 from meshlark.operators import lineage
 from meshlark.operators import mesh as M
+from meshlark.operators import passes, regrid, rollout
 from meshlark.plans import registry
 from meshlark.plans import views
 
@@ -97,3 +98,49 @@ def test_large_cut_tables_are_not_broadcast(spark):
     other = spark.range(10)
     assert "BroadcastHashJoin" not in other.join(large, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in rows.join(small, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(df, name: str) -> int:
+    """How often the optimized plan reads the rows called so."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_balance_reads_its_cells_once(spark):
+    cells = spark.range(8).selectExpr("0 AS tree", "3 AS level", "cast(id AS int) AS ix", "0 AS iy")
+    assert scans(M.balance(cells, ["tree"], 1, 1, 4), "Range (") == 1
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Names of the modules that write a table, in order."""
+    out = []
+
+    def counted(module):
+        def cut(*args):
+            out.append(module.__name__.rsplit(".", 1)[1])
+            return lineage.cut(*args)
+
+        monkeypatch.setattr(module, "cut", cut)
+
+    for module in (passes, regrid, rollout):
+        counted(module)
+    return out
+
+
+def patch_rows(spark, cells, frames=2, v="px + 2 * py + 10 * t"):
+    at = spark.createDataFrame(cells, "level int, ix int, iy int").selectExpr("0 AS tree", "*", f"explode(sequence(0, {frames - 1})) AS t", "'c' AS channel")
+    return at.selectExpr("*", "explode(array(0, 1)) AS px").selectExpr("*", "explode(array(0, 1)) AS py").selectExpr("*", f"cast({v} AS double) AS v")
+
+
+def test_steps_without_a_regrid_write_no_table(spark, written):
+    out = rollout.rollout(patch_rows(spark, [(0, 0, 0)]), ["tree"], 2, 20, rollout.linear(), n=2, nx=1, ny=1)
+    got = {(r["step"], r["px"], r["py"]): r["v"] for r in out.collect()}
+    assert got == {(k, x, y): x + 2 * y + 10 * (k + 2) for k in range(20) for x in (0, 1) for y in (0, 1)}
+    assert written == ["rollout"]
+
+
+def test_values_are_written_once_a_regrid(spark, written):
+    start = patch_rows(spark, [(0, 0, 0), (0, 1, 0)], 1, "ix * (px + 2 * py)").drop("t", "channel")
+    out = regrid.regrid(start, ["tree"], 2, 8, 2, 1, 3, 0.3)
+    assert out.select("level", "ix", "iy").distinct().count() > 2
+    assert written.count("regrid") <= 8  # patches, leaves, cells, start, where to, flat cells, its end, result: however many passes

@@ -117,6 +117,23 @@ def test_regrid_equals_the_plain_version(spark, tol, nearby):
     assert changed or tol == 0.05
 
 
+@pytest.mark.parametrize("tol", [0.3, 0.7])
+def test_regrid_of_a_mesh_with_neighbours_three_levels_apart(spark, tol):
+    rng = np.random.default_rng(5)
+    inner = {(0, 0, 0), (1, 1, 1), (2, 3, 3)}
+    cells = {(0, x, y) for x in (0, 1) for y in (0, 1)}
+    for k, x, y in sorted(inner):
+        cells = cells - {(k, x, y)} | {(k + 1, 2 * x + q % 2, 2 * y + q // 2) for q in range(4)}
+    start = {c: rng.random((2, 2)) for c in cells}
+    rows = [(7, *c, px, py, float(v[py, px])) for c, v in start.items() for py in (0, 1) for px in (0, 1)]
+    values = spark.createDataFrame(rows, "tree int, level int, ix int, iy int, px int, py int, v double")
+    got = patches(R.regrid(values, ["tree"], 2, TILE, ROOTS, ROOTS, DEEPEST, tol, nearby=1).collect())[7]
+    plain = Plain(dict(start))
+    plain.regrid(tol, 1)
+    assert got.keys() == plain.p.keys() and got.keys() != start.keys()
+    assert all(np.allclose(got[c], plain.p[c], atol=1e-9) for c in plain.p)
+
+
 def test_regrid_covers_and_balances(spark):
     values = registry.patched(spark, "/root/testdata/sf0.01")[1].where("tree < 3")
     leaf = R.regrid(values, ["tree"], 2, TILE, ROOTS, ROOTS, DEEPEST, 0.2, nearby=1).select("tree", *M.CELL).distinct()
