@@ -2,65 +2,71 @@
 
 A leaf of level k holds the (tile >> k) x (tile >> k) pixels under it, so a split is an exact slice and a
 merge a lossless stitch: pixels never change, only the set of leaves does. The pixels of the deciding
-frame are therefore read once, into a pyramid of cells (``pyramid``: range, centre and inner corner of
-every cell of every level), and each pass is a few equi-joins between leaves and cells. Pixels meet
-their leaves again once, at the end (``stitched``), all frames and channels alike.
+frame are therefore read once, into what passes ask of each cell of each level (``cells``), and passes go
+over these bits. Pixels meet their leaves again once, at the end (``stitched``), all frames and channels
+alike; where only their sums are wanted (``summed``), they are added up before they do.
 """
 
 from __future__ import annotations
 
-import warnings
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.operators import mesh as M
+from meshlark.operators import passes as P
 from meshlark.operators.lineage import cut, uncut
 
 CELL = M.CELL
 
 
-def pyramid(pixels: DataFrame, layers: list[str], tile: int, max_level: int) -> DataFrame:
-    """(layers, cell, lo, hi, mid, inner) of every cell of every level, from pixels(layers, x, y, v).
+def pyramid(pixels: DataFrame, keys: list[str], channel: list[str], tile: int, max_level: int) -> DataFrame:
+    """(keys, channel, cell, lo, hi, mid, inner) of every cell of every level, from pixels(keys, channel, x, y, v).
 
     mid is the value at the cell's centre, between the four pixels around it; inner the pixel up and
-    right of the centre, which a point there gets from leaves that are finer than the cell. The finest
-    level comes from the pixels, each coarser one from the four cells under it.
+    right of the centre, which a point there gets from leaves that are finer than the cell. Pixels are
+    added up over the cells of the finest level, and these write themselves to each cell above them.
     """
+    layers = [*keys, *channel]
     side = tile >> max_level
     cell = lambda c: F.floor(F.col(c) / side).cast("int")
     off = {a: (F.col(a) - F.floor(F.col(a) / side) * side) for a in "xy"}
     around = [side // 2 - 1, side // 2] if side % 2 == 0 else [side // 2]
     pick = lambda at: F.max(F.when(at, F.col("v")))
     corner = {"sw": (0, 0), "se": (side - 1, 0), "nw": (0, side - 1), "ne": (side - 1, side - 1)}
-    level = pixels.groupBy(*layers, cell("x").alias("ix"), cell("y").alias("iy")).agg(
+    finest = pixels.groupBy(*layers, cell("x").alias("ix"), cell("y").alias("iy")).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg(F.when(off["x"].isin(around) & off["y"].isin(around), F.col("v"))).alias("mid"),
-        F.lit(None).cast("double").alias("inner"), *[pick((off["x"] == a) & (off["y"] == b)).alias(n) for n, (a, b) in corner.items()],
+        *[pick((off["x"] == a) & (off["y"] == b)).alias(n) for n, (a, b) in corner.items()],
     )
-    out = [level.withColumn("level", F.lit(max_level))]
-    quadrant = (F.col("ix") % 2) + 2 * (F.col("iy") % 2)
-    child = lambda q, c: F.max(F.when(quadrant == q, F.col(c)))
-    for k in range(max_level - 1, -1, -1):
-        level = level.groupBy(*layers, F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy")).agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), ((child(0, "ne") + child(1, "nw") + child(2, "se") + child(3, "sw")) / 4).alias("mid"), child(3, "sw").alias("inner"),
-            *[child(q, n).alias(n) for q, n in enumerate(corner)],
-        )
-        out.append(level.withColumn("level", F.lit(k)))
-    return reduce(DataFrame.unionByName, out).select(*layers, *CELL, "lo", "hi", "mid", "inner")
-
-
-def errors(leaf: DataFrame, cells: DataFrame, keys: list[str], layers: list[str]) -> DataFrame:
-    """(layers, cell, error): the larger of a leaf's range and of the differences between its centre and
-    the values one leaf width to the west, east, south and north; 0 outside the domain."""
-    own = leaf.join(cells.drop("inner"), [*keys, *CELL])
-    sides = F.array(*[F.struct((F.col("ix") + dx).alias("nx"), (F.col("iy") + dy).alias("ny")) for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    near = own.select("*", F.explode(sides).alias("s")).select(*own.columns, "s.nx", "s.ny")
-    finer = M.internals(leaf, keys).withColumnsRenamed({"ix": "nx", "iy": "ny"}).withColumn("finer", F.lit(True))
-    there = cells.select(*layers, "level", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.col("mid").alias("nmid"), F.col("inner").alias("ninner"))
-    met = near.join(there, [*layers, "level", "nx", "ny"], "left").join(finer, [*keys, "level", "nx", "ny"], "left")
-    value = F.coalesce(F.when(F.col("finer"), F.col("ninner")).otherwise(F.col("nmid")), F.lit(0.0))
-    return met.groupBy(*layers, *CELL).agg(F.greatest(F.max(F.col("hi") - F.col("lo")), F.max(F.abs(F.col("mid") - value))).alias("error"))
+    up = finest.repartition(*keys).withColumn("_d", F.explode(F.array(*[F.lit(d) for d in range(max_level + 1)])))
+    up = up.withColumn("_half", F.when(F.col("_d") > 0, F.expr("shiftleft(1, greatest(_d - 1, 0))")))
+    rest = lambda c: F.expr(f"{c} - shiftleft(shiftright({c}, _d), _d)")
+    # the four finest cells around a coarser one's centre, each with its pixel next to it
+    around = {"ne": (-1, -1), "nw": (0, -1), "se": (-1, 0), "sw": (0, 0)}
+    meets = {n: F.max(F.when((rest("ix") == F.col("_half") + a) & (rest("iy") == F.col("_half") + b), F.col(n))) for n, (a, b) in around.items()}
+    above = up.groupBy(*layers, (max_level - F.col("_d")).alias("level"), F.expr("shiftright(ix, _d)").alias("ix"), F.expr("shiftright(iy, _d)").alias("iy"))
+    out = above.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("_d") == 0, F.col("mid"))).alias("_mid"), *[v.alias(f"_{n}") for n, v in meets.items()])
+    mid = F.when(F.col("level") == max_level, F.col("_mid")).otherwise((F.col("_ne") + F.col("_nw") + F.col("_se") + F.col("_sw")) / 4)
+    return out.select(*layers, *CELL, "lo", "hi", mid.alias("mid"), F.col("_sw").alias("inner"))
+
+
+def cells(pixels: DataFrame, keys: list[str], channel: list[str], tile: int, max_level: int, tol: float) -> DataFrame:
+    """What passes ask of each cell: its range, and the differences between its centre and the values one
+    cell width to the west, east, south and north (0 outside the domain), against tol times the range of
+    the channel; any channel over it is enough, to be flat takes all."""
+    layers = [*keys, *channel]
+    at = pyramid(pixels, keys, channel, tile, max_level)
+    frame = Window.partitionBy(*layers)
+    met = at.withColumn("limit", (F.max("hi").over(frame) - F.min("lo").over(frame)) * tol).where("limit is not null")
+
+    def far(there: str) -> Column:
+        over = lambda v: F.coalesce(F.abs(F.col("mid") - F.coalesce(F.col(f"{there}.{v}"), F.lit(0.0))) > F.col("limit"), F.lit(False))
+        return P.bit(over("mid"), (1 << max_level + 1) - 1 | P.NONE).bitwiseOR(P.bit(over("inner"), P.FINER))
+
+    met = P.beside(met, layers, ["mid", "inner"], far)
+    spread = F.col("hi") - F.col("lo")
+    rough = spread >= 0.25 * F.col("limit")
+    tag = F.bit_or(P.bit(spread > F.col("limit"), P.OWN).bitwiseOR(P.bit(rough, P.ROUGH))).bitwiseOR(F.lit(P.GIVEN)).bitwiseOR(P.bit(~F.bool_or(rough), P.FLAT))
+    return met.groupBy(*keys, *CELL).agg(tag.alias("tag"), *[F.bit_or(s).alias(s) for s in P.SIDES])
 
 
 def regrid_native(pixels: DataFrame, leaf: DataFrame, keys: list[str], channel: list[str], tile: int, nx: int, ny: int, max_level: int, tol: float, nearby: int = 0, max_passes: int = 10, coarsen: bool = True) -> DataFrame:
@@ -72,56 +78,26 @@ def regrid_native(pixels: DataFrame, leaf: DataFrame, keys: list[str], channel:
     are protected and coarser ones among them step up. Complete unprotected siblings whose joint range
     stays under a quarter in every channel merge, pass by pass; a merge never leaves a face neighbour
     two levels finer. At most max_passes passes of splitting and of merging; a warning says where they end
-    early. Each pass writes the leaves, a few bytes each, and no pixels.
+    early. Each pass writes the internal cells, a few bytes each, and no pixels.
     """
-    layers = [*keys, *channel]
-    cells = cut(pyramid(pixels, layers, tile, max_level))
-    limit = cells.where("level = 0").groupBy(*layers).agg(((F.max("hi") - F.min("lo")) * tol).alias("limit"))
-    base = M.roots(leaf.select(*keys).distinct(), keys, nx, ny)
-    spread = cells.join(limit, layers).groupBy(*keys, *CELL).agg(F.bool_or(F.col("hi") - F.col("lo") >= 0.25 * F.col("limit")).alias("rough"))
-    spread = cut(spread)
-    rough, flat = spread.where("rough").drop("rough"), spread.where("not rough").drop("rough")
-    leaf = cut(leaf.select(*keys, *CELL).distinct())
-
-    def refined(leaf: DataFrame, marks: DataFrame) -> DataFrame:
-        out = cut(M.leaves(M.balance(M.merge(M.internals(leaf, keys), marks, keys), keys, nx, ny, max_level), base, keys))
-        uncut(leaf)
-        return out
-
-    for _ in range(max_passes):
-        marks = cut(errors(leaf, cells, keys, layers).join(limit, layers).where((F.col("error") > F.col("limit")) & (F.col("level") < max_level)).select(*keys, *CELL).distinct())
-        if marks.isEmpty():
-            break
-        leaf = refined(leaf, marks)
-        uncut(marks)
-    else:
-        warnings.warn(f"refinement did not end in {max_passes} passes", stacklevel=2)
-    marked = leaf.limit(0)
+    given = cut(leaf.select(*keys, *CELL).distinct())
+    asked = cut(cells(pixels, keys, channel, tile, max_level, tol), False)
+    start = cut(M.internals(given, keys), False)
+    inner = P.refine(asked, start, keys, nx, ny, max_level, max_passes)
+    marked = None
     if nearby > 0:
-        marked = cut(M.dilate(leaf.join(rough, [*keys, *CELL], "left_semi"), leaf, keys, max_level, nearby))
-        for _ in range(nearby):
-            near = M.neighbours(leaf, keys, max_level).where("nlevel < level").join(marked, [*keys, *CELL], "left_semi")
-            coarse = near.select(*keys, F.col("nlevel").alias("level"), F.col("nx").alias("ix"), F.col("ny").alias("iy")).distinct().join(marked, [*keys, *CELL], "left_semi")
-            coarse = cut(coarse)
-            if coarse.isEmpty():
-                break
-            leaf = refined(leaf, coarse)
-            up = M.ancestors(leaf, keys).join(marked.select(*keys, F.col("level").alias("alevel"), F.col("ix").alias("ax"), F.col("iy").alias("ay")), [*keys, "alevel", "ax", "ay"], "left_semi")
-            marked = cut(leaf.join(marked, [*keys, *CELL], "left_semi").unionByName(up.select(*keys, *CELL)).distinct())
-    for _ in range(max_passes if coarsen else 0):
-        parent = lambda df: df.select(*keys, (F.col("level") - 1).alias("level"), F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy")).distinct()
-        fine = parent(M.neighbours(leaf, keys, max_level).where("nlevel > level"))
-        open_to = M.siblings(leaf, keys).join(flat, [*keys, *CELL], "left_semi").join(parent(marked.where("level > 0")), [*keys, *CELL], "left_anti").join(fine, [*keys, *CELL], "left_anti")
-        merged = cut(open_to)
-        if merged.isEmpty():
-            break
-        old, leaf = leaf, cut(leaf.join(M.children(merged, keys).select(*keys, *CELL), [*keys, *CELL], "left_anti").unionByName(merged))
-        uncut(old)
-        uncut(merged)
+        inner, marked = P.protect(asked, inner, keys, nx, ny, max_level, nearby)
+    if coarsen:
+        inner = P.coarsen(asked, asked.limit(0), inner, marked, keys, max_level, max_passes)
+    if inner is start:
+        out = given
     else:
-        if coarsen:
-            warnings.warn(f"coarsening did not end in {max_passes} passes", stacklevel=2)
-    return leaf
+        out = cut(M.leaves(inner, M.roots(given.select(*keys).distinct(), keys, nx, ny), keys))
+        uncut(given)
+    for old in (asked, start, inner, marked):
+        if old is not None:
+            uncut(old)
+    return out
 
 
 def stitched(pixels: DataFrame, leaf: DataFrame, keys: list[str], tile: int, max_level: int) -> DataFrame:
@@ -131,3 +107,14 @@ def stitched(pixels: DataFrame, leaf: DataFrame, keys: list[str], tile: int, max
     side = F.expr(f"shiftright({tile}, level)")
     place = lambda c, i: (F.col(c) - F.col(i) * side).cast("int")
     return held.select(*[c for c in pixels.columns if c not in ("x", "y", "v")], *CELL, place("x", "ix").alias("px"), place("y", "iy").alias("py"), "v")
+
+
+def summed(pixels: DataFrame, leaf: DataFrame, keys: list[str], more: list[str], tile: int, max_level: int) -> DataFrame:
+    """(keys, more, cell, pixels, total): how many of the pixels each leaf holds, and the sum of their values, for
+    each of more (frames, channels). They are added up over the cells of the finest level before they meet the leaves."""
+    if tile % (1 << max_level):
+        return stitched(pixels, leaf, keys, tile, max_level).groupBy(*keys, *more, *CELL).agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+    finest = lambda c: F.floor(F.col(c) / (tile >> max_level)).cast("int")
+    sums = pixels.groupBy(*keys, *more, finest("x").alias("_fx"), finest("y").alias("_fy")).agg(F.count("*").alias("_n"), F.sum("v").alias("_s"))
+    held = sums.join(M.finest_cells(leaf, keys, max_level).hint("merge"), [*keys, "_fx", "_fy"])
+    return held.groupBy(*keys, *more, *CELL).agg(F.sum("_n").alias("pixels"), F.sum("_s").alias("total"))

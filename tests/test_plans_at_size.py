@@ -144,3 +144,9 @@ def test_values_are_written_once_a_regrid(spark, written):
     out = regrid.regrid(start, ["tree"], 2, 8, 2, 1, 3, 0.3)
     assert out.select("level", "ix", "iy").distinct().count() > 2
     assert written.count("regrid") <= 8  # patches, leaves, cells, start, where to, flat cells, its end, result: however many passes
+
+
+def test_pixels_are_added_up_before_they_meet_leaves(spark):
+    df = registry.queries()["t20_native_regrid"](spark, f"{DATA}/sf0.001")
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in logical[logical.index("Join") :] and "_fx" in logical
